@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, langid, packing, secrets, sharding, url_filter
+from . import exact_dedup, langid, ngram_join, packing, secrets, sharding, url_filter
 
 QUERIES = {
     "op1_packing": packing.op1,
     "op3_secret_scan": secrets.op3,
     "op4_exact_dedup": exact_dedup.op4,
     "op7_url_filter": url_filter.op7,
+    "op8_ngram_jaccard": ngram_join.op8,
     "op9_language_id": langid.op9,
     "op10_sharding": sharding.op10,
 }
