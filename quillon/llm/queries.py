@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, langid, ngram_join, packing, secrets, sharding, url_filter
+from . import exact_dedup, langid, multi_index, ngram_join, packing, secrets, sharding, toxicity, url_filter
 
 QUERIES = {
     "op1_packing": packing.op1,
     "op3_secret_scan": secrets.op3,
     "op4_exact_dedup": exact_dedup.op4,
+    "op5_multi_index": multi_index.op5,
+    "op6_toxicity_chain": toxicity.op6,
     "op7_url_filter": url_filter.op7,
     "op8_ngram_jaccard": ngram_join.op8,
     "op9_language_id": langid.op9,
@@ -15,5 +17,7 @@ QUERIES = {
 }
 ORACLE_SQL = {
     "op4_exact_dedup": exact_dedup.OP4_SQL,
+    "op5_multi_index": multi_index.op5,
+    "op6_toxicity_chain": toxicity.op6,
     "op7_url_filter": url_filter.OP7_SQL,
 }
