@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, langid, multi_index, ngram_join, packing, secrets, sharding, toxicity, url_filter
+from . import exact_dedup, langid, lattice_sampling, multi_index, ngram_join, packing, secrets, sharding, toxicity, url_filter
 
 QUERIES = {
     "op1_packing": packing.op1,
+    "op2_gumbel_segmentation": lattice_sampling.op2,
     "op3_secret_scan": secrets.op3,
     "op4_exact_dedup": exact_dedup.op4,
     "op5_multi_index": multi_index.op5,
