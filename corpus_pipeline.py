@@ -1,31 +1,67 @@
-"""Corpus pipeline: language ID, exact dedup, near dedup, secret redaction, packing; each stage written as Parquet and read again."""
+"""Corpus pipeline: language ID, exact dedup, near dedup, secret redaction, packing; each stage is written as Parquet and read again.
+
+All stages but the last return the columns of documents. Nulls, empty and repeated rows, empty tables and further columns
+(which end with the first stage) are handled as each stage's operator says.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quillon.llm.common import settle, table
-from quillon.llm.exact_dedup import exact_dedup
+from quillon.llm.exact_dedup import exact_dedup, normalised
+from quillon.llm.langid import CrossParser, identify, training_rows
+from quillon.llm.ngram_join import ngram_jaccard_join
+from quillon.llm.packing import default_tokenizer, pack_documents
 from quillon.llm.secrets import redacted, secret_findings
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
+#: Near duplicates: words of a shingle and least similarity in hundredths; token orders that must agree.
+SHINGLE_WORDS, SIMILARITY, ORDERS = 5, 80, 2
+
+
+def keep_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose text is in some language stay, with the predicted language in lang; ``und`` (no letter, null) goes.
+    Where no language is labelled there is nothing to reject by, and all documents with a letter stay as they are."""
+    parser = CrossParser.fit(training_rows(docs))
+    if not parser.langs:
+        return docs.filter(F.col("text").rlike(r"\p{L}")).select(*COLUMNS)
+    told = identify(docs.select(*COLUMNS), parser).filter(F.col("lang_pred") != "und")
+    return told.withColumn("lang", F.col("lang_pred")).select(*COLUMNS)
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of equal texts the row with the smallest doc_id stays. Rows that repeat both doc_id and text come down to one."""
-    kept = exact_dedup(docs).filter("kept").select("doc_id", "text_sha256").distinct()
-    return docs.join(kept.select("doc_id"), "doc_id", "left_semi").select(*COLUMNS)
+    """Of equal texts the row with the smallest doc_id stays; of rows that repeat doc_id and text, one."""
+    kept = exact_dedup(docs).filter("kept").select(F.col("doc_id").alias("k_id"), F.col("text_sha256").alias("k_sha"))
+    sha = F.sha2(normalised(F.col("text")), 256)
+    rows = docs.select(*COLUMNS).withColumn("sha", sha)
+    rows = rows.join(kept, F.col("doc_id").eqNullSafe(F.col("k_id")) & (F.col("sha") == F.col("k_sha")), "left_semi")
+    first = F.row_number().over(Window.partitionBy("doc_id", "sha").orderBy("lang", "source", "n_chars"))
+    return rows.withColumn("k", first).filter(F.col("k") == 1).select(*COLUMNS)
+
+
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of linked documents the one with the smallest doc_id stays."""
+    near = ngram_jaccard_join(docs, n=SHINGLE_WORDS, num=SIMILARITY, den=100, orders=ORDERS)
+    stay = near.filter(F.col("component_id").isNull() | (F.col("component_id") == F.col("doc_id"))).select(F.col("doc_id").alias("k_id"))
+    return docs.join(stay, F.col("doc_id").eqNullSafe(F.col("k_id")), "left_semi").select(*COLUMNS)
 
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document stays; found secrets are replaced by a mark, and n_chars follows the text."""
-    found = secret_findings(docs)
+    found = secret_findings(docs.select(*COLUMNS))
     text = redacted(F.col("text"), F.col("findings"))
-    return found.withColumn("n_chars", F.when(F.size("findings") > 0, F.length(text).cast("long")).otherwise(F.col("n_chars"))).withColumn("text", text).select(*COLUMNS)
+    changed = F.size("findings") > 0
+    return found.withColumn("n_chars", F.when(changed, F.length(text).cast("long")).otherwise(F.col("n_chars"))).withColumn("text", text).select(*COLUMNS)
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """What is left, as pieces of packed sequences."""
+    return pack_documents(docs, default_tokenizer())
 
 
-STAGES = [("exact_dedup", drop_copies), ("secret_scan", redact_secrets)]
+STAGES = [("language_id", keep_languages), ("exact_dedup", drop_copies), ("near_dedup", drop_near_copies), ("secret_scan", redact_secrets), ("packing", pack)]
 #: The stages use models and contents that SQL can't express; a brute-force version tests them.
 ORACLE_SQL = None
 
