@@ -31,13 +31,12 @@ def route_queries(queries: DataFrame, keywords: list[tuple] | None = None, id_co
         made = F.array(*[F.struct(F.lit(c).alias("collection"), F.lit(float(w)).alias("weight"), F.lit(ordinal * 1000 + p).alias("place")) for c, w, p in pairs])
         hits.append(F.when(text.rlike(regex), made))
     found = F.flatten(F.filter(F.array(*hits), lambda h: h.isNotNull()))
-    ids = queries.select(F.col(id_col).alias("query_id"), text.alias("t"), found.alias("h"))
-    scored = ids.select("query_id", F.explode("h").alias("h")).groupBy("query_id", "h.collection").agg(F.sum("h.weight").alias("score"), F.min("h.place").alias("place"))
+    each = queries.select(F.col(id_col).alias("query_id"), F.explode_outer(found).alias("h"))
+    scored = each.groupBy("query_id", F.coalesce("h.collection", F.lit(CATCH_ALL)).alias("collection")).agg(F.sum(F.coalesce("h.weight", F.lit(0.0))).alias("score"), F.min("h.place").alias("place"))
     w = Window.partitionBy("query_id")
     ranked = scored.withColumn("best", F.max("score").over(w)).filter(F.col("score") >= share * F.col("best"))
     ranked = ranked.withColumn("rank", F.row_number().over(w.orderBy(F.desc("score"), "place"))).filter(F.col("rank") <= most)
-    rest = ids.filter(F.size("h") == 0).select("query_id", F.lit(CATCH_ALL).alias("collection"), F.lit(0.0).alias("score"), F.lit(1).alias("rank"))
-    return ranked.select("query_id", "collection", "score", "rank").unionByName(rest)
+    return ranked.select("query_id", "collection", "score", "rank")
 
 
 def route_papers(papers: DataFrame, categories: dict[str, str] | None = None, id_col: str = "paper_id", cat_col: str = "categories") -> DataFrame:

@@ -269,12 +269,12 @@ def sources_footnote(spark: SparkSession, d: str) -> DataFrame:
 @query(f"""
 WITH {_TOP5}, p AS (SELECT page_id, url, regexp_extract(html, '(?s)<title>(.*?)</title>', 1) AS title, row_number() OVER (ORDER BY page_id) AS pos FROM pages)
 SELECT 0 AS source_no, rank AS pos, left(text, 40) AS title, source || '.pdf' AS source_file, 1.0::DOUBLE AS score, 'documents' AS collection FROM top JOIN documents ON doc_id = id
-UNION ALL SELECT 1, NULL, title, url, 0.1, 'web' FROM p WHERE pos <= 5""")
+UNION ALL SELECT 1, 0, title, url, 0.1, 'web' FROM p WHERE pos <= 5""")
 def merge_web_results(spark: SparkSession, d: str) -> DataFrame:
     hits = _hits(spark, d).select(F.col("rank").cast("long").alias("pos"), "title", "source_file", F.lit(1.0).alias("score"), F.lit("documents").alias("collection"))
     first = table(spark, d, "pages").orderBy("page_id").limit(context.WEB_RESULTS)
     web = first.select(F.regexp_extract("html", r"(?s)<title>(.*?)</title>", 1).alias("title"), "url", F.lit("").alias("snippet"), F.row_number().over(Window.orderBy("page_id")).alias("pos"))
-    return context.merge_web(hits, web).select("source_no", "pos", "title", "source_file", "score", "collection")
+    return context.merge_web(hits, web).select("source_no", F.coalesce("pos", F.lit(0)).cast("long").alias("pos"), "title", "source_file", "score", "collection")
 
 
 @query("SELECT conv_id, coalesce(arg_max(text, turn) FILTER (role = 'user'), arg_max(text, turn)) AS text FROM conversations GROUP BY conv_id")
