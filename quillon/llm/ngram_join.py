@@ -7,14 +7,15 @@ tokens of like frequency.
 
 Plan: (1) one scan gives each document's set identity and the counts of frequent tokens; equal sets are one node from
 here on. (2) A second scan gives the prefixes. Under a token with few nodes, pairs of fitting sizes are formed, and
-pairs found under all orders stay; under a token with many nodes, each is tied to the least one only. (3) Tied nodes form blocks.
+pairs found under all orders stay. Under a token with many nodes no pairs are formed: a search over the list ties nodes whose
+sizes and token counts by hash bucket (a bound on what they can share) allow a link, with one tie for each node it reaches. (3) Tied nodes form blocks.
 Sets of a block meet in one task, or, above a size, in a grid of tasks for all pairs of its parts; there the same orders, sharpened by the
 block's own counts, pick candidates, and overlaps are counted exactly. (4) Links become components.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -109,6 +110,49 @@ def identity(s: np.ndarray) -> int:
     return int((mix(s, 2).sum(dtype=U) + U(len(s))).view(np.int64))
 
 
+#: Hash buckets that a node's tokens are counted in, a byte each: what two nodes share is at most the sum of their smaller counts.
+BUCKETS = 256
+
+
+def bucket_counts(s: np.ndarray) -> bytes | None:
+    """None if a bucket doesn't fit a byte."""
+    c = np.bincount((mix(s, 15) >> U(56)).astype(np.int64), minlength=BUCKETS)
+    return c.astype(np.uint8).tobytes() if c.max() < 256 else None
+
+
+def list_ties(ids: np.ndarray, sizes: np.ndarray, counts: list[bytes | None], num: int, den: int) -> list[tuple[int, int]]:
+    """Ties that connect the nodes of a list wherever sizes and bucket counts allow a link; each node reached is looked for no more."""
+    known = np.array([c is not None for c in counts])
+    matrix = np.frombuffer(b"".join(c if c is not None else bytes(BUCKETS) for c in counts), dtype=np.uint8).reshape(len(ids), BUCKETS)
+    left, ties = np.argsort(sizes, kind="stable"), []
+    while len(left):
+        queue, left = [left[0]], left[1:]
+        while queue and len(left):
+            x = queue.pop()
+            small, large = np.minimum(sizes[left], sizes[x]), np.maximum(sizes[left], sizes[x])
+            may = den * small >= num * large
+            at = np.flatnonzero(may & known[left] & known[x])
+            shared = np.minimum(matrix[left[at]], matrix[x]).sum(axis=1, dtype=np.int64)
+            may[at] = den * shared >= num * (small[at] + large[at] - shared)
+            hit = left[may]
+            ties += [(int(ids[x]), int(ids[y])) for y in hit]
+            queue += hit.tolist()
+            left = left[~may]
+    return ties
+
+
+def _possible(batches: Iterator[pa.RecordBatch], num: int, den: int) -> Iterator[pa.RecordBatch]:
+    """The pairs (a, b, n_a, c_a, n_b, c_b in any order) that sizes and bucket counts allow to link."""
+    for b in batches:
+        na, nb = (b.column(c).to_numpy() for c in ("n_a", "n_b"))
+        ca, cb = (b.column(c).to_pylist() for c in ("c_a", "c_b"))
+        none = bytes(BUCKETS)
+        one, two = (np.frombuffer(b"".join(x or none for x in c), dtype=np.uint8).reshape(-1, BUCKETS) for c in (ca, cb))
+        shared = np.minimum(one, two).sum(axis=1, dtype=np.int64)
+        unknown = np.array([x is None or y is None for x, y in zip(ca, cb, strict=True)], dtype=bool)
+        yield b.select(["a", "b"]).filter(pa.array(unknown | (den * shared >= num * (na + nb - shared))))
+
+
 def prefix_length(n, num: int, den: int):
     """A partner has ceil(n * num / den) of the n tokens at least, so one among the first n - that + 1 under any order."""
     return n - (n * num + den - 1) // den + 1
@@ -201,30 +245,34 @@ def ngram_jaccard_join(
     make_importable(spark)
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
 
+    names = ["doc_id", "n", "key", "token", "fresh", "counts"]
+
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler, seen, held, size = Shingler(n), set(), [], 0
 
         def counts() -> pa.RecordBatch:
             tokens, c = np.unique(np.concatenate(held) if held else np.zeros(0, U), return_counts=True)
             tokens, c = tokens[c >= often].view(np.int64), c[c >= often]
-            return pa.RecordBatch.from_arrays([pa.nulls(len(c), pa.int64()), pa.array(c.astype(np.int64)), pa.array(tokens), pa.array(np.ones(len(c), dtype=bool))], ["doc_id", "n", "key", "token"])
+            return pa.RecordBatch.from_arrays([pa.nulls(len(c), pa.int64()), pa.array(c.astype(np.int64)), pa.array(tokens), pa.array(np.ones(len(c), dtype=bool)), pa.array(np.zeros(len(c), dtype=bool)), pa.nulls(len(c), pa.binary())], names)
 
         for b in batches:
-            sizes, keys = [], []
+            sizes, keys, fresh, buckets = [], [], [], []
             for s in shingler.sets(b.column("text")):
                 sizes.append(len(s))
                 keys.append(identity(s) if len(s) else 0)
-                if len(s) and keys[-1] not in seen:
+                fresh.append(len(s) > 0 and keys[-1] not in seen)
+                buckets.append(bucket_counts(s) if fresh[-1] else None)
+                if fresh[-1]:
                     seen.add(keys[-1])
                     held.append(s)
                     size += len(s)
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(keys, pa.int64()), pa.array(np.zeros(len(b), dtype=bool))], ["doc_id", "n", "key", "token"])
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(keys, pa.int64()), pa.array(np.zeros(len(b), dtype=bool)), pa.array(fresh), pa.array(buckets, pa.binary())], names)
             if size > 8_000_000:
                 yield counts()
                 held, size, seen = [], 0, set()
         yield counts()
 
-    scanned = settle(texts.mapInArrow(scan, "doc_id long, n long, key long, token boolean"), "ngram-scan")
+    scanned = settle(texts.mapInArrow(scan, "doc_id long, n long, key long, token boolean, fresh boolean, counts binary"), "ngram-scan")
     counted = scanned.filter("token").groupBy("key").agg(F.sum("n").alias("c")).filter(F.col("c") > few)
     top = counted.orderBy(F.desc("c"), "key").limit(most_frequent).toPandas()
     frequent, frequency = top["key"].to_numpy(dtype=np.int64).view(U), np.minimum(63, np.log2(top["c"].to_numpy(dtype=float) + 1)).astype(np.int64)
@@ -254,21 +302,33 @@ def ngram_jaccard_join(
     exploded = pre.select("sid", F.col("n").cast("int").alias("n"), F.posexplode(F.array(*[F.col(f"k{k}") for k in range(orders)])).alias("k", "keys"))
     rows = exploded.select("sid", "n", F.col("k").cast("byte").alias("k"), F.explode("keys").alias("key"))
     w = Window.partitionBy("key", "k")
-    lists = rows.select("*", F.count(F.lit(1)).over(w).alias("many"), F.min("sid").over(w).alias("low"), F.max("sid").over(w).alias("high"))
-    lists = settle(lists.filter(F.col("low") < F.col("high")).drop("high"), "ngram-lists")
-    short = lists.filter(F.col("many") <= few).groupBy("key", "k").agg(F.array_sort(F.collect_list(F.struct("n", "sid"))).alias("xs"))
-    fits = F.flatten(
-        F.transform(
-            "xs",
-            lambda x, i: F.transform(
-                F.filter(F.slice("xs", i + 2, few), lambda y: (x["n"] * den >= y["n"].cast("long") * num) & (x["sid"] != y["sid"])),
-                lambda y: F.struct(F.least(x["sid"], y["sid"]).alias("a"), F.greatest(x["sid"], y["sid"]).alias("b")),
-            ),
-        )
+    listed = rows.select("*", F.count(F.lit(1)).over(w).alias("many"), F.min("sid").over(w).alias("low"), F.max("sid").over(w).alias("high"))
+    ahead = F.collect_list(F.struct("n", "sid")).over(w.orderBy("n", "sid").rowsBetween(1, few))  # a list of few has no more
+    listed = listed.filter(F.col("low") < F.col("high")).select("key", "k", "sid", "n", "many", ahead.alias("ahead"))
+    no = F.lit(None).cast("long")
+    pairs = F.transform(
+        F.filter("ahead", lambda y: (F.col("n") * den >= y["n"].cast("long") * num) & (F.col("sid") != y["sid"])),
+        lambda y: F.struct("k", F.least("sid", y["sid"]).alias("a"), F.greatest("sid", y["sid"]).alias("b"), no.alias("key"), no.alias("n")),
     )
-    pairs = short.select("k", F.explode(fits).alias("p")).select("p.a", "p.b", F.expr("shiftleft(1, cast(k as int))").alias("bit"))
-    agreed = pairs.groupBy("a", "b").agg(F.bit_or("bit").alias("bits")).filter(F.col("bits") == 2**orders - 1).select("a", "b")
-    tied = lists.filter((F.col("many") > few) & (F.col("sid") != F.col("low"))).select(F.col("low").alias("a"), F.col("sid").alias("b")).distinct()
+    alone = F.array(F.struct("k", F.col("sid").alias("a"), no.alias("b"), "key", F.col("n").cast("long").alias("n")))
+    lists = settle(listed.select(F.explode(F.when(F.col("many") <= few, pairs).otherwise(alone)).alias("e")).select("e.*"), "ngram-lists")
+    pairs = lists.filter(F.col("b").isNotNull()).select("a", "b", F.expr("shiftleft(1, cast(k as int))").alias("bit"))
+    crowded = lists.filter(F.col("b").isNull()).select("key", "k", F.col("a").alias("sid"), "n")
+    excused = crowded.groupBy("sid").agg(F.bit_or(F.expr("shiftleft(1, cast(k as int))")).alias("x"))
+    found = pairs.groupBy("a", "b").agg(F.bit_or("bit").alias("bits"))
+    for side in ("a", "b"):  # what a crowded token would have shown isn't asked of the pair
+        found = found.join(excused.select(F.col("sid").alias(side), F.col("x").alias(f"x_{side}")), side, "left")
+    excuse = F.coalesce("x_a", F.lit(0)).bitwiseAND(F.coalesce("x_b", F.lit(0)))
+    agreed = settle(found.filter(F.col("bits").bitwiseOR(excuse) == 2**orders - 1).select("a", "b"), "ngram-agreed")
+    asked = agreed.select(F.col("a").alias("key")).unionByName(agreed.select(F.col("b").alias("key"))).unionByName(crowded.filter(F.col("k") == 0).select(F.col("sid").alias("key"))).distinct()
+    known = scanned.filter("fresh").select("key", "n", "counts").join(asked, "key", "left_semi")
+    counts = settle(known.dropDuplicates(["key"]).select(F.col("key").alias("sid"), F.col("n").alias("size"), "counts"), "ngram-counts")
+    for side in ("a", "b"):
+        agreed = agreed.join(counts.select(F.col("sid").alias(side), F.col("size").alias(f"n_{side}"), F.col("counts").alias(f"c_{side}")), side)
+    agreed = agreed.mapInArrow(lambda batches: _possible(batches, num, den), "a long, b long")
+    counts = counts.drop("size")
+    listed = crowded.filter(F.col("k") == 0).select("key", "sid", "n").distinct().join(counts, "sid")
+    tied = _by_key(listed.select("key", "n", "sid", "counts"), ["key"], "a long, b long", lambda key, rows: _ties_of(rows, num, den))
     blocks = settle(connected_components(agreed.unionByName(tied)), "ngram-blocks")
 
     nodes = scanned.filter(~F.col("token") & (F.col("n") > 0)).groupBy(F.col("key").alias("sid")).agg(F.min("doc_id").alias("least_id"), F.max("n").alias("n"))
@@ -311,29 +371,53 @@ def _links_of(texts: DataFrame, placed: DataFrame, n: int, num: int, den: int, o
     cell = lambda q: F.struct(F.least(F.col("part"), q).alias("p"), F.greatest(F.col("part"), q).alias("q"))
     dealt = sets.withColumn("cell", F.explode(F.transform(parts, cell))).select("component", "cell.p", "cell.q", "part", "sid", "tokens")
 
-    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, held, links = None, {}, []
+    def links(key: tuple, rows: list[tuple]) -> list[tuple[int, int]]:
+        held = {sid: (part, np.frombuffer(tokens, dtype=U)) for *_, part, sid, tokens in rows}
+        if len(held) < 2:
+            return []
+        halves = np.array([x[0] for x in held.values()]) if key[1] != key[2] else None
+        return block_links(np.array(list(held), dtype=np.int64), [x[1] for x in held.values()], num, den, orders, halves)
+
+    return _by_key(dealt, ["component", "p", "q"], "a long, b long", links)
+
+
+#: A list beyond this is tied to its first node untested: more ties than needed, but none is lost.
+LONG_LIST = 50_000
+
+
+def _ties_of(rows: list[tuple], num: int, den: int) -> list[tuple[int, int]]:
+    _, sizes, ids, counts = zip(*rows, strict=True)
+    if len(rows) > LONG_LIST:
+        return [(ids[0], i) for i in ids[1:]]
+    return list_ties(np.array(ids, dtype=np.int64), np.array(sizes, dtype=np.int64), list(counts), num, den)
+
+
+def _by_key(df: DataFrame, keys: list[str], schema: str, work: Callable[[tuple, list[tuple]], list[tuple]]) -> DataFrame:
+    """work(key, rows) for each key's rows (the keys are the first columns), one key in memory at a time; longs come out."""
+    parts = max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    names = [x.split()[0] for x in schema.split(", ")]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, held, out = None, [], []
 
-        def close() -> None:
-            if len(held) > 1:
-                ids = np.array(list(held), dtype=np.int64)
-                halves = np.array([x[0] for x in held.values()])
-                links.extend(block_links(ids, [x[1] for x in held.values()], num, den, orders, halves if key[1] != key[2] else None))
+        def batch() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], pa.int64()) for k in range(len(names))], names)
 
         for b in batches:
-            for c, p, q, part, sid, tokens in zip(*(b.column(k).to_pylist() for k in range(6)), strict=True):
-                if (c, p, q) != key:
-                    close()
-                    key, held = (c, p, q), {}
-                held[sid] = (part, np.frombuffer(tokens, dtype=U))
-            if links:
-                yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in links], pa.int64()), pa.array([x[1] for x in links], pa.int64())], ["a", "b"])
-                links.clear()
-        close()
-        yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in links], pa.int64()), pa.array([x[1] for x in links], pa.int64())], ["a", "b"])
-
-    cells = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    return dealt.repartition(cells, "component", "p", "q").sortWithinPartitions("component", "p", "q").mapInArrow(verify, "a long, b long")
+            for row in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                if row[: len(keys)] != key:
+                    if held:
+                        out += work(key, held)
+                    key, held = row[: len(keys)], []
+                held.append(row)
+            if len(out) > 10_000:
+                yield batch()
+                out.clear()
+        if held:
+            out += work(key, held)
+        yield batch()
+
+    return df.repartition(parts, *keys).sortWithinPartitions(*keys).mapInArrow(run, schema)
 
 
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
