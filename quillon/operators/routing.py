@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -27,9 +29,10 @@ def route_queries(queries: DataFrame, keywords: list[tuple] | None = None, id_co
         by_pattern.setdefault((ordinal, pattern), []).append((collection, weight, pair))
     hits = []
     for (ordinal, pattern), pairs in by_pattern.items():
-        regex = rf"\b(?:{pattern})\b" if word_bounds else pattern
+        plain = not word_bounds and re.fullmatch(r"[\w -]+", pattern)  # a search for bytes is ten times faster than for a regex
+        hit = F.contains(text, F.lit(pattern)) if plain else text.rlike(rf"\b(?:{pattern})\b" if word_bounds else pattern)
         made = F.array(*[F.struct(F.lit(c).alias("collection"), F.lit(float(w)).alias("weight"), F.lit(ordinal * 1000 + p).alias("place")) for c, w, p in pairs])
-        hits.append(F.when(text.rlike(regex), made))
+        hits.append(F.when(hit, made))
     found = F.flatten(F.filter(F.array(*hits), lambda h: h.isNotNull()))
     each = queries.select(F.col(id_col).alias("query_id"), F.explode_outer(found).alias("h"))
     scored = each.groupBy("query_id", F.coalesce("h.collection", F.lit(CATCH_ALL)).alias("collection")).agg(F.sum(F.coalesce("h.weight", F.lit(0.0))).alias("score"), F.min("h.place").alias("place"))
