@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .routing_tables import CATCH_ALL, CATEGORIES, KEYWORDS
@@ -27,13 +27,17 @@ def route_queries(queries: DataFrame, keywords: list[tuple] | None = None, id_co
     by_pattern: dict[tuple[int, str], list[tuple]] = {}
     for pattern, ordinal, collection, weight, pair in rows:
         by_pattern.setdefault((ordinal, pattern), []).append((collection, weight, pair))
-    hits = []
-    for (ordinal, pattern), pairs in by_pattern.items():
-        plain = not word_bounds and re.fullmatch(r"[\w -]+", pattern)  # a search for bytes is ten times faster than for a regex
-        hit = F.contains(text, F.lit(pattern)) if plain else text.rlike(rf"\b(?:{pattern})\b" if word_bounds else pattern)
-        made = F.array(*[F.struct(F.lit(c).alias("collection"), F.lit(float(w)).alias("weight"), F.lit(ordinal * 1000 + p).alias("place")) for c, w, p in pairs])
-        hits.append(F.when(hit, made))
-    found = F.flatten(F.filter(F.array(*hits), lambda h: h.isNotNull()))
+
+    def hits(t: Column) -> Column:
+        out = []
+        for (ordinal, pattern), pairs in by_pattern.items():
+            made = F.array(*[F.struct(F.lit(c).alias("collection"), F.lit(float(w)).alias("weight"), F.lit(ordinal * 1000 + p).alias("place")) for c, w, p in pairs])
+            plain = not word_bounds and re.fullmatch(r"[\w -]+", pattern)  # a search for bytes is faster than for a regex
+            out.append(F.when(F.contains(t, F.lit(pattern)) if plain else t.rlike(rf"\b(?:{pattern})\b" if word_bounds else pattern), made))
+        return F.flatten(F.filter(F.array(*out), lambda h: h.isNotNull()))
+
+    # a lambda binds the lowered text once; written out, every pattern would lower it again
+    found = F.flatten(F.transform(F.array(text), hits))
     each = queries.select(F.col(id_col).alias("query_id"), F.explode_outer(found).alias("h"))
     scored = each.groupBy("query_id", F.coalesce("h.collection", F.lit(CATCH_ALL)).alias("collection")).agg(F.sum(F.coalesce("h.weight", F.lit(0.0))).alias("score"), F.min("h.place").alias("place"))
     w = Window.partitionBy("query_id")
