@@ -13,7 +13,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import make_importable, table
@@ -130,8 +130,12 @@ def training_rows(docs: DataFrame, labels: DataFrame, categories: dict[str, F.Co
     categories: name -> 0/1 column over labels; rows with a null label or text aren't used."""
     marked = labels.select("doc_id", *[c.cast("int").alias(k) for k, c in categories.items()]).dropna().dropDuplicates(["doc_id"])
     last = list(categories)[-1]
-    chosen = marked.withColumn("h", F.xxhash64("doc_id")).withColumn("k", F.row_number().over(Window.partitionBy(last).orderBy("h", "doc_id"))).filter(F.col("k") <= rows_per_value)
-    rows = chosen.join(docs.select("doc_id", "text").filter(F.col("text").isNotNull()), "doc_id").orderBy("h", "doc_id").limit(2 * rows_per_value).toPandas()
+    order = [F.xxhash64("doc_id"), F.col("doc_id")]
+    some = [marked.filter(F.col(last) == v).orderBy(*order).limit(rows_per_value) for v in (0, 1)]
+    chosen = some[0].unionByName(some[1])  # 2 * rows_per_value small rows at most, so they may be broadcast
+    rows = docs.select("doc_id", "text").filter(F.col("text").isNotNull()).join(F.broadcast(chosen), "doc_id").toPandas()
+    rows = rows.sort_values(["doc_id", "text"]).head(2 * rows_per_value)
+    rows = rows.iloc[np.random.default_rng(11).permutation(len(rows))]  # folds go by row number
     return rows["text"].tolist(), rows[list(categories)].to_numpy(dtype=int).reshape(len(rows), len(categories))
 
 
