@@ -20,6 +20,7 @@ import pandas as pd
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import make_importable, table
 
@@ -67,7 +68,7 @@ def pack_items(df: DataFrame, demand_cols: Sequence[str] = ("tokens", "segments"
     """
     make_importable(df.sparkSession)
     base = df.select(*[F.col(f"`{c}`") for c in df.columns if c.lower() not in ("sequence_id", "position")])
-    schema = base.schema.add("sequence_id", "long").add("position", "int")
+    schema = T.StructType([*base.schema.fields, T.StructField("sequence_id", T.LongType()), T.StructField("position", T.IntegerType())])
     columns, names = list(demand_cols), base.columns
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

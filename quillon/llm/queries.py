@@ -18,7 +18,5 @@ QUERIES = {
 }
 ORACLE_SQL = {
     "op4_exact_dedup": exact_dedup.OP4_SQL,
-    "op5_multi_index": multi_index.op5,
-    "op6_toxicity_chain": toxicity.op6,
     "op7_url_filter": url_filter.OP7_SQL,
 }
