@@ -23,8 +23,16 @@ ROWS_PER_VALUE, VOCABULARY, FOLDS = 4_000, 4_096, 5
 _WORD = re.compile(r"\w+")
 
 
+#: Lengths of the word beginnings that are features too: inflected and compound words share them.
+STEMS = (5, 6, 7, 8)
+#: A feature has this many labelled documents, and its shares differ by this many standard errors.
+LEAST_DOCS, LEAST_Z = 5, 5.0
+
+
 def words_of(text: str) -> set[str]:
-    return set(_WORD.findall(text.lower()))
+    """Distinct words, lower-cased, and the beginnings of longer ones, each with a hyphen."""
+    words = set(_WORD.findall(text.lower()))
+    return words.union(*({w[:k] + "-" for w in words if len(w) > k} for k in STEMS))
 
 
 @dataclass
@@ -36,7 +44,7 @@ class Linear:
     bias: float
 
     @classmethod
-    def fit(cls, rows: list[np.ndarray], width: int, dense: np.ndarray, y: np.ndarray, penalty: float = 2e-4, rounds: int = 150) -> Linear:
+    def fit(cls, rows: list[np.ndarray], width: int, dense: np.ndarray, y: np.ndarray, penalty: float = 2e-4, rounds: int = 300) -> Linear:
         doc, feat = np.repeat(np.arange(len(rows)), [len(r) for r in rows]), np.concatenate([*rows, np.zeros(0, np.int64)]).astype(np.int64)
         w, v = np.zeros(width), np.zeros(dense.shape[1])
         share = np.clip(y.mean() if len(y) else 0.5, 1e-3, 1 - 1e-3)
@@ -105,11 +113,11 @@ def vocabulary_of(bags: list[set[str]], labels: np.ndarray, size: int) -> dict[s
         n1 = int(positive.sum())
         n0, one = n - n1, Counter(w for b, p in zip(bags, positive, strict=True) if p for w in b)
         for w, total in every.items():
-            if total >= 3:
+            if total >= LEAST_DOCS:
                 p, q, pool = one[w] / max(1, n1), (total - one[w]) / max(1, n0), total / n
                 z = abs(p - q) / (pool * (1 - pool) * (1 / max(1, n1) + 1 / max(1, n0)) + 1e-9) ** 0.5
                 best[w] = max(best.get(w, 0.0), z)
-    chosen = sorted((w for w in best if best[w] >= 3), key=lambda w: (-best[w], w))[:size]
+    chosen = sorted((w for w in best if best[w] >= LEAST_Z), key=lambda w: (-best[w], w))[:size]
     return {w: i for i, w in enumerate(sorted(chosen))}
 
 
