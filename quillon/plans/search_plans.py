@@ -286,3 +286,20 @@ def last_user_message(spark: SparkSession, d: str) -> DataFrame:
 def sse_frames(spark: SparkSession, d: str) -> DataFrame:
     f = table(spark, d, "conversations").filter("text <> ''").withColumn("f", context.frames(F.col("text")))
     return f.select("conv_id", "turn", F.size("f").alias("n_frames"), F.element_at("f", 1).alias("first_frame"), F.element_at("f", -1).alias("last_frame"))
+
+
+@query()
+def chat_answer(spark: SparkSession, d: str) -> DataFrame:
+    """One question from routing to the response: hybrid search, reranking, context, answer, JSON; its parts have their own SQL."""
+    docs, text = table(spark, d, "documents"), query_text(spark, d)
+    question = spark.createDataFrame([(0, text)], "query_id int, query string")
+    found = search.hybrid(table(spark, d, "embeddings"), docs, query_vector(spark, d), text, 50).select("id", "score")
+    rows = docs.join(F.broadcast(found), docs["doc_id"] == found["id"]).select("id", "lang", "text", F.lit(text).alias("query"), F.lit(0).alias("query_id"))
+    best = context.rerank(rows)
+    c = F.col
+    cited = best.select("query_id", c("rerank_rank").alias("rank"), context.citation(c("rerank_rank"), c("id").cast("string"), F.left("text", F.lit(40)), F.lit(""), F.lit(None).cast("int"), c("lang"), F.lit("abstract"), F.lit(""), c("text"), F.lit(""))).toDF("query_id", "rank", "citation")
+    routed = routing.route_queries(question).groupBy("query_id").agg(F.sort_array(F.collect_list("collection")).alias("collections"))
+    built = context.build_context(cited, question).join(routed, "query_id")
+    answer = context.extractive_answer(F.col("context"))
+    n = F.size(words(F.col("context")))
+    return built.select("query_id", "collections", F.md5("context").alias("context_md5"), context.chat_response(F.lit("r0"), F.lit("extractive"), answer, n, F.size(words(answer))).alias("response"))
