@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from .common import make_importable, settle, table
+from .common import give_back, make_importable, settle, table
 from .components import connected_components
 
 U = np.uint64
@@ -37,7 +37,7 @@ _SALT = _rng.integers(0, 2**63, 16, dtype=np.uint64)
 _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
 #: Text bytes that are hashed at a time.
-SLICE = 1 << 20
+SLICE = 1 << 18
 
 
 def mix(x: np.ndarray, salt: int = 0) -> np.ndarray:
@@ -110,20 +110,47 @@ def identity(s: np.ndarray) -> int:
     return int((mix(s, 2).sum(dtype=U) + U(len(s))).view(np.int64))
 
 
-#: Hash buckets that a node's tokens are counted in, a byte each: what two nodes share is at most the sum of their smaller counts.
-BUCKETS = 256
+#: Fewest hash buckets that a node's tokens are counted in, a byte each; a node has so many that few tokens share one.
+BUCKETS, TOKENS_A_BUCKET = 256, 4
 
 
 def bucket_counts(s: np.ndarray) -> bytes | None:
-    """None if a bucket doesn't fit a byte."""
-    c = np.bincount((mix(s, 15) >> U(56)).astype(np.int64), minlength=BUCKETS)
+    """Tokens by hash bucket: what two nodes share is at most the sum of their smaller counts. None if a count doesn't fit a byte."""
+    bits = max(BUCKETS.bit_length() - 1, (len(s) // TOKENS_A_BUCKET).bit_length())
+    c = np.bincount((mix(s, 15) >> U(64 - bits)).astype(np.int64), minlength=1 << bits)
     return c.astype(np.uint8).tobytes() if c.max() < 256 else None
 
 
+def folded(c: np.ndarray, size: int) -> np.ndarray:
+    """Counts, in the last axis, in fewer buckets: neighbours belong together."""
+    return c.reshape(*c.shape[:-1], size, -1).sum(axis=-1, dtype=np.uint16)
+
+
+def most_shared(a: bytes, b: bytes) -> int:
+    x, y = np.frombuffer(a, dtype=np.uint8), np.frombuffer(b, dtype=np.uint8)
+    if len(x) != len(y):
+        x, y = (folded(v, min(len(x), len(y))) for v in (x, y))
+    return int(np.minimum(x, y).sum(dtype=np.int64))
+
+
 def list_ties(ids: np.ndarray, sizes: np.ndarray, counts: list[bytes | None], num: int, den: int) -> list[tuple[int, int]]:
     """Ties that connect the nodes of a list wherever sizes and bucket counts allow a link; each node reached is looked for no more."""
-    known = np.array([c is not None for c in counts])
-    matrix = np.frombuffer(b"".join(c if c is not None else bytes(BUCKETS) for c in counts), dtype=np.uint8).reshape(len(ids), BUCKETS)
+    width = np.array([len(c) if c is not None else 0 for c in counts])
+    where, own = np.zeros(len(ids), dtype=np.int64), {}
+    for w in np.unique(width[width > 0]).tolist():
+        at = np.flatnonzero(width == w)
+        where[at] = np.arange(len(at))
+        own[w] = np.frombuffer(b"".join(counts[i] for i in at), dtype=np.uint8).reshape(len(at), w)
+
+    def shared(x: int, others: np.ndarray) -> np.ndarray:
+        out, mine = np.zeros(len(others), dtype=np.int64), own[width[x]][where[x]]
+        for w in np.unique(width[others]).tolist():
+            k, w_min = np.flatnonzero(width[others] == w), min(w, int(width[x]))
+            theirs = own[w][where[others[k]]]
+            one, two = (v if v.shape[-1] == w_min else folded(v, w_min) for v in (mine, theirs))
+            out[k] = np.minimum(one, two).sum(axis=1, dtype=np.int64)
+        return out
+
     left, ties = np.argsort(sizes, kind="stable"), []
     while len(left):
         queue, left = [left[0]], left[1:]
@@ -131,9 +158,10 @@ def list_ties(ids: np.ndarray, sizes: np.ndarray, counts: list[bytes | None], nu
             x = queue.pop()
             small, large = np.minimum(sizes[left], sizes[x]), np.maximum(sizes[left], sizes[x])
             may = den * small >= num * large
-            at = np.flatnonzero(may & known[left] & known[x])
-            shared = np.minimum(matrix[left[at]], matrix[x]).sum(axis=1, dtype=np.int64)
-            may[at] = den * shared >= num * (small[at] + large[at] - shared)
+            if width[x]:
+                at = np.flatnonzero(may & (width[left] > 0))
+                most = shared(x, left[at])
+                may[at] = den * most >= num * (small[at] + large[at] - most)
             hit = left[may]
             ties += [(int(ids[x]), int(ids[y])) for y in hit]
             queue += hit.tolist()
@@ -142,15 +170,11 @@ def list_ties(ids: np.ndarray, sizes: np.ndarray, counts: list[bytes | None], nu
 
 
 def _possible(batches: Iterator[pa.RecordBatch], num: int, den: int) -> Iterator[pa.RecordBatch]:
-    """The pairs (a, b, n_a, c_a, n_b, c_b in any order) that sizes and bucket counts allow to link."""
+    """The pairs (a, b, n_a, c_a, n_b, c_b in any order) that bucket counts allow to link."""
     for b in batches:
-        na, nb = (b.column(c).to_numpy() for c in ("n_a", "n_b"))
-        ca, cb = (b.column(c).to_pylist() for c in ("c_a", "c_b"))
-        none = bytes(BUCKETS)
-        one, two = (np.frombuffer(b"".join(x or none for x in c), dtype=np.uint8).reshape(-1, BUCKETS) for c in (ca, cb))
-        shared = np.minimum(one, two).sum(axis=1, dtype=np.int64)
-        unknown = np.array([x is None or y is None for x, y in zip(ca, cb, strict=True)], dtype=bool)
-        yield b.select(["a", "b"]).filter(pa.array(unknown | (den * shared >= num * (na + nb - shared))))
+        n = (b.column("n_a").to_numpy() + b.column("n_b").to_numpy()).tolist()
+        keep = [x is None or y is None or den * (m := most_shared(x, y)) >= num * (t - m) for x, y, t in zip(b.column("c_a").to_pylist(), b.column("c_b").to_pylist(), n, strict=True)]
+        yield b.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
 
 def prefix_length(n, num: int, den: int):
@@ -267,10 +291,11 @@ def ngram_jaccard_join(
                     held.append(s)
                     size += len(s)
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(keys, pa.int64()), pa.array(np.zeros(len(b), dtype=bool)), pa.array(fresh), pa.array(buckets, pa.binary())], names)
-            if size > 8_000_000:
+            if size > 1_000_000:
                 yield counts()
                 held, size, seen = [], 0, set()
         yield counts()
+        give_back()
 
     scanned = settle(texts.mapInArrow(scan, "doc_id long, n long, key long, token boolean, fresh boolean, counts binary"), "ngram-scan")
     counted = scanned.filter("token").groupBy("key").agg(F.sum("n").alias("c")).filter(F.col("c") > few)
@@ -297,6 +322,7 @@ def ngram_jaccard_join(
             if len(seen) > 500_000:
                 seen = set()
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(sizes, pa.int64()), *[_set_array(k) for k in keys]], ["sid", "n", *[f"k{k}" for k in range(orders)]])
+        give_back()
 
     pre = texts.select("text").mapInArrow(prefixes, "sid long, n long, " + ", ".join(f"k{k} array<long>" for k in range(orders)))
     exploded = pre.select("sid", F.col("n").cast("int").alias("n"), F.posexplode(F.array(*[F.col(f"k{k}") for k in range(orders)])).alias("k", "keys"))
@@ -365,6 +391,7 @@ def _links_of(texts: DataFrame, placed: DataFrame, n: int, num: int, den: int, o
             part = b.filter(pa.array((bits[h >> U(6)] >> (h & U(63))) & U(1) == 1))
             sets = [s for s in shingler.sets(part.column("text")) if len(s)]
             yield pa.RecordBatch.from_arrays([pa.array([identity(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], ["sid", "tokens"])
+        give_back()
 
     sets = hashed.mapInArrow(needed, "sid long, tokens binary").join(placed.drop("least_id"), "sid")
     parts = F.sequence(F.lit(0), F.col("parts") - 1)
@@ -416,6 +443,7 @@ def _by_key(df: DataFrame, keys: list[str], schema: str, work: Callable[[tuple,
         if held:
             out += work(key, held)
         yield batch()
+        give_back()
 
     return df.repartition(parts, *keys).sortWithinPartitions(*keys).mapInArrow(run, schema)
 
