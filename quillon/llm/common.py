@@ -34,6 +34,21 @@ def make_importable(spark: SparkSession) -> None:
         env["PYTHONPATH"] = os.pathsep.join(x for x in (root, env.get("PYTHONPATH", "")) if x)
 
 
+def give_back() -> None:
+    """At a task's end: what a reused Python worker holds free goes back to the system, as other tasks share the executor."""
+    import ctypes
+    import gc
+
+    import pyarrow as pa
+
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library
+        return
+
+
 def scratch_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir; where that is unset (tests), one of our own."""
     base = spark.conf.get("spark.checkpoint.dir", None)

@@ -15,7 +15,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import make_importable, table
+from .common import give_back, make_importable, table
 
 #: Bounds of the model: labelled documents a language, characters of each, characters a language, languages.
 DOCS_PER_LANG, CHARS_PER_DOC, CHARS_PER_LANG, MAX_LANGS = 64, 1_500, 24_000, 64
@@ -198,6 +198,7 @@ def identify(docs: DataFrame, parser: CrossParser, id_col: str = "doc_id", text_
                     rest = float(np.delete(b, k).min()) if len(b) > 1 else None
                     out.append((model.langs[k], 1.0 if rest is None else rest / (b[k] + rest)))
             yield pd.DataFrame(out, columns=["lang_pred", "score"])
+        give_back()
 
     base = [F.col(f"`{c}`") for c in docs.columns if c.lower() not in ("lang_pred", "score", "__p")]
     return docs.select(*base, predict(F.col(text_col)).alias("__p")).select(*base, F.col("__p.lang_pred").alias("lang_pred"), F.col("__p.score").alias("score"))

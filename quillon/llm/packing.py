@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import make_importable, table
+from .common import give_back, make_importable, table
 
 CAPACITY = 2048
 END_ID = 1
@@ -270,6 +270,7 @@ def pack_documents(
         packed()
         if out:
             yield _frame(out, schema)
+        give_back()
 
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).mapInPandas(run, schema)
 
