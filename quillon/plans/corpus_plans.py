@@ -233,6 +233,17 @@ def citation_bfs(spark: SparkSession, d: str) -> DataFrame:
     return graph.levels(edges, spark.range(1, 2).select("id"), depth=2)
 
 
+@query("""
+WITH RECURSIVE p AS (SELECT DISTINCT -l_suppkey AS s, l_partkey AS t FROM lineitem), e AS (SELECT s AS src, t AS dst FROM p UNION ALL SELECT t, s FROM p),
+b AS (SELECT -1::BIGINT AS node, 0 AS level UNION SELECT e.dst, b.level + 1 FROM b JOIN e ON e.src = b.node WHERE b.level < 2)
+SELECT node, min(level)::INTEGER AS level FROM b GROUP BY node""")
+def citation_bfs_all(spark: SparkSession, d: str) -> DataFrame:
+    """Over the edges of citation_topn, all of them and both ways; suppliers are negative nodes, parts positive ones."""
+    pairs = table(spark, d, "lineitem").select((-F.col("l_suppkey")).alias("src"), F.col("l_partkey").alias("dst")).distinct()
+    edges = pairs.unionByName(pairs.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
+    return graph.levels(edges, spark.range(1).select((F.col("id") - 1).alias("id")), depth=2)
+
+
 @query("""
 SELECT user_id % 10 AS part, count(*) AS attempted, count(*) FILTER (event_type = 'purchase') AS ok, count(*) FILTER (event_type = 'view') AS skipped, count(*) FILTER (event_type = 'error') AS failed, sum((props::JSON->>'k')::BIGINT)::BIGINT AS chunks
 FROM events GROUP BY 1""")
