@@ -332,7 +332,7 @@ def availability_case(spark: SparkSession, d: str) -> DataFrame:
 
 @query(r"SELECT doc_id, list_distinct(list_transform(regexp_extract_all(left(text, 50) || ' see 2101.0' || lpad((doc_id % 1000)::VARCHAR, 4, '0') || 'v2 and 2101.00001, 1706.3762.', '\b(\d{4}\.\d{4,5}(?:v\d+)?)\b', 1), lambda x: split_part(x, 'v', 1))).list_sort() AS ids FROM documents")
 def arxiv_id_extract(spark: SparkSession, d: str) -> DataFrame:
-    text = F.concat(F.left("text", F.lit(50)), F.lit(" see 2101.0"), F.lpad((F.col("doc_id") % 1000).cast("string"), 4, "0"), F.lit("v2 and 2101.00001, 1706.3762."))
+    text = F.concat(F.col("text"), F.lit(" see 2101.0"), F.lpad((F.col("doc_id") % 1000).cast("string"), 4, "0"), F.lit("v2 and 2101.00001, 1706.3762."))
     return table(spark, d, "documents").select("doc_id", F.array_sort(tx.paper_ids(text)).alias("ids"))
 
 

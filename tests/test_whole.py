@@ -9,3 +9,11 @@ def test_bfs_takes_every_edge(spark, tmp_path):
     spark.createDataFrame(rows, "l_suppkey long, l_partkey long, l_linenumber int").write.parquet(f"{d}/lineitem.parquet")
     got = {r.node: r.level for r in catalog.QUERIES["citation_bfs_all"](spark, d).collect()}
     assert got == {-1: 0, 10: 1, 2000: 1, -2: 2}
+
+
+def test_ids_of_whole_texts(spark, tmp_path):
+    d = f"file://{tmp_path}"
+    rows = [(7, "word " * 30 + "as in 1412.6980v9, where"), (8, "no id")]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{d}/documents.parquet")
+    got = {r.doc_id: r.ids for r in catalog.QUERIES["arxiv_id_extract"](spark, d).collect()}
+    assert got == {7: ["1412.6980", "1706.3762", "2101.00001", "2101.00007"], 8: ["1706.3762", "2101.00001", "2101.00008"]}
