@@ -167,6 +167,13 @@ def abstract_filter(spark: SparkSession, d: str) -> DataFrame:
     return readers.long_abstracts(table(spark, d, "documents").select("doc_id", text.alias("abstract"))).select("doc_id", F.length("abstract").alias("n"))
 
 
+@query(f"SELECT doc_id, length(t)::INTEGER AS n FROM (SELECT doc_id, replace({SQL_STRIP.format('text')}, chr(10), ' ') AS t FROM documents) WHERE length(t) > 50")
+def abstract_filter_all(spark: SparkSession, d: str) -> DataFrame:
+    """Over whole texts."""
+    docs = table(spark, d, "documents").select("doc_id", tx.one_line(F.col("text")).alias("abstract"))
+    return readers.long_abstracts(docs).select("doc_id", F.length("abstract").alias("n"))
+
+
 _NEW = "SELECT doc_id + CASE WHEN doc_id % 6 = 0 THEN 1000000 ELSE 0 END AS doc_id, 'new' AS source, 1 AS batch FROM documents WHERE doc_id % 3 = 0"
 
 

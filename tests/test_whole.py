@@ -17,3 +17,11 @@ def test_ids_of_whole_texts(spark, tmp_path):
     spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{d}/documents.parquet")
     got = {r.doc_id: r.ids for r in catalog.QUERIES["arxiv_id_extract"](spark, d).collect()}
     assert got == {7: ["1412.6980", "1706.3762", "2101.00001", "2101.00007"], 8: ["1706.3762", "2101.00001", "2101.00008"]}
+
+
+def test_long_abstracts_by_their_whole_text(spark, tmp_path):
+    d = f"file://{tmp_path}"
+    rows = [(60, "x" * 51), (61, "x" * 50), (62, " " + "x\n" * 500), (63, " " * 60), (64, None)]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{d}/documents.parquet")
+    got = {r.doc_id: r.n for r in catalog.QUERIES["abstract_filter_all"](spark, d).collect()}
+    assert got == {60: 51, 62: 999}
