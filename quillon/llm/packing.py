@@ -155,7 +155,7 @@ _WORD_AND_MARKS = re.compile(r"([^\W\d_]+)([!-/:-@\[-`{-~]+)")
 
 
 #: Punctuation that isn't alone before a comma or full stop; what lower() would do otherwise than letter by letter; a special token's start.
-_TIED = re.compile(r"[^\w\s][.,] |\u03a3|<\|")
+_TIED = re.compile(r"(?:[^\w\s]|_)[.,] |\u03a3|<\|")
 
 
 class ChunkEncoder:

@@ -19,6 +19,11 @@ def test_ids_are_the_tokenizers(text):
     assert packing.ChunkEncoder.of(FILE).encode(text).tolist() == PLAIN.encode(text, add_special_tokens=False).ids
 
 
+@pytest.mark.parametrize("text", ["see _word_, then", "a snake_. Next", "__init__, _x_. Größe_, ß_. end", "a_,", "_. "])
+def test_underscores_are_marks(text):
+    assert packing.ChunkEncoder.of(FILE).encode(text).tolist() == PLAIN.encode(text, add_special_tokens=False).ids
+
+
 @settings(max_examples=200, deadline=None)
 @given(st.text(st.one_of(st.sampled_from(" ,.'\n\tsSİΣ_é\u0301"), st.characters(codec="utf-8")), max_size=30))
 def test_ids_of_any_text(text):
