@@ -17,8 +17,8 @@ from pyspark.sql import functions as F
 
 from .common import give_back, make_importable, table
 
-#: Bounds of the model: labelled documents a language, characters of each, characters a language, languages.
-DOCS_PER_LANG, CHARS_PER_DOC, CHARS_PER_LANG, MAX_LANGS = 64, 1_500, 24_000, 64
+#: Bounds of the model: labelled documents a language, characters of each, characters a language, pieces of a text that is cut.
+DOCS_PER_LANG, CHARS_PER_DOC, CHARS_PER_LANG, PIECES = 64, 1_500, 24_000, 4
 #: The parse starts afresh every so many symbols, so that a batch's texts advance side by side: one phrase more at most.
 BLOCK = 512
 SPACE, UNKNOWN = 0, 1
@@ -72,7 +72,8 @@ class CrossParser:
 
     @classmethod
     def fit(cls, labelled: list[tuple[str, str]]) -> CrossParser:
-        """labelled: (lang, text) pairs; a language's texts are joined in the given order."""
+        """labelled: (lang, text) pairs; a language's texts are joined in the given order. Where they have more than
+        CHARS_PER_LANG symbols, all of them share these, each by pieces from across it."""
         texts: dict[str, list[str]] = {}
         for lang, text in labelled:
             texts.setdefault(lang, []).append(text.lower())
@@ -90,7 +91,7 @@ class CrossParser:
         rows, starts, bits, base = [], [], [], 0
         width = end + 1
         for lang in sorted(texts):
-            symbols = squeezed(codes_of(" ".join(texts[lang]), code))[:CHARS_PER_LANG].tolist()
+            symbols = squeezed(_shared([codes_of(t + " ", code) for t in texts[lang]], CHARS_PER_LANG))[:-1].tolist()
             follow = suffix_automaton(symbols)
             first = np.zeros(width, dtype=np.int64)
             for c in range(end):
@@ -141,6 +142,25 @@ def codes_of(text: str, code: np.ndarray) -> np.ndarray:
     return code[np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype="<u4")]
 
 
+def _shared(texts: list[np.ndarray], budget: int) -> np.ndarray:
+    """The texts in a row; beyond ``budget`` symbols long ones are cut to an equal share, by PIECES pieces from across them."""
+    texts = [squeezed(t) for t in texts]
+    left, share = budget, {}
+    for k, i in enumerate(sorted(range(len(texts)), key=lambda i: len(texts[i]))):
+        share[i] = min(len(texts[i]), left // (len(texts) - k))
+        left -= share[i]
+    out = []
+    for i, t in enumerate(texts):
+        if share[i] == len(t):
+            out.append(t)
+            continue
+        size = max(1, share[i] // PIECES)
+        for k in range(min(PIECES, share[i])):
+            at = k * (len(t) - size) // (PIECES - 1)
+            out += [t[at : at + size - 1], np.zeros(1, t.dtype)]  # SPACE parts the pieces
+    return np.concatenate(out)
+
+
 def squeezed(codes: np.ndarray) -> np.ndarray:
     """Runs of non-letters become one."""
     if not len(codes):
@@ -157,15 +177,17 @@ def bucket(id_col: str = "doc_id") -> F.Column:
 
 def training_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", docs_per_lang: int = DOCS_PER_LANG) -> list[tuple[str, str]]:
     """The bounded labelled sample: of each language the ``docs_per_lang`` documents with the smallest hash of the id, from
-    those outside the held-out fifth, CHARS_PER_DOC characters of each. MAX_LANGS languages at most."""
+    those outside the held-out fifth, CHARS_PER_DOC characters of each by PIECES pieces from across it. All languages."""
+    size = CHARS_PER_DOC // PIECES
+    piece = lambda k: F.substr(text_col, F.floor((F.length(text_col) - size) * k / (PIECES - 1)).cast("int") + 1, F.lit(size))
+    cut = F.when(F.length(text_col) <= CHARS_PER_DOC, F.col(text_col)).otherwise(F.concat_ws(" ", *[piece(k) for k in range(PIECES)]))
     order = Window.partitionBy("lang").orderBy(F.xxhash64("id"), "id", "text")
     rows = (
         docs.filter((bucket(id_col) != 0) & F.col(lang_col).isNotNull() & F.col(text_col).rlike(r"\p{L}"))
-        .select(F.col(lang_col).alias("lang"), F.col(id_col).alias("id"), F.substring(text_col, 1, CHARS_PER_DOC).alias("text"))
+        .select(F.col(lang_col).alias("lang"), F.col(id_col).alias("id"), cut.alias("text"))
         .withColumn("k", F.row_number().over(order))
         .filter(F.col("k") <= docs_per_lang)
         .orderBy("lang", "k")
-        .limit(MAX_LANGS * docs_per_lang)
         .collect()
     )
     return [(r.lang, r.text) for r in rows]

@@ -47,6 +47,22 @@ def test_language_query_held_out(spark):
     assert (held.lang_pred == held.lang).mean() > 0.99 and got.score.between(0, 1).all()
 
 
+def test_all_chosen_documents_are_learned():
+    rng = np.random.default_rng(0)
+    texts = ["".join(rng.choice(list("abcdefghij"), 1_500)) for _ in range(langid.DOCS_PER_LANG)]
+    p = langid.CrossParser.fit([("a", t) for t in texts])
+    ends, _ = p.entropies([part for t in texts for part in (t[:60], t[-60:-1])])
+    new, _ = p.entropies(["".join(rng.choice(list("abcdefghij"), 60)) for _ in range(50)])
+    assert ends.max() < new.min() / 3
+
+
+def test_no_language_is_left_out(spark):
+    docs = spark.range(70 * 100).selectExpr("id AS doc_id", "concat('l', lpad(id % 70, 2, '0')) AS lang", "concat('head', repeat('-', 2000), 'tail') AS text")
+    rows = langid.training_rows(docs)
+    assert len({lang for lang, _ in rows}) == 70 and len(rows) == 70 * langid.DOCS_PER_LANG
+    assert all(len(t) <= langid.CHARS_PER_DOC + langid.PIECES - 1 and t.startswith("head") and t.endswith("tail") for _, t in rows)
+
+
 def test_language_odd_rows(spark, odd, none):
     p = langid.CrossParser.fit([("en", "the word and a word"), ("de", "die größe und naive")])
     got = langid.identify(odd, p).toPandas()
