@@ -193,21 +193,25 @@ def _cut(length: int, capacity: int) -> list[tuple[int, int]]:
     return [(s, min(capacity, length - s)) for s in range(0, length, capacity)]
 
 
-def top_up(bins: list[list[tuple[int, int, int]]], capacity: int, max_segments: int, least: int) -> list[list[tuple[int, int, int]]]:
-    """Dissolve the emptiest bins into the gaps of the others, cutting pieces (item, start, length) to fit."""
+def top_up(bins: list[list[tuple[int, int, int]]], capacity: int, max_segments: int, least: int, loss_limit: int | None = None, free: Sequence[bool] | None = None) -> list[list[tuple[int, int, int]]]:
+    """Dissolve the emptiest bins into the gaps of the others, cutting pieces (item, start, length) to fit. Every id counts
+    against ``loss_limit`` but the first of the items in ``free``."""
     fill = lambda b: sum(x[2] for x in b)
-    full = [b for b in bins if capacity - fill(b) < least]
-    some = sorted((b for b in bins if capacity - fill(b) >= least), key=fill)
+    bears_none = lambda i, start: int(free is not None and free[i] and start == 0)
+    loss_room = lambda b: capacity if loss_limit is None else loss_limit - sum(n - bears_none(i, s) for i, s, n in b)
+    room = lambda b: min(capacity - fill(b), loss_room(b))
+    full = [b for b in bins if room(b) < least]
+    some = sorted((b for b in bins if room(b) >= least), key=fill)
     i, j = 0, len(some) - 1
     while i < j:
-        gap = capacity - fill(some[j])
+        gap = room(some[j])
         if gap < least or len(some[j]) >= max_segments:
             j -= 1
         elif not some[i]:
             i += 1
         else:
             item, start, n = some[i].pop()
-            take = min(n, gap)
+            take = min(n, capacity - fill(some[j]), loss_room(some[j]) + bears_none(item, start))
             some[j].append((item, start, take))
             if take < n:
                 some[i].append((item, start + take, n - take))
@@ -221,7 +225,7 @@ def pack_documents(
     """Pieces of all documents in sequences of at most ``capacity`` ids: doc_id, start, length, ids_crc32, doc_tokens,
     sequence_id, offset, and with ``with_ids`` the ids themselves.
 
-    A document's ids end with ``end_id``. It is cut every ``capacity`` ids; whole pieces are sequences, the rest is packed
+    A document's ids end with ``end_id``. It is cut every ``capacity`` ids, or as many as may bear loss; pieces of ``capacity`` are sequences, the rest is packed
     by dot_product_pack under the three limits (every id bears loss but a document's first), and then bins that are
     still short of ``least_cut`` or more ids are filled by cutting pieces of the emptiest. A task packs what it reads:
     no shuffle, a window of pieces in memory. Null or empty text is a document of one id. Repeated rows are packed
@@ -242,8 +246,7 @@ def pack_documents(
             nonlocal number
             demands = np.array([(len(x[3]), 1, len(x[3]) - (x[2] == 0)) for x in held]).reshape(-1, 3)
             bins = [[(i, 0, len(held[i][3])) for i in b] for b in dot_product_pack(demands, (capacity, max_segments, loss_limit))]
-            if loss_limit >= capacity:
-                bins = top_up(bins, capacity, max_segments, least_cut)
+            bins = top_up(bins, capacity, max_segments, least_cut, loss_limit, [x[2] == 0 for x in held])
             for b in bins:
                 offset = 0
                 for i, start, n in b:
@@ -256,8 +259,8 @@ def pack_documents(
         for rows in batches:
             for doc, text in zip(rows["doc_id"], rows["text"], strict=True):
                 ids = np.append(encoder.encode(text), end).astype("<u4", copy=False)
-                for start, n in _cut(len(ids), capacity):
-                    if n == capacity and loss_limit >= capacity:
+                for start, n in _cut(len(ids), min(capacity, loss_limit)):
+                    if n == capacity:
                         put(doc, len(ids), start, ids[start : start + n], number, 0)
                         number += 1
                     else:

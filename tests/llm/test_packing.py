@@ -75,6 +75,15 @@ def test_query_packs_all_documents(spark):
     check(packing.op1(spark, d).collect(), spark.read.parquet(f"{d}/documents.parquet").collect(), 2048, spare=1.5)  # one sequence of the only task is left open
 
 
+def test_loss_limit_binds_and_is_filled(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").coalesce(1)
+    got = packing.pack_documents(docs, FILE, max_loss_tokens=500).toPandas()
+    loss = (got.length - (got.start == 0)).groupby(got.sequence_id).sum()
+    assert loss.max() <= 500 and got.groupby("sequence_id").length.sum().max() <= 2048
+    assert len(loss) <= loss.sum() / (500 - 32) + 2
+    check(got.itertuples(), docs.collect(), 2048, spare=float("inf"))
+
+
 def test_odd_rows(spark, odd, none):
     rows = odd.filter("doc_id IS NOT NULL")
     check(packing.pack_documents(rows, FILE).collect(), rows.collect(), 2048, spare=5)
