@@ -16,9 +16,9 @@ def latest(rows: DataFrame, key: str | Sequence[str], order: Sequence[str]) -> D
     return rows.withColumn("__k", F.row_number().over(w)).filter(F.col("__k") == 1).drop("__k")
 
 
-def upsert(old: DataFrame, new: DataFrame, key: str | Sequence[str], batch_col: str = "batch") -> DataFrame:
-    """old with new rows added or put in their place; of several, the highest batch wins."""
-    return latest(old.unionByName(new, allowMissingColumns=True), key, [batch_col])
+def upsert(old: DataFrame, new: DataFrame, key: str | Sequence[str], batch_col: str | Sequence[str] = "batch") -> DataFrame:
+    """old with new rows added or put in their place; of several, the highest batch wins, or the last in an order of columns."""
+    return latest(old.unionByName(new, allowMissingColumns=True), key, [batch_col] if isinstance(batch_col, str) else batch_col)
 
 
 def partial_update(old: DataFrame, new: DataFrame, key: str, columns: Sequence[str]) -> DataFrame:
@@ -97,9 +97,9 @@ class Store:
         rows.write.option("compression", "zstd").parquet(f"{self.path}/{name}/{version}")
         self._point(name, version)
 
-    def upsert(self, name: str, rows: DataFrame, batch_col: str = "batch") -> None:
-        old = self.read(name)
-        self.write(name, latest(rows, self.key, [batch_col]) if old is None else upsert(old, rows, self.key, batch_col))
+    def upsert(self, name: str, rows: DataFrame, batch_col: str | Sequence[str] = "batch") -> None:
+        old, order = self.read(name), [batch_col] if isinstance(batch_col, str) else batch_col
+        self.write(name, latest(rows, self.key, order) if old is None else upsert(old, rows, self.key, order))
 
     def update(self, name: str, rows: DataFrame, columns: Sequence[str]) -> None:
         if (old := self.read(name)) is not None:

@@ -345,13 +345,14 @@ def arxiv_id_extract(spark: SparkSession, d: str) -> DataFrame:
 
 @query("SELECT user_id, arg_max(value, ts) AS value FROM events GROUP BY user_id")
 def incremental_upsert(spark: SparkSession, d: str) -> DataFrame:
-    """Events land as two sets of files; the stream takes each set up once and leaves the last value of each user."""
+    """All events land as two sets of files; the stream takes each set up once and leaves the last value of each user."""
     source, state = scratch(spark, "landing"), scratch(spark, "ingested")
     schema = "user_id long, ts timestamp, value double"
-    events = table(spark, d, "events").select("user_id", F.col("ts").cast("timestamp").alias("ts"), "value")
+    at = F.col("ts").cast("timestamp")  # an event without a time or a value comes before all others, without a value
+    events = table(spark, d, "events").select("user_id", F.when(F.col("value").isNotNull(), at).alias("ts"), F.when(at.isNotNull(), F.col("value")).alias("value"))
     s = store.Store(spark, f"{state}/store", "user_id")
-    middle = F.lit("2024-01-15 00:00:00").cast("timestamp")
-    for part in (F.col("ts") < middle, F.col("ts") >= middle):
-        store.latest(events.filter(part), "user_id", ["ts", "value"]).write.mode("append").parquet(source)
-        ingest_files(spark, source, schema, s, "users", f"{state}/checkpoint")
+    late = F.coalesce(F.col("ts") >= F.lit("2024-01-15 00:00:00").cast("timestamp"), F.lit(False))
+    for part in (~late, late):
+        events.filter(part).write.mode("append").parquet(source)
+        ingest_files(spark, source, schema, s, "users", f"{state}/checkpoint", order=["ts", "value"])
     return s.read("users").select("user_id", "value")
