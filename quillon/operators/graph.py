@@ -5,12 +5,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import scratch_dir
+
 # Where a reference can be had, in order of preference.
 SOURCES = ("arxiv", "unpaywall", "none")
 
 
-def levels(edges: DataFrame, seeds: DataFrame, depth: int = -1, src: str = "src", dst: str = "dst", most: int = 1_000) -> DataFrame:
-    """node, level: each node at the level it is first reached. depth -1: until nothing new comes; 0: seeds alone.
+def levels(edges: DataFrame, seeds: DataFrame, depth: int = -1, src: str = "src", dst: str = "dst") -> DataFrame:
+    """node, level: each node at the level it is first reached. depth -1: until nothing new comes, however many levels; 0: seeds alone.
 
     One join and one anti-join a level; every few levels the visited set is cut from its lineage by a checkpoint in the
     shared folder, which jobs of many levels need to survive a lost executor.
@@ -18,7 +20,7 @@ def levels(edges: DataFrame, seeds: DataFrame, depth: int = -1, src: str = "src"
     edges = edges.select(F.col(src).alias("src"), F.col(dst).alias("dst")).dropna().distinct()
     frontier = seeds.select(F.col(seeds.columns[0]).alias("node")).distinct().withColumn("level", F.lit(0))
     visited, level = frontier, 0
-    while (depth < 0 or level < depth) and level < most:
+    while depth < 0 or level < depth:
         level += 1
         found = frontier.join(edges, frontier["node"] == edges["src"]).select(F.col("dst").alias("node")).distinct()
         frontier = found.join(visited.select("node"), "node", "left_anti").withColumn("level", F.lit(level))
@@ -35,9 +37,7 @@ def levels(edges: DataFrame, seeds: DataFrame, depth: int = -1, src: str = "src"
 def _cut(df: DataFrame) -> DataFrame:
     sc = df.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:
-        import tempfile
-
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="quillon-"))
+        sc.setCheckpointDir(scratch_dir(df.sparkSession))
     return df.checkpoint()
 
 

@@ -2,14 +2,12 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import make_importable
+from ..session import make_importable, new_scratch_path as scratch  # noqa: F401  queries take it from here
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -39,9 +37,3 @@ def table(spark: SparkSession, d: str, name: str) -> DataFrame:
 def small(df: DataFrame) -> DataFrame:
     """With a broadcast hint if the rows are few, which is counted first."""
     return F.broadcast(df) if df.limit(SMALL_ROWS + 1).count() <= SMALL_ROWS else df
-
-
-def scratch(spark: SparkSession, name: str) -> str:
-    """A new path in the folder that driver and executors share; where none is set, a local one."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="quillon-")
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"

@@ -1,8 +1,10 @@
-"""What queries need of a session."""
+"""What queries need of a session: an importable library, and scratch paths in the shared folder."""
 
 from __future__ import annotations
 
 import os
+import tempfile
+import uuid
 from pathlib import Path
 
 from pyspark.sql import SparkSession
@@ -14,3 +16,24 @@ def make_importable(spark: SparkSession) -> None:
     env = spark.sparkContext.environment
     if root not in env.get("PYTHONPATH", "").split(os.pathsep):
         env["PYTHONPATH"] = os.pathsep.join(x for x in (root, env.get("PYTHONPATH", "")) if x)
+
+
+def scratch_dir(spark: SparkSession) -> str:
+    """The folder that driver and executors share, spark.checkpoint.dir. Where that is unset, a temporary folder stands in if
+    all run on one machine (tests); on a cluster it is an error, as executors would each write to a disk of their own."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
+        base = "file://" + tempfile.mkdtemp(prefix="quillon-")
+        spark.conf.set("spark.checkpoint.dir", base)
+    return base.rstrip("/")
+
+
+def new_scratch_path(spark: SparkSession, name: str) -> str:
+    return f"{scratch_dir(spark)}/quillon-{name}-{uuid.uuid4().hex}"
+
+
+def delete_path(spark: SparkSession, path: str) -> None:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
