@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import settle
+from .common import discard, settle
 
 
 def connected_components(edges: DataFrame, most_rounds: int = 200) -> DataFrame:
@@ -16,17 +16,19 @@ def connected_components(edges: DataFrame, most_rounds: int = 200) -> DataFrame:
     Loops, repeats and nulls do no harm; nodes without an edge don't appear.
     """
     now = edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).filter(F.col("a") < F.col("b")).distinct()
-    now, mark = settle(now, "edges"), None
+    now, mark = settle(now, "edges"), None  # discarded by the round that has replaced it
     if now.isEmpty():
         return now.select(F.col("b").alias("node"), F.col("a").alias("component"))
     for _ in range(most_rounds):
         both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
         large = settle(both.join(least, "a").filter(F.col("b") > F.col("a")).select(F.col("m").alias("a"), "b").filter(F.col("a") < F.col("b")).distinct(), "edges")
+        discard(now)
         least = large.groupBy("b").agg(F.min("a").alias("m"))
         pairs = large.join(least, "b")
         small = pairs.select(F.col("m").alias("a"), "b").unionByName(pairs.filter(F.col("a") != F.col("m")).select(F.col("m").alias("a"), F.col("a").alias("b")))
         now = settle(small.distinct(), "edges")
+        discard(large)
         seen = now.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("a", "b")), F.coalesce(F.sum(F.xxhash64("a", "b").bitwiseAND(0xFFFFFFFF)), F.lit(0))).first()
         if seen == mark:
             break
