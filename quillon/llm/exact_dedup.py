@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import SPACE_CLASS, settle, table
+from .common import SPACE_CLASS, look_up, settle, table
 
 
 def normalised(text: Column) -> Column:
@@ -23,10 +23,10 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
        is spread over ``salts`` reducers, with at most one row from each task.
     3. The winners of the salts, at most ``salts`` per text, meet under (digest, content).
     Contents are grouping keys in all three, so texts that share a digest never merge. Rows then learn their group by
-    digest; only where a digest has several contents (``digest`` is replaceable, for tests) the content joins as well.
+    digest, those of a hot text without meeting; only where a digest has several contents (``digest`` is replaceable, for tests) the content joins as well.
 
     Null text counts as empty. Of equal texts the smallest id stays (null ids come last); of rows that repeat both
-    id and text one is kept. Other columns are ignored. An empty table gives an empty result.
+    id and text one is kept. Texts of any length are compared whole. Other columns are ignored. An empty table gives an empty result.
     """
     sha = lambda c: F.sha2(c, 256)
     key = digest or sha
@@ -43,8 +43,10 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         merged.withColumn("several", several).select("digest", "keep_id", "group_size", "several", F.when(F.col("several"), F.col("content")).alias("content")), "dedup-groups"
     )
     ids = rows.select("doc_id", "digest", (sha(F.col("content")) if digest else F.col("digest")).alias("text_sha256"))
-    out = ids.join(groups.filter(~F.col("several")).select("digest", "keep_id", "group_size"), "digest")
+    single = groups.filter(~F.col("several")).select("digest", "keep_id", "group_size", F.col("group_size").alias("rows"))
+    out = look_up(ids, single, "digest", "rows", F.xxhash64("doc_id")).select("doc_id", "digest", "keep_id", "group_size", "text_sha256")
     if not groups.filter("several").isEmpty():
+        out = out.filter(F.col("group_size").isNotNull())
         exact = rows.withColumn("text_sha256", sha(F.col("content"))).join(groups.filter("several").drop("several"), ["digest", "content"])
         out = out.unionByName(exact.select(out.columns))
     first = F.row_number().over(Window.partitionBy("text_sha256", "doc_id").orderBy("group_size")) == 1
