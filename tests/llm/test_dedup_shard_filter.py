@@ -1,7 +1,10 @@
 import hashlib
+import heapq
 import re
 
 import pandas as pd
+from hypothesis import given, settings
+from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from quillon.llm import components, exact_dedup, sharding, url_filter
@@ -30,18 +33,47 @@ def test_dedup_compares_contents(spark):
     assert got.kept.sum() == 7
 
 
-def test_schedule_is_longest_first():
-    got = sharding.schedule([(10, 1, 10.0), (6, 2, 6.0), (5, 1, 5.0)], 2)
-    assert got == {10: [1, 0], 6: [0, 2], 5: [1, 0]}
-    many = sharding.schedule([(100, 1, 100.0), (3, 1000, 3.0)], 4)
-    loads = [100 * a + 3 * b for a, b in zip(many[100], many[3], strict=True)]
-    assert sum(many[3]) == 1000 and max(loads) - min(loads) <= 3
+def plain_lpt(sizes, shards):
+    """Loads by longest-processing-time scheduling, a group at a time."""
+    load = [(0, s) for s in range(shards)]
+    for x in sorted(sizes, reverse=True):
+        least, s = heapq.heappop(load)
+        heapq.heappush(load, (least + x, s))
+    return dict((s, x) for x, s in load)
 
 
-def test_size_class_is_bounded(spark):
-    got = spark.createDataFrame([(x,) for x in (1, 4095, 4096, 4097, 123_456_789, 2**40 + 1)], "s long").select("s", sharding.size_class(F.col("s")).alias("c")).collect()
-    assert all(r.c <= r.s < r.c * (1 + 2**-11) + 1 for r in got)
-    assert [r.c for r in got[:3]] == [1, 4095, 4096]
+def test_schedule_is_longest_first():
+    assert sharding.schedule([(10, 1), (6, 2), (5, 1)], 2) == {10: [1, 0], 6: [0, 2], 5: [1, 0]}
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.dictionaries(st.integers(1, 10_000), st.one_of(st.integers(1, 5), st.integers(50, 400)), max_size=12), st.integers(1, 7))
+def test_schedule_equals_plain_lpt(sizes, shards):
+    got = sharding.schedule(list(sizes.items()), shards)
+    loads = {s: sum(x * n[s] for x, n in got.items()) for s in range(shards)}
+    assert loads == plain_lpt([x for x, n in sizes.items() for _ in range(n)], shards)
+    assert all(sum(got[x]) == n for x, n in sizes.items())
+
+
+def test_shard_equals_plain_lpt_on_a_table(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text").unionByName(spark.createDataFrame([(10**6 + i, "long " * 3_000 + "x" * i * i) for i in range(30)], "doc_id long, text string"))
+    groups = {}
+    for r in docs.collect():
+        groups[r.text or ""] = groups.get(r.text or "", 0) + len((r.text or "").encode()) + 8
+    got = sharding.shard(docs).groupBy("shard").agg(F.sum("size").alias("b")).collect()
+    assert sorted(r.b for r in got) == sorted(plain_lpt(groups.values(), 24).values())
+
+
+def test_hot_texts_are_looked_up_alike(spark):
+    rows = [(i, "hot" if i % 3 else f"text {i % 50}") for i in range(6_000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(9)
+    got = exact_dedup.exact_dedup(docs).toPandas()
+    first, size = {}, {}
+    for i, t in rows:
+        first[t], size[t] = min(first.get(t, i), i), size.get(t, 0) + 1
+    text = dict(rows)
+    assert len(got) == 6_000 and all(r.keep_id == first[text[r.doc_id]] and r.group_size == size[text[r.doc_id]] for r in got.itertuples())
+    assert sharding.shard(docs, 5).groupBy("text_crc32").agg(F.countDistinct("shard").alias("n")).filter("n > 1").count() == 0
 
 
 def test_shard_odd_rows(spark, odd, none):
