@@ -33,10 +33,10 @@ BASE_RULES = (
     Rule("access", r"AKIA[A-Z0-9]{12,}", r"AKIA[A-Z0-9]{12}"),
     Rule("hex", r"[0-9a-f]{32,}", r"[0-9a-f]{32}"),
 )
-#: The method's own: signed web tokens and the first line of private keys.
+#: The method's own: signed web tokens, and private keys to their last line; without one, what follows the first line and may be a key.
 EXTRA_RULES = (
     Rule("jwt", r"eyJ[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{10,}", r"eyJ[A-Za-z0-9_-]{10,}\."),
-    Rule("pem", r"-----BEGIN [A-Z ]{0,40}PRIVATE KEY-----", r"PRIVATE KEY-----"),
+    Rule("pem", r"-----BEGIN [A-Z ]{0,40}PRIVATE KEY-----(?:(?s:.{0,20000}?)-----END [A-Z ]{0,40}PRIVATE KEY-----|[A-Za-z0-9+/=\x20\x09-\x0D]*)", r"PRIVATE KEY-----", version=2),
 )
 ALL_RULES = BASE_RULES + EXTRA_RULES
 LEDGER = "blob string, kind string, version int, spans array<struct<start:int,end:int>>"
@@ -107,11 +107,13 @@ def _read_ledger(spark: SparkSession, path: str) -> DataFrame | None:
     return spark.read.schema(LEDGER).parquet(path) if there else None
 
 
-def secret_findings(versions: DataFrame, ledger_path: str | None = None, text_col: str = "text", rules: tuple[Rule, ...] = ALL_RULES) -> DataFrame:
+def secret_findings(versions: DataFrame, ledger_path: str | None = None, text_col: str = "text", rules: tuple[Rule, ...] = ALL_RULES, salts: int = 16) -> DataFrame:
     """versions and ``findings``: array<struct<start,kind_no,end,kind>> in order of start, then rule.
 
-    Rows are neither dropped nor merged: repeated rows and all paths of a blob get its findings. Without findings the
-    list is empty. An input column named findings gives way. ``ledger_path`` None: a new ledger in the shared folder.
+    Rows are neither dropped nor merged: repeated rows and all paths of a blob get its findings. Without findings, and for null texts, the
+    list is empty. Texts of any length are scanned whole. Other columns stay; an input column named findings gives way. An empty table
+    gives an empty result. ``ledger_path`` None: a new ledger in the shared folder. Findings meet rows under ``salts`` keys a blob, so a hot
+    blob's rows don't meet in one task.
     """
     spark = versions.sparkSession
     path = ledger_path or new_scratch_path(spark, "ledger")
@@ -126,7 +128,8 @@ def secret_findings(versions: DataFrame, ledger_path: str | None = None, text_co
         .agg(F.array_sort(F.flatten(F.collect_list("found"))).alias("findings"))
     )
     base = versions.select(*[F.col(f"`{c}`") for c in versions.columns if c.lower() != "findings"])
-    joined = base.withColumn("__blob", blob_of(F.col(text_col))).join(hits.withColumnRenamed("blob", "__blob"), "__blob", "left")
+    hits = hits.select(F.col("blob").alias("__blob"), "findings", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("__salt"))
+    joined = base.withColumn("__blob", blob_of(F.col(text_col))).withColumn("__salt", F.pmod(F.spark_partition_id(), F.lit(salts))).join(hits, ["__blob", "__salt"], "left")
     none = F.array().cast("array<struct<start:int,kind_no:int,end:int,kind:string>>")
     return joined.select(*[F.col(f"`{c}`") for c in base.columns], F.coalesce(F.col("findings"), none).alias("findings"))
 
