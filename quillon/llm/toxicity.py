@@ -135,14 +135,18 @@ def best_threshold(p: np.ndarray, y: np.ndarray) -> float:
 
 def training_rows(docs: DataFrame, labels: DataFrame, categories: dict[str, F.Column], rows_per_value: int = ROWS_PER_VALUE) -> tuple[list[str], np.ndarray]:
     """The bounded sample: of each value of the last category, the labelled documents with the smallest hash of the id.
-    categories: name -> 0/1 column over labels; rows with a null label or text aren't used."""
-    marked = labels.select("doc_id", *[c.cast("int").alias(k) for k, c in categories.items()]).dropna().dropDuplicates(["doc_id"])
+    categories: name -> 0/1 column over labels. Rows with a null label or text aren't used, nor are ids whose labels contradict each
+    other; of an id's texts the smallest is used. At most 2 * rows_per_value whole texts come to the driver, however often ids repeat."""
+    marked = labels.select("doc_id", *[c.cast("int").alias(k) for k, c in categories.items()]).dropna()
+    bounds = [f(c).alias(f"{f.__name__}_{c}") for c in categories for f in (F.min, F.max)]
+    agreed = marked.groupBy("doc_id").agg(*bounds).filter(" AND ".join(f"min_{c} = max_{c}" for c in categories))
+    marked = agreed.select("doc_id", *[F.col(f"min_{c}").alias(c) for c in categories])
     last = list(categories)[-1]
     order = [F.xxhash64("doc_id"), F.col("doc_id")]
     some = [marked.filter(F.col(last) == v).orderBy(*order).limit(rows_per_value) for v in (0, 1)]
     chosen = some[0].unionByName(some[1])  # 2 * rows_per_value small rows at most, so they may be broadcast
-    rows = docs.select("doc_id", "text").filter(F.col("text").isNotNull()).join(F.broadcast(chosen), "doc_id").toPandas()
-    rows = rows.sort_values(["doc_id", "text"]).head(2 * rows_per_value)
+    found = docs.select("doc_id", "text").filter(F.col("text").isNotNull()).join(F.broadcast(chosen), "doc_id")
+    rows = found.groupBy("doc_id").agg(F.min("text").alias("text"), *[F.min(c).alias(c) for c in categories]).toPandas().sort_values("doc_id")
     rows = rows.iloc[np.random.default_rng(11).permutation(len(rows))]  # folds go by row number
     return rows["text"].tolist(), rows[list(categories)].to_numpy(dtype=int).reshape(len(rows), len(categories))
 
@@ -150,7 +154,8 @@ def training_rows(docs: DataFrame, labels: DataFrame, categories: dict[str, F.Co
 def score_toxicity(docs: DataFrame, chain: Chain, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, p_<category> for each category of the chain, is_<category>: probability at or above the fitted threshold.
 
-    One row per input row, whole texts, no shuffle. Null text counts as empty. Other columns are ignored.
+    One row per input row, repeated ones too, whole texts of any length, no shuffle. Null text counts as empty, null ids stay null.
+    Other columns are ignored. An empty table gives an empty result.
     """
     spark = docs.sparkSession
     make_importable(spark)
