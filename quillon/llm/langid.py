@@ -21,7 +21,9 @@ from .common import give_back, make_importable, table
 DOCS_PER_LANG, CHARS_PER_DOC, CHARS_PER_LANG, PIECES = 64, 1_500, 24_000, 4
 #: The parse starts afresh every so many symbols, so that a batch's texts advance side by side: one phrase more at most.
 BLOCK = 512
-SPACE, UNKNOWN = 0, 1
+#: Symbols of a byte: what is no letter, digits, and the letters that are frequent in the labelled texts. Other letters are spelt by SPELT digits of
+#: their code point, so that all letters of all scripts are told apart.
+SPACE, DIGITS, SPELT, FREQUENT, RARE = 0, 33, 4, 210, 255
 
 
 def _letters() -> np.ndarray:
@@ -60,11 +62,13 @@ def suffix_automaton(symbols: list[int]) -> list[dict[int, int]]:
 
 @dataclass
 class CrossParser:
-    """langs; code: symbol of each code point; moves: for (state, symbol) the next state's row offset * 4 + phrases ended;
-    starts: each language's first row offset; bits: log2 of each labelled text's size. Symbol ``end`` closes a block."""
+    """langs; code: symbol of each code point; local: each language's numbers of the symbols, as its text has few of them; moves: for (state,
+    local number) the next state's row offset * 4 + phrases ended; starts: each language's first row offset; bits: log2 of each labelled
+    text's size. Symbol ``end`` closes a block."""
 
     langs: list[str]
     code: np.ndarray
+    local: np.ndarray
     moves: np.ndarray
     starts: np.ndarray
     bits: np.ndarray
@@ -78,25 +82,27 @@ class CrossParser:
         for lang, text in labelled:
             texts.setdefault(lang, []).append(text.lower())
         letters = _letters()
-        code = np.where(letters, np.uint8(UNKNOWN), np.uint8(SPACE))
+        code = np.where(letters, np.uint8(RARE), np.uint8(SPACE))
         counts: dict[str, int] = {}
         for parts in texts.values():
             for t in parts:
                 for c in t:
                     counts[c] = counts.get(c, 0) + 1
-        common = sorted((c for c in counts if letters[ord(c)]), key=lambda c: (-counts[c], c))[:240]
+        common = sorted((c for c in counts if letters[ord(c)]), key=lambda c: (-counts[c], c))[:FREQUENT]
         for k, c in enumerate(sorted(common)):
-            code[ord(c)] = k + 2
-        end = len(common) + 2
+            code[ord(c)] = k + 1 + DIGITS
+        end = len(common) + 1 + DIGITS
         rows, starts, bits, base = [], [], [], 0
-        width = end + 1
-        for lang in sorted(texts):
+        local = np.zeros((len(texts), 256), dtype=np.int32)  # number 0: a symbol that the language's text lacks
+        for n, lang in enumerate(sorted(texts)):
             symbols = squeezed(_shared([codes_of(t + " ", code) for t in texts[lang]], CHARS_PER_LANG))[:-1].tolist()
-            follow = suffix_automaton(symbols)
-            first = np.zeros(width, dtype=np.int64)
-            for c in range(end):
-                first[c] = (base + follow[0][c] * width) * 4 if c in follow[0] else base * 4 + 1
-            first[end] = base * 4
+            here = sorted(set(symbols))
+            local[n, here], local[n, end], width = np.arange(1, len(here) + 1), len(here) + 1, len(here) + 2
+            follow = suffix_automaton(local[n, symbols].tolist())
+            first = np.full(width, base * 4 + 1, dtype=np.int64)
+            for c, t in follow[0].items():
+                first[c] = (base + t * width) * 4
+            first[width - 1] = base * 4
             own = np.tile(first, (len(follow), 1))
             own[1:] += 1  # what doesn't continue the phrase ends it
             for s, to in enumerate(follow):
@@ -106,7 +112,7 @@ class CrossParser:
             starts.append(base)
             bits.append(np.log2(max(2, len(symbols))))
             base += own.size
-        return cls(sorted(texts), code, np.concatenate(rows).astype(np.int32 if base < 2**29 else np.int64) if rows else np.zeros(0, np.int32), np.array(starts), np.array(bits), end)
+        return cls(sorted(texts), code, local, np.concatenate(rows).astype(np.int32 if base < 2**29 else np.int64) if rows else np.zeros(0, np.int32), np.array(starts), np.array(bits), end)
 
     def entropies(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Bits a symbol, texts x languages, and whether each text has a letter."""
@@ -129,7 +135,7 @@ class CrossParser:
             state = np.repeat(self.starts[:, None], steps.shape[1], axis=1).astype(self.moves.dtype)
             ended = np.zeros(state.shape, dtype=np.int32)
             for symbols in steps:
-                state += symbols
+                state += self.local[:, symbols]
                 state = self.moves.take(state)
                 ended += (state & 3).astype(np.int32, copy=False)
                 state >>= 2
@@ -139,7 +145,17 @@ class CrossParser:
 
 
 def codes_of(text: str, code: np.ndarray) -> np.ndarray:
-    return code[np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype="<u4")]
+    points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype="<u4")
+    out = code[points]
+    rare = np.flatnonzero(out == RARE)
+    if not len(rare):
+        return out
+    out = np.repeat(out, np.where(out == RARE, SPELT, 1))
+    at, left = rare + np.arange(len(rare)) * (SPELT - 1), points[rare]
+    for k in range(SPELT):
+        out[at + k] = left % DIGITS + 1
+        left = left // DIGITS
+    return out
 
 
 def _shared(texts: list[np.ndarray], budget: int) -> np.ndarray:
@@ -198,7 +214,8 @@ def identify(docs: DataFrame, parser: CrossParser, id_col: str = "doc_id", text_
 
     lang_pred: the language of least cross-parsing entropy (ties: the first in order), ``und`` for null texts, texts
     without a letter, or without any learned language. score: second least / (least + second least), so 0.5 to 1; 1 if
-    only one language was learned; 0 for ``und``. Whole texts are parsed. Input columns of these names give way.
+    only one language was learned; 0 for ``und``. Whole texts of any length are parsed. Rows are neither dropped nor merged, null ids and
+    other columns stay; input columns of these names give way. An empty table gives an empty result.
     """
     spark = docs.sparkSession
     make_importable(spark)
