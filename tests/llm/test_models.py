@@ -154,3 +154,38 @@ def test_toxicity_odd_rows(spark, odd, none):
     assert toxicity.score_toxicity(odd, chain).count() == odd.count()
     empty = toxicity.Chain.fit(*toxicity.training_rows(none, labels.limit(0), c), list(c))
     assert toxicity.score_toxicity(odd, empty).filter("p_toxic BETWEEN 0 AND 1").count() == odd.count()
+
+
+def test_letters_of_large_alphabets_are_told_apart():
+    rng = np.random.default_rng(3)
+    one, two = (["".join(chr(0x4E00 + base + x) for x in rng.integers(0, 600, 300)) for _ in range(12)] for base in (0, 600))
+    p = langid.CrossParser.fit([("one", t) for t in one[:8]] + [("two", t) for t in two[:8]])
+    used = {c for t in one[:8] + two[:8] for c in t}
+    assert len(used) > 1_000 and len({tuple(langid.codes_of(c, p.code)) for c in used}) == len(used)
+    bits, _ = p.entropies(one[8:] + two[8:])
+    assert [p.langs[k] for k in bits.argmin(axis=1)] == ["one"] * 4 + ["two"] * 4
+
+
+def test_out_of_fold_column_equals_a_plain_loop(monkeypatch):
+    """What the second model was fitted with is, row by row, what a model that hasn't seen the row's fold says."""
+    rng = np.random.default_rng(6)
+    texts = [f"{'junk ' * (i % 3 == 0)}" + " ".join(f"w{x}" for x in rng.integers(0, 20, 8)) for i in range(90)]
+    y = np.array([[i % 3 == 0, i % 2] for i in range(90)]).astype(int)
+    seen, fit = [], toxicity.Linear.fit.__func__
+    monkeypatch.setattr(toxicity.Linear, "fit", classmethod(lambda cls, rows, width, dense, z, **k: seen.append((len(rows), dense.copy())) or fit(cls, rows, width, dense, z, **k)))
+    chain = toxicity.Chain.fit(texts, y, ["junk", "toxic"], folds=3)
+    monkeypatch.undo()
+    dense = next(d for n, d in reversed(seen) if n == 90 and d.shape[1] == 1)
+    rows = [chain.features(toxicity.words_of(t)) for t in texts]
+    for i in range(90):
+        others = [j for j in range(90) if j % 3 != i % 3]
+        model = toxicity.Linear.fit([rows[j] for j in others], len(chain.vocabulary), np.zeros((60, 0)), y[others, 0].astype(float))
+        score = model.bias + sum(model.weights[f] for f in rows[i])
+        assert abs(dense[i, 0] - 1 / (1 + np.exp(-score))) < 1e-9
+
+
+def test_conflicting_and_repeated_labels(spark):
+    docs = spark.createDataFrame([(i, f"text {i}") for i in range(6)] + [(1, "a second text")] * 50, "doc_id long, text string")
+    labels = spark.createDataFrame([(0, 1, 0), (1, 0, 1), (2, 1, 0), (2, 1, 1), (3, 1, 0)], "doc_id long, quality int, toxic int")
+    texts, y = toxicity.training_rows(docs, labels, toxicity.label_categories())
+    assert sorted(zip(texts, map(tuple, y.tolist()), strict=True)) == [("a second text", (1, 1)), ("text 0", (0, 0)), ("text 3", (0, 0))]
