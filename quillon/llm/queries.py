@@ -15,8 +15,14 @@ QUERIES = {
     "op8_ngram_jaccard": ngram_join.op8,
     "op9_language_id": langid.op9,
     "op10_sharding": sharding.op10,
+    "packed_conversations": packing.packed_conversations,
+    "segmentation_round_trip": lattice_sampling.segmentation_round_trip,
+    "secret_counts": secrets.secret_counts,
 }
 ORACLE_SQL = {
     "op4_exact_dedup": exact_dedup.OP4_SQL,
     "op7_url_filter": url_filter.OP7_SQL,
+    "op8_ngram_jaccard": ngram_join.OP8_SQL,
+    "segmentation_round_trip": lattice_sampling.ROUND_TRIP_SQL,
+    "secret_counts": secrets.COUNTS_SQL,
 }

@@ -153,6 +153,19 @@ def redacted(text: Column, findings: Column, mark: str = "[REDACTED]") -> Column
     return F.when(F.size(findings) > 0, kept).otherwise(text)
 
 
+def secret_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The base kinds' counts alone, which SQL can express."""
+    return op3(spark, sf_dir).select("doc_id", *[f"n_{r.kind}" for r in BASE_RULES])
+
+
+COUNTS_SQL = r"""
+WITH t AS (SELECT doc_id, coalesce(text, '') AS text FROM documents)
+SELECT doc_id, len(list_filter(regexp_extract_all(text, '((?i:password|passwd|secret|token|api_?key))["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)', 2), lambda x: length(x) >= 8)) AS n_assign,
+       len(list_filter(regexp_extract_all(text, 'AKIA[A-Z0-9]+'), lambda x: length(x) >= 16)) AS n_access,
+       len(list_filter(regexp_extract_all(text, '[0-9a-f]+'), lambda x: length(x) >= 32)) AS n_hex FROM t
+"""
+
+
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     found = secret_findings(docs)

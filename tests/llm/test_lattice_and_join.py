@@ -4,6 +4,7 @@ import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from quillon.llm import lattice_sampling as ls
 from quillon.llm import ngram_join as nj
@@ -26,8 +27,6 @@ def test_samples_follow_the_distribution_without_replacement():
     lat, n = ls.Lattices(PIECES), 20_000
     p = {s: np.exp(w) for s, w in segmentations(lat, " abc").items()}
     assert abs(sum(p.values()) - 1) < 1e-9
-    weights = {s: sum(-np.log(abs(0) + 1) for _ in s) for s in p}
-    assert set(weights) == set(p)
     got = ls.gumbel_top_k(["abc"] * n, np.random.default_rng(1).integers(0, 2**63, n, dtype=np.uint64), lat, 2)
     pairs = Counter((tuple(a[0].tolist()), tuple(b[0].tolist())) for a, b in got)
     for a in p:
@@ -121,7 +120,7 @@ def near_copies(seed, families=6, copies=25, words=60, edits=4):
     return rows
 
 
-@pytest.mark.parametrize(("seed", "options"), [(1, {}), (2, {"few": 4}), (3, {"few": 4, "part_tokens": 300}), (4, {"orders": 1, "few": 2, "often": 1}), (5, {"n": 5, "num": 80})])
+@pytest.mark.parametrize(("seed", "options"), [(1, {}), (2, {"few": 4}), (3, {"few": 4, "part_tokens": 300}), (4, {"orders": 1, "few": 2, "often": 1}), (5, {"n": 5, "num": 80}), (6, {"few": 4, "long_list": 8, "part_tokens": 400}), (7, {"few": 2, "long_list": 3, "part_tokens": 200, "num": 80}), (8, {"id_bits": 13})])
 def test_join_equals_brute_force(spark, seed, options):
     rows = near_copies(seed)
     got = nj.ngram_jaccard_join(spark.createDataFrame(rows, "doc_id long, text string"), **options)
@@ -147,3 +146,38 @@ def test_shingles_of_any_text(texts):
 
     got = [len(s) for s in nj.Shingler(3).sets(pa.array(texts, pa.string()))]
     assert got == [n for i in range(len(texts)) for (_, n, _) in brute([(i, texts[i])], 3, 9, 10)]
+
+
+def test_weights_and_segmentations_come_from_the_vocabulary_file():
+    """The lattice's segmentations and chances, against an enumeration from the file itself."""
+    import sentencepiece
+
+    sp = sentencepiece.SentencePieceProcessor(model_file=ls.default_model())
+    n = sp.get_piece_size()
+    pieces = {sp.id_to_piece(i): (i, -np.log(abs(sp.get_score(i)) + 2)) for i in range(n) if not (sp.is_byte(i) or sp.is_control(i) or sp.is_unknown(i) or sp.is_unused(i))}
+
+    def cut(rest):
+        if not rest:
+            yield (), 0.0
+        for k in range(1, len(rest) + 1):
+            if rest[:k] in pieces:
+                i, w = pieces[rest[:k]]
+                for ids, more in cut(rest[k:]):
+                    yield (i, *ids), w + more
+
+    lat = ls.Lattices(PIECES)
+    for word in ("abc", "token", "the"):
+        want = dict(cut("▁" + word))
+        total = np.log(sum(np.exp(w) for w in want.values()))
+        got = {s[::-1]: w for s, w in segmentations(lat, " " + word).items()}
+        got = got if set(got) == set(want) else {s[::-1]: w for s, w in got.items()}
+        assert set(got) == set(want) and len(want) > 2
+        assert all(abs(got[s] - (w - total)) < 1e-5 for s, w in want.items())
+
+
+def test_decoding_a_table(spark, odd):
+    sampled = ls.sample_segmentations(odd, ls.default_model(), k=1, with_ids=True)
+    text = {r.doc_id: r.text or "" for r in odd.collect()}
+    got = ls.decode_pieces(sampled.withColumn("extra", F.lit(1)), ls.default_model()).collect()
+    assert len(got) == odd.count() and all(r.text == text[r.doc_id] for r in got if r.doc_id is not None) and got[0].extra == 1
+    assert ls.decode_pieces(sampled.withColumn("ids", F.lit(None).cast("array<int>")), ls.default_model()).filter("text IS NULL").count() == odd.count()
