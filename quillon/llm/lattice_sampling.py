@@ -20,7 +20,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import make_importable, table
+from .common import make_importable, table, with_columns
 
 U = np.uint64
 _UNITS = re.compile(r" *[^ ]+| +")
@@ -88,7 +88,11 @@ class Pieces:
 
     def decode(self, ids: list[int]) -> str:
         """The text of any of its segmentations, exactly."""
-        return b"".join(self.text_of[i] for i in ids)[1:].decode("utf-8", "surrogatepass")
+        raw = b"".join(self.text_of[i] for i in ids)[1:]
+        try:
+            return raw.decode("utf-8", "surrogatepass")
+        except UnicodeDecodeError:
+            return raw.decode("utf-8", "replace")
 
 
 class _Column:
@@ -144,7 +148,8 @@ class Lattices:
     def _add(self, units: list[str]) -> None:
         p, raw = self.pieces, [u.encode("utf-8", "surrogatepass") for u in units]
         sizes = np.array([len(r) for r in raw])
-        data = np.frombuffer(b"".join(raw), dtype=np.uint8)
+        joined = b"".join(raw)
+        data = np.frombuffer(joined, dtype=np.uint8)
         unit = np.repeat(np.arange(len(raw)), sizes)
         starts = np.concatenate([[0], np.cumsum(sizes)])
         node = np.arange(len(data)) + unit  # node of each byte's start; a unit's last node has no byte
@@ -159,7 +164,7 @@ class Lattices:
             edges.append((node[at[hit]], node[at[hit]] + depth, p.ends[state[hit]], p.weights[state[hit]]))
             go = room[at] > depth
             at, state = at[go], state[go]
-        lone = self._spelt(units, starts)
+        lone = self._spelt(units, joined)
         edges.append((node[lone], node[lone] + 1, p.byte_id[data[lone]], np.full(len(lone), p.byte_weight)))
         source, end, piece, weight = (np.concatenate(x) for x in zip(*edges[::-1], strict=True))
         total = len(data) + len(raw)
@@ -198,19 +203,13 @@ class Lattices:
             self.columns[k].add(x)
         self._show()
 
-    def _spelt(self, units: list[str], starts: np.ndarray) -> np.ndarray:
+    def _spelt(self, units: list[str], data: bytes) -> np.ndarray:
         """Places of the bytes of characters that are no piece."""
-        single = self.pieces.single
-        unknown = {c for c in set().union(*units) if c.encode("utf-8", "surrogatepass") not in single}
-        out = []
-        for u, at in zip(units, starts.tolist(), strict=False) if unknown else ():
-            if not unknown.isdisjoint(u):
-                for c in u:
-                    n = len(c.encode("utf-8", "surrogatepass"))
-                    if c in unknown:
-                        out += range(at, at + n)
-                    at += n
-        return np.array(out, dtype=np.int64)
+        unknown = [e for c in set("".join(units)) if (e := c.encode("utf-8", "surrogatepass")) not in self.pieces.single]
+        if not unknown:
+            return np.zeros(0, dtype=np.int64)
+        found = re.finditer(b"|".join(map(re.escape, unknown)), data)  # no character's bytes begin within another's
+        return np.fromiter((at for m in found for at in range(m.start(), m.end())), dtype=np.int64)
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -282,7 +281,7 @@ def gumbel_top_k(texts: list[str], seeds: np.ndarray, lattices: Lattices, k: int
 
 
 #: Places of a path whose draws are made for a whole batch at once; more are drawn where they might matter.
-NEAR = 96
+NEAR = 256
 #: No draw's logarithm is below: uniform() stays 2**-54 away from 1.
 LEAST_DRAW = -38.0
 _MASK = (1 << 64) - 1
@@ -349,7 +348,8 @@ class _Search:
                 mass = np.concatenate([[above - logps[fixed - 1] + math.log(left) if left > 1e-12 else -np.inf], mass])
             draw = self.draws[n][: len(mass)] if len(mass) <= NEAR else np.log(-np.log(uniform(np.full(len(mass), self.seed, dtype=U), np.arange(len(mass)), 1_000 + n)))
             x = draw - mass
-            best = x.argsort(kind="stable")[: k + 1]
+            best = np.argpartition(x, k)[: k + 1] if len(x) > k + 1 else np.arange(len(x))
+            best = best[x[best].argsort(kind="stable")]
             if fixed + wide >= len(edges) or len(best) > k and x[best[-1]] < LEAST_DRAW - before[-1]:
                 break
             wide *= 4
@@ -395,8 +395,8 @@ def sample_segmentations(
     with ``with_ids`` the ids, which Pieces.decode turns back into the text. No shuffle; whole texts.
 
     Samples depend on the row's key (its id), ``seed`` and the text alone, so repeated rows get equal samples. Null or empty text
-    has one segmentation, without pieces. Fewer than k rows come out of a text with fewer segmentations. Other
-    columns are ignored.
+    has one segmentation, without pieces. Fewer than k rows come out of a text with fewer segmentations. Texts of any length are sampled whole; null ids
+    stay null and are seeded alike. Other columns are ignored. An empty table gives an empty result.
     """
     make_importable(docs.sparkSession)
     schema = "doc_id long, sample int, n_pieces long, ids_crc32 long, log_prob double, perturbed double, log_inclusion double" + ", ids array<int>" * with_ids
@@ -412,13 +412,33 @@ def sample_segmentations(
                 part = rows.iloc[low:high]
                 low = high
                 seeds = part["key"].to_numpy().astype(np.int64).view(U)
-                for doc, found in zip(part["doc_id"], gumbel_top_k(part["text"].tolist(), seeds, lattices, k), strict=True):
+                for doc, none, found in zip(part["doc_id"].tolist(), part["none"], gumbel_top_k(part["text"].tolist(), seeds, lattices, k), strict=True):
                     for n, (ids, logp, value, inclusion) in enumerate(found, 1):
-                        out.append((doc, n, len(ids), zlib.crc32(ids.astype("<u4", copy=False).tobytes()), logp, value, inclusion, *([ids.tolist()] * with_ids)))
-            yield pd.DataFrame(out, columns=names)
+                        out.append((None if none else doc, n, len(ids), zlib.crc32(ids.astype("<u4", copy=False).tobytes()), logp, value, inclusion, *([ids.tolist()] * with_ids)))
+            frame = pd.DataFrame([x[1:] for x in out], columns=names[1:])
+            frame.insert(0, "doc_id", pd.array([x[0] for x in out], dtype="Int64"))
+            yield frame
 
+    doc = F.col(id_col).cast("long")
     key = F.xxhash64(F.col(id_col).cast("string"), F.lit(seed))
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), key.alias("key"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).mapInPandas(run, schema)
+    return docs.select(F.coalesce(doc, F.lit(0)).alias("doc_id"), doc.isNull().alias("none"), key.alias("key"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).mapInPandas(run, schema)
+
+
+def decode_pieces(rows: DataFrame, model_file: str, ids_col: str = "ids", text_col: str = "text") -> DataFrame:
+    """rows with the text that the ids of each row spell, whatever their segmentation: encoding's exact inverse.
+
+    No ids are the empty text, null ids null; an id beyond the vocabulary is an error. Bytes that are no UTF-8 (ids that no text gave) come out as
+    replacement characters. Rows of any length and repeated rows stay; an input column of the text's name gives way. An empty table gives an empty result.
+    """
+    make_importable(rows.sparkSession)
+
+    @F.pandas_udf("string")
+    def decode(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        pieces = Pieces.of(model_file, 1.0)
+        for p in parts:
+            yield pd.Series([None if ids is None else pieces.decode(ids) for ids in p], dtype=object)
+
+    return with_columns(rows, {text_col: decode(F.col(ids_col))})
 
 
 def default_model() -> str:
@@ -427,5 +447,14 @@ def default_model() -> str:
     return public_tokenizers.path("piece_bpe_32k.model")
 
 
+def segmentation_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, text_sha256 of the text decoded from each document's first sample."""
+    sampled = sample_segmentations(table(spark, sf_dir, "documents"), default_model(), k=1, with_ids=True)
+    return decode_pieces(sampled, default_model()).select("doc_id", F.sha2("text", 256).alias("text_sha256"))
+
+
+ROUND_TRIP_SQL = "SELECT doc_id, sha256(coalesce(text, '')) AS text_sha256 FROM documents"
+
+
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sample_segmentations(table(spark, sf_dir, "documents"), default_model())
