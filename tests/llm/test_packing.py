@@ -99,3 +99,31 @@ def test_conversations(spark):
     sums = got.groupby("sequence_id")[["tokens", "segments", "loss_tokens"]].sum()
     assert len(got) == 41 and (sums <= [60, 8, 25]).all().all()
     assert (got.sort_values(["sequence_id", "position"]).groupby("sequence_id").cumcount() == got.sort_values(["sequence_id", "position"]).position).all()
+
+
+def test_many_small_partitions_leave_little_padding(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").repartition(211)
+    got = packing.pack_documents(docs, FILE).toPandas()
+    assert got.length.sum() >= 0.99 * 2048 * got.sequence_id.nunique()
+    check(got.itertuples(), docs.collect(), 2048, spare=float("inf"))
+
+
+def test_conversations_under_three_limits(spark):
+    turns = spark.read.parquet("/root/testdata/sf0.01/conversations.parquet")
+    limits = (900, 6, 300)
+    odd = spark.createDataFrame([(None, 1, "user", "a b"), (None, None, None, None), (7_777, 1, "assistant", "word " * 5_000), (7_778, 2, "user", "w " * 3_000), (7_778, 2, "user", "w " * 3_000)], "conv_id long, turn long, role string, text string")
+    rows = turns.select("conv_id", "turn", "role", "text").unionByName(odd)
+    want = {}
+    for r in rows.collect():
+        key = (r.conv_id, r.turn)
+        want.setdefault(key, []).append(len(PLAIN.encode(r.text or "", add_special_tokens=False).ids) + 1)
+    for parts in (1, 40):
+        got = packing.pack_conversations(rows.repartition(parts), FILE, limits).toPandas()
+        n = got.groupby(["conv_id", "turn"], dropna=False).length.sum()
+        assert {tuple(None if x != x else int(x) for x in k): v for k, v in n.items()} == {k: sum(v) for k, v in want.items()}
+        by = got.groupby("sequence_id")
+        assert by.length.sum().max() <= limits[0] and by.size().max() <= limits[1] and by.example_loss_tokens.sum().max() <= limits[2]
+        assert (by.size() == limits[1]).any() and (by.example_loss_tokens.sum() > 0.9 * limits[2]).any()
+        for _, s in got.sort_values(["sequence_id", "offset"]).groupby("sequence_id"):
+            assert s.offset.tolist() == [0, *s.length.cumsum().tolist()[:-1]]
+    assert packing.pack_conversations(rows.limit(0), FILE, limits).count() == 0
