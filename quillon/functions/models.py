@@ -12,6 +12,7 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from ..session import active_importable
 from .text import words
 
 T = TypeVar("T")
@@ -41,6 +42,7 @@ def hashed_vector(text: str | None, dim: int) -> list[float]:
 
 def dense_encode(text: Column, dim: int = 1024, encoder: Callable[[str | None, int], list[float]] = hashed_vector) -> Column:
     """array<float>: any per-text encoder over Arrow batches; feature hashing by default."""
+    active_importable()
 
     @F.pandas_udf("array<float>")
     def encode(texts: pd.Series) -> pd.Series:
@@ -50,10 +52,16 @@ def dense_encode(text: Column, dim: int = 1024, encoder: Callable[[str | None, i
 
 
 def sparse_encode(text: Column) -> Column:
-    """struct<indices,values>: 1 + ln(tf) under the 32-bit hash of each token, in order of the index; empty without tokens."""
-    tokens = F.transform(words(F.lower(text)), lambda w: F.crc32(w.cast("binary")))
-    pairs = F.transform(F.array_sort(F.array_distinct(tokens)), lambda i: F.struct(i.alias("i"), (1.0 + F.log(F.size(F.filter(tokens, lambda t: t == i)))).alias("v")))
-    return F.struct(F.transform(pairs, lambda p: p["i"]).alias("indices"), F.transform(pairs, lambda p: p["v"]).alias("values"))
+    """struct<indices,values>: 1 + ln(tf) under the 32-bit hash of each token, in order of the index; empty without tokens. The tokens of
+    a text are hashed in the plan and counted by one sort."""
+    active_importable()
+
+    @F.pandas_udf("indices array<long>, values array<double>")
+    def count(hashes: pd.Series) -> pd.DataFrame:
+        found = [np.unique(np.asarray(h, dtype=np.int64), return_counts=True) for h in hashes]
+        return pd.DataFrame({"indices": [i for i, _ in found], "values": [1.0 + np.log(n) for _, n in found]})
+
+    return count(F.transform(words(F.lower(text)), lambda w: F.crc32(w.cast("binary"))))
 
 
 def extraction_cascade(tiers: list[tuple[Column, int]]) -> Column:

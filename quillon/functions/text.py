@@ -8,8 +8,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # Suffixes of page titles, URL parts that mark no page, time words, version-segment patterns.
-TITLE_SUFFIXES = "documentation docs reference guide api manual wiki".split()
-SKIPPED_URL_PARTS = ".pdf .png .jpg .jpeg .gif .svg .zip .tar .gz .bz2 .whl .exe .dmg .ico ?download mailto: javascript:".split()
+TITLE_SUFFIXES = ["documentation", "docs", "reference", "guide", "api", "manual", "wiki"]
+SKIPPED_URL_PARTS = [".pdf", ".png", ".jpg", ".jpeg", ".gif", ".svg", ".zip", ".tar", ".gz", ".bz2", ".whl", ".exe", ".dmg", ".ico", "?download", "mailto:", "javascript:"]
 TIME_WORDS = ["latest", "recent", "current", "today", "this year", "2024", "2025", "2026", "new", "just released", "announcement", "preprint"]
 VERSION_SEGMENTS = [
     r"(?i)/v?\d+\.\d+(?:\.\d+)?(?:[-.\w]*)/",

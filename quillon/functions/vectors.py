@@ -17,7 +17,8 @@ def norm(a: Column) -> Column:
 
 
 def cosine(a: Column, b: Column) -> Column:
-    return dot(a, b) / (norm(a) * norm(b))
+    """Null for null vectors, vectors of different lengths and zero vectors."""
+    return F.when(F.size(a) == F.size(b), F.try_divide(dot(a, b), norm(a) * norm(b)))
 
 
 def vector(values: Sequence[float]) -> Column:

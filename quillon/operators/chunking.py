@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Sequence
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -15,25 +17,28 @@ def window_starts(n: Column, size: int, overlap: int, early_stop: bool = True) -
     return F.when(n > 0, F.transform(F.sequence(F.lit(0), last), lambda i: i * step)).otherwise(F.array().cast("array<int>"))
 
 
-def chunk_flat(docs: DataFrame, size: int = 512, overlap: int = 64, id_col: str = "doc_id", text_col: str = "text", early_stop: bool = True, least: int = 1) -> DataFrame:
-    """doc_id, chunk_idx, token_count, chunk_text. ``early_stop`` False and ``least`` 20 give the citation chunker: a tail
-    window more, and windows under ``least`` tokens dropped without using up an index."""
-    tokens = docs.select(F.col(id_col).alias("doc_id"), words(F.col(text_col)).alias("w"))
+def chunk_flat(docs: DataFrame, size: int = 512, overlap: int = 64, id_col: str = "doc_id", text_col: str = "text", early_stop: bool = True, least: int = 1, keep: Sequence[str] = (), tokens_of: Callable[[Column], Column] = words, between: str = " ") -> DataFrame:
+    """doc_id, further columns of ``keep``, chunk_idx, token_count, chunk_text. ``early_stop`` False and ``least`` 20 give the citation chunker: a tail
+    window more, and windows under ``least`` tokens dropped without using up an index. ``tokens_of`` is any column function that
+    gives an array of pieces of text (functions.tokens.bpe_pieces, say), which ``between`` joins again."""
+    tokens = docs.select(F.col(id_col).alias("doc_id"), *keep, tokens_of(F.col(text_col)).alias("w"))
     starts = F.filter(window_starts(F.size("w"), size, overlap, early_stop), lambda s: F.least(F.lit(size), F.size("w") - s) >= least)
-    each = tokens.select("doc_id", "w", F.posexplode(starts).alias("chunk_idx", "s"))
+    each = tokens.select("doc_id", *keep, "w", F.posexplode(starts).alias("chunk_idx", "s"))
     part = F.slice("w", F.col("s") + 1, F.lit(size))
-    return each.select("doc_id", "chunk_idx", F.size(part).alias("token_count"), F.array_join(part, " ").alias("chunk_text"))
+    return each.select("doc_id", *keep, "chunk_idx", F.size(part).alias("token_count"), F.array_join(part, between).alias("chunk_text"))
 
 
 def markdown_sections(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, section_no, heading, body, page_num: a line that starts with # opens a section; empty bodies are dropped."""
-    lines = docs.select(F.col(id_col).alias("doc_id"), F.posexplode(F.split(F.coalesce(F.col(text_col), F.lit("")), "\n")).alias("pos", "line"))
-    here = Window.partitionBy("doc_id").orderBy("pos")
-    marked = lines.withColumn("section_no", F.sum(F.startswith("line", F.lit("#")).cast("int")).over(here))
-    head = F.max(F.when(F.startswith("line", F.lit("#")), strip(F.regexp_replace("line", "^#+", ""))))
-    body = F.array_join(F.transform(F.array_sort(F.collect_list(F.when(~F.startswith("line", F.lit("#")), F.struct("pos", "line")))), lambda x: x["line"]), "\n")
-    out = marked.groupBy("doc_id", "section_no").agg(F.coalesce(head, F.lit("")).alias("heading"), strip(body).alias("body"))
-    return out.filter(F.col("body") != "").withColumn("page_num", F.lit(1))
+    """doc_id, section_no, heading, body, page_num: a line that starts with # opens a section; empty bodies are dropped. A text is split
+    where such lines begin, within its row: nothing is shuffled."""
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    parts = F.split(text, r"(?:^|(?<=\n))(?=#)", -1)
+    each = docs.select(F.col(id_col).alias("doc_id"), F.startswith(text, F.lit("#")).cast("int").alias("headed"), F.posexplode(parts).alias("at", "part"))
+    each = each.withColumn("section_no", F.col("at") + F.col("headed"))  # 0 is what comes before the first heading
+    line = F.when(F.col("section_no") > 0, F.substring_index("part", "\n", 1))
+    heading = F.coalesce(strip(F.regexp_replace(line, "^#+", "")), F.lit(""))
+    body = strip(F.when(line.isNull(), F.col("part")).otherwise(F.substr("part", F.length(line) + 1)))
+    return each.select("doc_id", "section_no", heading.alias("heading"), body.alias("body"), F.lit(1).alias("page_num")).filter(F.col("body") != "")
 
 
 def chunk_sections(sections: DataFrame, size: int = 1000, overlap: int = 150) -> DataFrame:

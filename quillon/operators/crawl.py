@@ -30,5 +30,4 @@ def page_chunks(pages: DataFrame, done: DataFrame | None = None, size: int = 512
     """url, title, section, chunk_idx, token_count, chunk_text of pages that weren't ingested before."""
     rows = pages if done is None else not_done(pages, done, "url")
     parsed = rows.select("url", page_content(F.col("html")).alias("p")).select("url", clean_title(F.col("p.title")).alias("title"), "p.section", "p.text")
-    chunks = chunk_flat(parsed, size, overlap, id_col="url").withColumnRenamed("doc_id", "url")
-    return chunks.join(parsed.drop("text"), "url")
+    return chunk_flat(parsed, size, overlap, id_col="url", keep=("title", "section")).withColumnRenamed("doc_id", "url")

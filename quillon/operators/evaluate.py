@@ -7,6 +7,9 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.text import words
+from .search import bucket_of
+
 
 def judged(results: DataFrame, relevant: DataFrame) -> DataFrame:
     """query_id, hits (sorted relevant ranks), n_rel: one row for each query with relevance, retrieved or not."""
@@ -16,6 +19,26 @@ def judged(results: DataFrame, relevant: DataFrame) -> DataFrame:
     return n.join(hit, "query_id", "left").withColumn("hits", F.coalesce("hits", F.array().cast("array<int>")))
 
 
+def containing(docs: DataFrame, items: DataFrame, index: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """query_id, doc_id: documents whose text has an item's text (query_id, q) in it. Inner words of an item are whole words of such a
+    document, so the longest one's postings are the candidates. Items without inner words are looked for in all documents."""
+    inner = F.expr("slice(w, 2, greatest(0, size(w) - 2))")
+    keyed = items.select("query_id", "q", words(F.col("q")).alias("w")).select("query_id", "q", F.array_max(F.transform(inner, lambda x: F.struct(F.length(x).alias("n"), x.alias("x"))))["x"].alias("term"))
+    long = keyed.filter(F.col("term").isNotNull()).withColumn("bucket", bucket_of(F.col("term")))
+    maybe = index.join(long, ["bucket", "term"]).select("query_id", "q", F.col("id").alias(id_col))
+    texts = docs.select(F.col(id_col), F.col(text_col).alias("__text"))
+    found = texts.join(maybe, id_col).filter(F.contains("__text", F.col("q"))).select("query_id", id_col)
+    short = keyed.filter(F.col("term").isNull() & F.col("q").isNotNull())
+    if not short.isEmpty():
+        found = found.unionByName(texts.join(short, F.contains("__text", F.col("q"))).select("query_id", id_col))
+    return found
+
+
+def any_hit(k: int) -> Column:
+    """Whether anything relevant is among the first k."""
+    return F.exists("hits", lambda r: r <= k)
+
+
 def recall_at(k: int) -> Column:
     """1 if anything relevant is among the first k: a hit rate."""
     return F.exists("hits", lambda r: r <= k).cast("double")

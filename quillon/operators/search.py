@@ -7,16 +7,21 @@ from functools import reduce
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import words
 from ..functions.vectors import cosine, vector
+from ..session import make_importable
 
 #: Rank fusion: the constant of the outer pass, and the default of the inner one (a parameter everywhere).
 RRF_K, INNER_K = 60, 60
+#: Places that scores are ranked by: beyond these, sums depend on the order of their terms, and equal texts would part. Places that are shown.
+RANK_PLACES, SHOWN_PLACES = 9, 6
 #: Candidates of each leg, at least; query vectors that a task holds at once.
 LEG_LIMIT, QUERY_BLOCK = 100, 1_000
+#: Points that meet a block of queries in one task; buckets of a stored index.
+POINT_BLOCK, INDEX_BUCKETS = 20_000, 64
 
 
 def conditions(year_min: int | None = None, year_max: int | None = None, author: str | None = None, year: str = "year", authors: str = "authors") -> Column | None:
@@ -42,95 +47,146 @@ def rank_by(df: DataFrame, by: str, id_col: str, parts: Sequence[str] = (), name
 
 
 def dense_topk(points: DataFrame, query: Sequence[float], k: int, id_col: str = "vec_id", vec_col: str = "embedding", keep: Sequence[str] = ()) -> DataFrame:
-    """id, score (cosine to six places), rank: one query as a literal, a sort of k rows a task."""
-    scored = points.select(F.col(id_col).alias("id"), *keep, F.round(cosine(F.col(vec_col), vector(query)), 6).alias("score"))
+    """id, score (cosine), rank: one query as a literal, a sort of k rows a task. Null, zero and ragged vectors take no part."""
+    scored = points.select(F.col(id_col).alias("id"), *keep, F.round(cosine(F.col(vec_col), vector(query)), RANK_PLACES).alias("score"))
     return top(scored.filter(F.col("score").isNotNull()), k)
 
 
 def top(scored: DataFrame, k: int) -> DataFrame:
-    """The k best of (id, score, …) with ranks; the rank is made on k rows."""
-    return scored.orderBy(F.desc("score"), "id").limit(k).withColumn("rank", F.row_number().over(Window.orderBy(F.desc("score"), "id")))
+    """The k best of (id, score, …) with ranks, the scores to six places; the rank is made on k rows."""
+    return shown(scored.orderBy(F.desc("score"), "id").limit(k).withColumn("rank", F.row_number().over(Window.orderBy(F.desc("score"), "id"))))
+
+
+def shown(ranked: DataFrame, score: str = "score") -> DataFrame:
+    return ranked.withColumn(score, F.round(score, SHOWN_PLACES))
+
+
+def usable(v: Column) -> Column:
+    """A vector with components, none null or not a number, and not all zero."""
+    return F.coalesce((F.size(v) > 0) & F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x)) & F.exists(v, lambda x: x != 0), F.lit(False))
 
 
 def dense_batch(points: DataFrame, queries: DataFrame, k: int, id_col: str = "vec_id", vec_col: str = "embedding", q_id: str = "query_id", q_vec: str = "embedding", group: str | None = None) -> DataFrame:
-    """query_id, [group,] id, score, rank for many queries: exact, matrix products over Arrow batches.
+    """query_id, [grp,] id, score, rank for many queries: exact, matrix products over Arrow batches.
 
-    Query vectors go to the tasks in blocks of QUERY_BLOCK, so the points are read once a block and nothing of unknown size is broadcast;
-    each task keeps k rows a query (and group), and only those are shuffled.
+    Up to QUERY_BLOCK query vectors go to all tasks, and each keeps k rows a query (and group) of the points that it reads. More queries
+    meet the points block by block, in tasks of bounded size. Null, zero and ragged vectors (of another length than the first query's) take no part; null ids
+    don't either. An empty side gives an empty result.
     """
     spark = points.sparkSession
-    blocks = []
-    asked = queries.select(F.col(q_id).alias("i"), F.col(q_vec).cast("array<double>").alias("v")).toLocalIterator(prefetchPartitions=True)
-    held: list = []
-    for r in asked:
-        held.append(r)
-        if len(held) == QUERY_BLOCK:
-            blocks.append(held)
-            held = []
-    blocks += [held] if held else []
-    schema = "query_id long, grp string, id long, score double"
+    make_importable(spark)
+    asked = queries.select(F.col(q_id).cast("long").alias("query_id"), F.col(q_vec).cast("array<double>").alias("v")).filter(usable(F.col("v")) & F.col("query_id").isNotNull())
     rows = points.select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).cast("array<double>").alias("v"), (F.col(group).cast("string") if group else F.lit("")).alias("grp"))
-    rows = rows.filter(F.col("v").isNotNull())
-
-    def search(block: list) -> DataFrame:
-        q = np.array([r.v for r in block])
-        shared = spark.sparkContext.broadcast((np.array([r.i for r in block]), q / np.linalg.norm(q, axis=1, keepdims=True)))
-
-        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            ids, unit = shared.value
-            best: dict[str, tuple[np.ndarray, np.ndarray]] = {}
-            for b in batches:
-                for name, part in b.groupby("grp", sort=False):
-                    x = np.stack(part["v"].to_numpy())
-                    s = np.round(unit @ (x / np.linalg.norm(x, axis=1, keepdims=True)).T, 6)
-                    n = np.broadcast_to(part["id"].to_numpy(), s.shape)
-                    if name in best:
-                        s, n = np.hstack([best[name][0], s]), np.hstack([best[name][1], n])
-                    first = np.lexsort((n, -s), axis=1)[:, :k]
-                    best[name] = np.take_along_axis(s, first, 1), np.take_along_axis(n, first, 1)
-            for name, (s, n) in best.items():
-                yield pd.DataFrame({"query_id": np.repeat(ids, s.shape[1]), "grp": name, "id": n.ravel(), "score": s.ravel()})
-
-        return rows.mapInPandas(run, schema)
-
-    if not blocks:
+    some = asked.limit(QUERY_BLOCK + 1).toPandas()
+    schema = "query_id long, grp string, id long, score double"
+    if not len(some):
         return spark.createDataFrame([], schema + ", rank int")
-    found = reduce(DataFrame.unionByName, map(search, blocks)).filter(~F.isnan("score"))
-    return rank_by(found, "score", "id", ["query_id", "grp"]).filter(F.col("rank") <= k)
+    dim = len(some["v"].iloc[0])
+    asked = asked.filter(F.size("v") == dim)
+    rows = rows.filter(usable(F.col("v")) & (F.size("v") == dim) & F.col("id").isNotNull() & F.col("grp").isNotNull())
+
+    def matrix(column: pd.Series) -> np.ndarray:
+        x = np.stack(column.to_numpy())
+        return x / np.linalg.norm(x, axis=1, keepdims=True)
+
+    def best(ids: np.ndarray, unit: np.ndarray, batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        kept: dict[str, tuple[np.ndarray, np.ndarray]] = {}
+        for b in batches:
+            for name, part in b.groupby("grp", sort=False):
+                s = np.round(unit @ matrix(part["v"]).T, RANK_PLACES)
+                n = np.broadcast_to(part["id"].to_numpy(), s.shape)
+                if name in kept:
+                    s, n = np.hstack([kept[name][0], s]), np.hstack([kept[name][1], n])
+                first = np.lexsort((n, -s), axis=1)[:, :k]
+                kept[name] = np.take_along_axis(s, first, 1), np.take_along_axis(n, first, 1)
+        for name, (s, n) in kept.items():
+            yield pd.DataFrame({"query_id": np.repeat(ids, s.shape[1]), "grp": name, "id": n.ravel(), "score": s.ravel()})
+
+    if len(some) <= QUERY_BLOCK:
+        some = some[some["v"].map(len) == dim]
+        shared = spark.sparkContext.broadcast((some["query_id"].to_numpy(), matrix(some["v"])))
+        found = rows.mapInPandas(lambda batches: best(*shared.value, batches), schema)
+    else:
+        parts, blocks = (max(1, -(-df.count() // n)) for df, n in ((rows, POINT_BLOCK), (asked, QUERY_BLOCK)))
+        spread = lambda of, n, name: F.pmod(F.xxhash64(of), F.lit(n).cast("long")).alias(name)
+        each = lambda n, name: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long"))).alias(name)
+        left = asked.select("query_id", "v", spread("query_id", blocks, "block"), each(parts, "part")).groupBy("block", "part")
+        right = rows.select("id", "v", "grp", spread("id", parts, "part"), each(blocks, "block")).groupBy("block", "part")
+
+        def meet(q: pd.DataFrame, p: pd.DataFrame) -> pd.DataFrame:
+            out = list(best(q["query_id"].to_numpy(), matrix(q["v"]), iter([p]))) if len(q) and len(p) else []
+            return pd.concat(out) if out else pd.DataFrame({"query_id": [], "grp": [], "id": [], "score": []})
+
+        found = left.cogroup(right).applyInPandas(meet, schema)
+    return shown(rank_by(found, "score", "id", ["query_id", "grp"]).filter(F.col("rank") <= k))
 
 
 def postings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", only: Sequence[str] | None = None, keep: Sequence[str] = ()) -> DataFrame:
-    """id, term, weight = 1 + ln(tf): one row for each document and term; ``only`` these terms, if given, before any shuffle."""
-    terms = docs.select(F.col(id_col).alias("id"), *keep, F.explode(words(F.col(text_col))).alias("term"))
+    """id, term, weight = 1 + ln(tf): one row for each document and term; ``only`` these terms, if given, before any row is made of them."""
+    terms = words(F.col(text_col))
     if only is not None:
-        terms = terms.filter(F.col("term").isin(list(only)))
+        terms = F.filter(terms, lambda t: t.isin(list(only)))
+    terms = docs.select(F.col(id_col).alias("id"), *keep, F.explode(terms).alias("term"))
     return terms.groupBy("id", *keep, "term").agg(F.count(F.lit(1)).alias("tf")).select("id", *keep, "term", (1.0 + F.log(F.col("tf"))).alias("weight"))
 
 
+def bucket_of(term: Column) -> Column:
+    return F.pmod(F.xxhash64(term), F.lit(INDEX_BUCKETS)).cast("int")
+
+
+def build_index(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The inverted index, stored: postings in a folder for each bucket of terms, sorted by term within files, so that a search reads the
+    buckets of its terms, and of these the row groups that may hold them."""
+    made = postings(docs, id_col, text_col).withColumn("bucket", bucket_of(F.col("term")))
+    made.repartition("bucket", F.pmod(F.xxhash64("term"), F.lit(4))).sortWithinPartitions("bucket", "term", "id").write.partitionBy("bucket").parquet(path)
+    return open_index(docs.sparkSession, path, made.schema)
+
+
+def open_index(spark: SparkSession, path: str, schema=None) -> DataFrame:
+    return (spark.read.schema(schema) if schema else spark.read).parquet(path)
+
+
+def listed(index: DataFrame, terms: Sequence[str]) -> DataFrame:
+    """The postings of some terms; other buckets aren't read."""
+    spark = index.sparkSession
+    buckets = [r.b for r in spark.createDataFrame([(t,) for t in terms], "t string").select(bucket_of(F.col("t")).alias("b")).distinct().collect()]
+    return index.filter(F.col("bucket").isin(buckets) & F.col("term").isin(list(terms)))
+
+
 def query_terms(text: str) -> dict[str, float]:
     counts = pd.Series(text.split()).value_counts() if text.split() else {}
     return {t: 1.0 + float(np.log(c)) for t, c in counts.items()}
 
 
-def sparse_topk(docs: DataFrame, query: str, k: int, id_col: str = "doc_id", text_col: str = "text", keep: Sequence[str] = ()) -> DataFrame:
-    """id, score, rank: sum of products over shared terms; documents that share none are absent."""
-    return top(sparse_scores(docs, query, id_col, text_col, keep), k)
+def sparse_topk(docs: DataFrame, query: str, k: int, id_col: str = "doc_id", text_col: str = "text", keep: Sequence[str] = (), index: DataFrame | None = None) -> DataFrame:
+    """id, score, rank: sum of products over shared terms; documents that share none are absent. With an index, texts aren't read."""
+    return top(sparse_scores(docs, query, id_col, text_col, keep, index), k)
 
 
-def sparse_scores(docs: DataFrame, query: str, id_col: str = "doc_id", text_col: str = "text", keep: Sequence[str] = ()) -> DataFrame:
+def sparse_scores(docs: DataFrame, query: str, id_col: str = "doc_id", text_col: str = "text", keep: Sequence[str] = (), index: DataFrame | None = None) -> DataFrame:
     asked = query_terms(query)
-    spark = docs.sparkSession
     if not asked:
         return docs.select(F.col(id_col).alias("id"), *keep, F.lit(0.0).alias("score")).limit(0)
-    q = spark.createDataFrame(list(asked.items()), "term string, wq double")
-    found = postings(docs, id_col, text_col, list(asked), keep)
-    return found.join(F.broadcast(q), "term").groupBy("id", *keep).agg(F.round(F.sum(F.col("weight") * F.col("wq")), 6).alias("score"))
+    if index is None:
+        found = postings(docs, id_col, text_col, list(asked), keep)
+    else:
+        found = listed(index, list(asked)).select("id", "term", "weight").join(docs.select(F.col(id_col).alias("id"), *keep), "id")
+    weight = F.create_map(*[x for t, w in asked.items() for x in (F.lit(t), F.lit(w))])
+    return found.groupBy("id", *keep).agg(F.round(F.sum(F.col("weight") * weight[F.col("term")]), RANK_PLACES).alias("score"))
+
+
+def sparse_batch(index: DataFrame, queries: DataFrame, q_id: str = "query_id", q_text: str = "q") -> DataFrame:
+    """query_id, id, score for many queries: their terms meet the index's buckets."""
+    asked = queries.select(F.col(q_id).alias("query_id"), F.explode(words(F.col(q_text))).alias("term")).groupBy("query_id", "term").agg((1.0 + F.log(F.count(F.lit(1)))).alias("wq"))
+    asked = asked.withColumn("bucket", bucket_of(F.col("term")))
+    found = index.join(asked, ["bucket", "term"])
+    return found.groupBy("query_id", "id").agg(F.round(F.sum(F.col("weight") * F.col("wq")), RANK_PLACES).alias("score"))
 
 
 def rrf(lists: Sequence[DataFrame], k: int = RRF_K, id_col: str = "id", parts: Sequence[str] = ()) -> DataFrame:
     """id, score: the sum of 1 / (k + rank) over ranked lists (id, rank from 1)."""
     one = reduce(DataFrame.unionByName, [x.select(*parts, id_col, "rank") for x in lists])
-    return one.groupBy(*parts, id_col).agg(F.round(F.sum(1.0 / (k + F.col("rank"))), 6).alias("score"))
+    return one.groupBy(*parts, id_col).agg(F.round(F.sum(1.0 / (k + F.col("rank"))), RANK_PLACES).alias("score"))
 
 
 def rrf_payload(lists: Sequence[DataFrame], payload: str, last: bool = False, k: int = RRF_K) -> DataFrame:
@@ -141,13 +197,30 @@ def rrf_payload(lists: Sequence[DataFrame], payload: str, last: bool = False, k:
     return one.groupBy("id").agg(F.round(F.sum(1.0 / (k + F.col("rank"))), 6).alias("score"), pick.alias(payload))
 
 
-def hybrid(points: DataFrame, docs: DataFrame, query_vec: Sequence[float], query: str, n: int, condition: Column | None = None, inner_k: int = INNER_K) -> DataFrame:
+def hybrid(points: DataFrame, docs: DataFrame, query_vec: Sequence[float], query: str, n: int, condition: Column | None = None, inner_k: int = INNER_K, index: DataFrame | None = None) -> DataFrame:
     """id, score, rank: filtered dense and sparse legs of max(n, LEG_LIMIT) rows each, fused, the n best."""
     leg = max(n, LEG_LIMIT)
-    dense, sparse = dense_topk(filtered(points, condition), query_vec, leg), sparse_topk(filtered(docs, condition), query, leg)
+    dense, sparse = dense_topk(filtered(points, condition), query_vec, leg), sparse_topk(filtered(docs, condition), query, leg, index=index)
     return top(rrf([dense, sparse], inner_k), n)
 
 
+def hybrid_collections(points: DataFrame, index: DataFrame, members: DataFrame, queries: DataFrame, n: int, inner_k: int = INNER_K, k: int = RRF_K, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
+    """query_id, id, score, rank for many queries (query_id, q, v) over many collections (members: collection, id): in each collection a
+    dense and a sparse leg of max(n, LEG_LIMIT) rows, fused, the n best; these lists are fused again. A query that found something in one collection
+    only keeps its scores there. A collection without rows, or without vectors, is an empty list; ids in several collections count in each."""
+    leg = max(n, LEG_LIMIT)
+    held = points.join(members, points[id_col] == members["id"]).select(F.col(id_col), F.col(vec_col), "collection")
+    dense = dense_batch(held, queries, leg, id_col, vec_col, q_vec="v", group="collection").withColumnRenamed("grp", "collection")
+    sparse = rank_by(sparse_batch(index, queries).join(members, "id"), "score", "id", ["query_id", "collection"]).filter(F.col("rank") <= leg)
+    inner = rrf([dense, sparse], inner_k, parts=["query_id", "collection"])
+    inner = rank_by(inner, "score", "id", ["query_id", "collection"]).filter(F.col("rank") <= n)
+    lists = inner.groupBy("query_id").agg(F.min("collection").alias("low"), F.max("collection").alias("high"))
+    told = inner.join(lists, "query_id")
+    alone = told.filter(F.col("low") == F.col("high")).select("query_id", "id", "score")
+    fused = rrf([told.filter(F.col("low") != F.col("high"))], k, parts=["query_id"])
+    return shown(rank_by(alone.unionByName(fused), "score", "id", ["query_id"]).filter(F.col("rank") <= n))
+
+
 def many_collections(ranked: DataFrame, n: int, k: int = RRF_K) -> DataFrame:
     """Outer fusion of per-collection lists (collection, id, score, rank). A single collection keeps its inner scores."""
     collections = ranked.select("collection").distinct().limit(2).count()

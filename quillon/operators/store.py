@@ -3,16 +3,18 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
 def latest(rows: DataFrame, key: str | Sequence[str], order: Sequence[str]) -> DataFrame:
-    """One row of each key: the last in ``order`` (last write wins)."""
+    """One row of each key: the last in ``order`` (last write wins); rows that are alike in it go by a hash of all they hold, so the choice
+    doesn't depend on the plan."""
     keys = [key] if isinstance(key, str) else list(key)
-    w = Window.partitionBy(*keys).orderBy(*[F.desc(c) for c in order])
+    whole = F.xxhash64(*[F.col(f"`{c}`") for c, t in rows.dtypes if not t.startswith(("map", "variant"))])
+    w = Window.partitionBy(*keys).orderBy(*[F.desc(c) for c in order], F.desc(whole))
     return rows.withColumn("__k", F.row_number().over(w)).filter(F.col("__k") == 1).drop("__k")
 
 
@@ -22,7 +24,9 @@ def upsert(old: DataFrame, new: DataFrame, key: str | Sequence[str], batch_col:
 
 
 def partial_update(old: DataFrame, new: DataFrame, key: str, columns: Sequence[str]) -> DataFrame:
-    """old with the given columns replaced where new has the key and a value; keys that only new has are left out."""
+    """old with the given columns replaced where new has the key and a value; keys that only new has are left out. Of a key's new rows the
+    last in the order of the columns counts, so no row of old is doubled."""
+    new = latest(new.select(key, *columns), key, columns)
     n = new.select(F.col(key).alias("__key"), *[F.col(c).alias(f"__{c}") for c in columns])
     joined = old.join(n, F.col(key) == F.col("__key"), "left")
     return joined.select(*[F.coalesce(f"__{c}", c).alias(c) if c in columns else F.col(c) for c in old.columns])
@@ -47,8 +51,9 @@ def status(points: DataFrame, expected: DataFrame, name: str = "collection") ->
 
 
 class Store:
-    """Collections under one path, one partition each. A write makes a new version beside the old and then moves a pointer
-    file, so readers never see half a write and no plan overwrites what it reads."""
+    """Collections under one path, one partition each. A write makes a new version beside the old and then a pointer file with the next number, by
+    one rename to a name that wasn't there; the highest number counts. So readers never see half a write, no plan overwrites what it reads, and a writer
+    that dies leaves the old version in place. Versions that no pointer names go with the next write but one, so a reader may finish."""
 
     def __init__(self, spark: SparkSession, path: str, key: str = "id", schema: str | None = None):
         self.spark, self.path, self.key, self.schema = spark, path.rstrip("/"), key, schema
@@ -61,22 +66,39 @@ class Store:
 
     def collections(self) -> list[str]:
         root = self._new_path(self.path)
-        return sorted(s.getPath().getName() for s in self._fs.listStatus(root) if s.isDirectory()) if self._fs.exists(root) else []
+        return sorted(s.getPath().getName() for s in self._fs.listStatus(root) if s.isDirectory() and not s.getPath().getName().startswith("_")) if self._fs.exists(root) else []
+
+    def open_collections(self, system: Sequence[str] = ("_", "."), having: str | None = None) -> list[str]:
+        """Collections without a system prefix; with ``having``, those that lack this column yet (or are empty)."""
+        names = [n for n in self.collections() if not n.startswith(tuple(system))]
+        return names if having is None else [n for n in names if (rows := self.read(n)) is None or having not in rows.columns]
+
+    def _names(self, name: str) -> list[str]:
+        at = self._at(name)
+        return sorted(s.getPath().getName() for s in self._fs.listStatus(at)) if self._fs.exists(at) else []
+
+    def _pointers(self, name: str) -> list[tuple[int, str]]:
+        """(number, version), the current one last; a pointer's name says all, so a file that was only begun counts for nothing."""
+        found = [x.split(".", 2) for x in self._names(name) if x.startswith("CURRENT.")]
+        return sorted((int(n), version) for _, n, version in found)
 
     def _current(self, name: str) -> str | None:
-        at = self._at(f"{name}/CURRENT")
-        if not self._fs.exists(at):
-            return None
-        return self.spark.read.text(at.toString()).first()[0]
+        pointers = self._pointers(name)
+        return pointers[-1][1] if pointers else None
 
     def _point(self, name: str, version: str) -> None:
-        temporary, at = self._at(f"{name}/.{version}"), self._at(f"{name}/CURRENT")
-        out = self._fs.create(temporary, True)
-        out.write(bytearray(version, "utf-8"))
-        out.close()
-        self._fs.delete(at, False)
+        pointers = self._pointers(name)
+        number = pointers[-1][0] + 1 if pointers else 1
+        temporary, at = self._at(f"{name}/_{version}"), self._at(f"{name}/CURRENT.{number}.{version}")
+        self._fs.create(temporary, True).close()
         if not self._fs.rename(temporary, at):
             raise OSError(f"can't move {temporary.toString()} to {at.toString()}")
+        kept = {v for _, v in pointers[-1:]} | {version}
+        for n, v in pointers[:-1]:
+            self._fs.delete(self._at(f"{name}/CURRENT.{n}.{v}"), False)
+        for x in self._names(name):
+            if x.startswith("v-") and x not in kept:
+                self._fs.delete(self._at(f"{name}/{x}"), True)
 
     def create(self, name: str, recreate: bool = False) -> None:
         if recreate:
@@ -105,14 +127,55 @@ class Store:
         if (old := self.read(name)) is not None:
             self.write(name, partial_update(old, rows, self.key, columns))
 
+    def rebuild(self, name: str, change: Callable[[DataFrame], DataFrame], snapshot: str | None = None) -> DataFrame | None:
+        """All rows of the collection, changed (by a further column, say), in the place of the old ones; the manifest of a snapshot that is made before, if
+        a path for it is given. A missing collection is created empty."""
+        if (old := self.read(name)) is None:
+            self.create(name)
+            return None
+        manifest = self._copy(old, snapshot) if snapshot else None
+        self.write(name, change(old))
+        return manifest
+
+    def reingest(self, names: Sequence[str], rows_of: Callable[[str], DataFrame | None], snapshots: str, dry_run: bool = False) -> DataFrame:
+        """collection, outcome (success, failed, skipped), rows, error: each collection is copied to a folder of ``snapshots`` and made anew from
+        ``rows_of`` its name; None skips it. A failure leaves the collection as it was and doesn't stop the others. ``dry_run`` only counts."""
+        out = []
+        for name in names:
+            try:
+                rows = rows_of(name)
+                if rows is None:
+                    out.append((name, "skipped", None, None))
+                    continue
+                if not dry_run:
+                    if (old := self.read(name)) is not None:
+                        self._copy(old, f"{snapshots}/{name}")
+                    self.write(name, rows)
+                    rows = self.read(name)
+                out.append((name, "success", rows.count(), None))
+            except Exception as e:  # the outcome is a row of the summary
+                out.append((name, "failed", None, str(e).split("\n")[0]))
+        return self.spark.createDataFrame(out, "collection string, outcome string, rows long, error string")
+
     def snapshot(self, name: str, to: str) -> DataFrame:
-        """Copy the collection to a path; its manifest: file, bytes, SHA-256 of each file."""
+        """Copy the collection to a path; its manifest: file, bytes, SHA-256 of each file. A missing collection is an error."""
         rows = self.read(name)
+        if rows is None:
+            raise ValueError(f"no collection {name}")
+        return self._copy(rows, to)
+
+    def _copy(self, rows: DataFrame, to: str) -> DataFrame:
         rows.write.mode("overwrite").option("compression", "zstd").parquet(to)
         files = self.spark.read.format("binaryFile").option("pathGlobFilter", "*.parquet").load(to)
         return files.select(F.element_at(F.split("path", "/"), -1).alias("file"), F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha256"))
 
 
+def outcomes(summary: DataFrame) -> DataFrame:
+    """success, failed, skipped: sorted names by outcome, in one row. A summary has one row a collection, so lists are of bounded size."""
+    of = lambda o: F.sort_array(F.collect_list(F.when(F.col("outcome") == o, F.col("collection")))).alias(o)
+    return summary.agg(of("success"), of("failed"), of("skipped"))
+
+
 def export(points: DataFrame, path: str, dim: int, vector: str = "dense_embedding", by: str = "collection") -> None:
     """One partition for each collection, zstd; rows whose vector hasn't ``dim`` components are left out."""
     points.filter(F.size(vector) == dim).write.mode("overwrite").option("compression", "zstd").partitionBy(by).parquet(path)

@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators import search
 from ..session import make_importable, new_scratch_path as scratch  # noqa: F401  queries take it from here
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -34,6 +35,20 @@ def table(spark: SparkSession, d: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{d}/{name}.parquet")
 
 
+_INDEXES: dict[tuple, DataFrame] = {}
+
+
+def stored_index(spark: SparkSession, d: str) -> DataFrame:
+    """The inverted index over documents, built in the shared folder at its first use in a session, and anew when the table's files change."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(f"{d}/documents.parquet")
+    fs = p.getFileSystem(spark._jsc.hadoopConfiguration())
+    files = fs.listStatus(p)
+    key = (spark.sparkContext.applicationId, d, tuple((f.getPath().getName(), f.getLen(), f.getModificationTime()) for f in files))
+    if key not in _INDEXES:
+        _INDEXES[key] = search.build_index(table(spark, d, "documents"), scratch(spark, "index"))
+    return _INDEXES[key]
+
+
 def small(df: DataFrame) -> DataFrame:
     """With a broadcast hint if the rows are few, which is counted first."""
     return F.broadcast(df) if df.limit(SMALL_ROWS + 1).count() <= SMALL_ROWS else df

@@ -9,7 +9,7 @@ from ..functions.text import time_sensitive as time_words
 from ..functions.text import words
 from ..operators import context, evaluate, routing, search
 from ..operators.routing_tables import CATEGORIES, KEYWORDS
-from .registry import SQL_WORDS, query, small, table
+from .registry import SQL_WORDS, query, small, stored_index, table
 
 
 def query_vector(spark: SparkSession, d: str) -> list[float]:
@@ -20,17 +20,17 @@ def query_text(spark: SparkSession, d: str) -> str:
     return table(spark, d, "benchmark").filter("item_id = 0").select("text").first()[0]
 
 
-_DENSE = "SELECT vec_id AS id, round(list_cosine_similarity(embedding::DOUBLE[], (SELECT embedding::DOUBLE[] FROM embeddings WHERE vec_id = 0)), 6) AS score FROM embeddings"
+_DENSE = "SELECT vec_id AS id, round(list_cosine_similarity(embedding::DOUBLE[], (SELECT embedding::DOUBLE[] FROM embeddings WHERE vec_id = 0)), 9) AS score FROM embeddings"
 _TERMS = f"""
 qt AS (SELECT term, 1 + ln(count(*)) AS wq FROM (SELECT unnest({SQL_WORDS.format("text")}) AS term FROM benchmark WHERE item_id = 0) GROUP BY term),
 post AS (SELECT doc_id, term, 1 + ln(count(*)) AS wd FROM (SELECT doc_id, unnest({SQL_WORDS.format("text")}) AS term FROM documents) GROUP BY ALL),
-sp AS (SELECT doc_id AS id, round(sum(wd * wq), 6) AS score FROM post JOIN qt USING (term) GROUP BY doc_id)"""
+sp AS (SELECT doc_id AS id, round(sum(wd * wq), 9) AS score FROM post JOIN qt USING (term) GROUP BY doc_id)"""
 _LEGS = f"""
 WITH {_TERMS}, de AS ({_DENSE}),
 l1 AS (SELECT id, score, row_number() OVER (ORDER BY score DESC, id) AS rank FROM de QUALIFY rank <= 100),
 l2 AS (SELECT id, score, row_number() OVER (ORDER BY score DESC, id) AS rank FROM sp QUALIFY rank <= 100),
-f AS (SELECT id, round(sum(1.0::DOUBLE / (60 + rank)), 6) AS score FROM (SELECT id, rank FROM l1 UNION ALL SELECT id, rank FROM l2) GROUP BY id)"""
-_RANKED = "SELECT id, score, row_number() OVER (ORDER BY score DESC, id)::INTEGER AS rank FROM {0} QUALIFY rank <= {1}"
+f AS (SELECT id, round(sum(1.0::DOUBLE / (60 + rank)), 9) AS score FROM (SELECT id, rank FROM l1 UNION ALL SELECT id, rank FROM l2) GROUP BY id)"""
+_RANKED = "SELECT t.id, round(t.score, 6) AS score, row_number() OVER (ORDER BY t.score DESC, t.id)::INTEGER AS rank FROM {0} t QUALIFY rank <= {1}"
 
 
 @query(f"WITH s AS ({_DENSE}) {_RANKED.format('s', 10)}")
@@ -40,15 +40,15 @@ def dense_topk(spark: SparkSession, d: str) -> DataFrame:
 
 @query(
     "WITH q AS (SELECT vec_id AS query_id, embedding::DOUBLE[] AS v FROM embeddings WHERE vec_id % 20 = 0), "
-    "s AS (SELECT query_id, vec_id AS id, round(list_cosine_similarity(embedding::DOUBLE[], v), 6) AS score FROM embeddings, q) "
-    "SELECT query_id, id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id)::INTEGER AS rank FROM s QUALIFY rank <= 10"
+    "s AS (SELECT query_id, vec_id AS id, round(list_cosine_similarity(embedding::DOUBLE[], v), 9) AS score FROM embeddings, q) "
+    "SELECT query_id, id, round(s.score, 6) AS score, row_number() OVER (PARTITION BY query_id ORDER BY s.score DESC, id)::INTEGER AS rank FROM s QUALIFY rank <= 10"
 )
 def dense_topk_batch(spark: SparkSession, d: str) -> DataFrame:
     points = table(spark, d, "embeddings")
     return search.dense_batch(points, points.filter("vec_id % 20 = 0"), 10, q_id="vec_id").drop("grp")
 
 
-@query(f"WITH s AS (SELECT e.label::VARCHAR AS collection, x.id, x.score FROM ({_DENSE}) x JOIN embeddings e ON e.vec_id = x.id) SELECT collection, id, score, row_number() OVER (PARTITION BY collection ORDER BY score DESC, id)::INTEGER AS rank FROM s QUALIFY rank <= 10")
+@query(f"WITH s AS (SELECT e.label::VARCHAR AS collection, x.id, x.score FROM ({_DENSE}) x JOIN embeddings e ON e.vec_id = x.id) SELECT collection, id, round(s.score, 6) AS score, row_number() OVER (PARTITION BY collection ORDER BY s.score DESC, id)::INTEGER AS rank FROM s QUALIFY rank <= 10")
 def dense_topk_per_collection(spark: SparkSession, d: str) -> DataFrame:
     points = table(spark, d, "embeddings")
     return search.dense_batch(points, points.filter("vec_id = 0"), 10, q_id="vec_id", group="label").select(F.col("grp").alias("collection"), "id", "score", "rank")
@@ -56,18 +56,18 @@ def dense_topk_per_collection(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"WITH {_TERMS} {_RANKED.format('sp', 10)}")
 def sparse_topk(spark: SparkSession, d: str) -> DataFrame:
-    return search.sparse_topk(table(spark, d, "documents"), query_text(spark, d), 10)
+    return search.sparse_topk(table(spark, d, "documents"), query_text(spark, d), 10, index=stored_index(spark, d))
 
 
 @query(f"{_LEGS} {_RANKED.format('f', 10)}")
 def hybrid_rrf(spark: SparkSession, d: str) -> DataFrame:
-    return search.hybrid(table(spark, d, "embeddings"), table(spark, d, "documents"), query_vector(spark, d), query_text(spark, d), 10)
+    return search.hybrid(table(spark, d, "embeddings"), table(spark, d, "documents"), query_vector(spark, d), query_text(spark, d), 10, index=stored_index(spark, d))
 
 
 @query(f"""
 WITH s AS (SELECT e.label AS c, x.id, x.score FROM ({_DENSE}) x JOIN embeddings e ON e.vec_id = x.id),
 l AS (SELECT c, id, row_number() OVER (PARTITION BY c ORDER BY score DESC, id) AS rank FROM s QUALIFY rank <= 100),
-f AS (SELECT id, round(sum(1.0::DOUBLE / (60 + rank)), 6) AS score FROM l GROUP BY id)
+f AS (SELECT id, round(sum(1.0::DOUBLE / (60 + rank)), 9) AS score FROM l GROUP BY id)
 {_RANKED.format("f", 50)}""")
 def multi_collection_rrf(spark: SparkSession, d: str) -> DataFrame:
     points = table(spark, d, "embeddings")
@@ -81,13 +81,13 @@ de AS (SELECT x.id, x.score FROM ({_DENSE}) x JOIN documents d ON d.doc_id = x.i
 sf AS (SELECT sp.id, sp.score FROM sp JOIN documents d ON d.doc_id = sp.id WHERE d.n_chars BETWEEN 500 AND 20000 AND contains(lower(d.source), 'src1')),
 l1 AS (SELECT id, row_number() OVER (ORDER BY score DESC, id) AS rank FROM de QUALIFY rank <= 100),
 l2 AS (SELECT id, row_number() OVER (ORDER BY score DESC, id) AS rank FROM sf QUALIFY rank <= 100),
-f AS (SELECT id, round(sum(1.0::DOUBLE / (60 + rank)), 6) AS score FROM (SELECT * FROM l1 UNION ALL SELECT * FROM l2) GROUP BY id)
+f AS (SELECT id, round(sum(1.0::DOUBLE / (60 + rank)), 9) AS score FROM (SELECT * FROM l1 UNION ALL SELECT * FROM l2) GROUP BY id)
 {_RANKED.format("f", 10)}""")
 def filtered_hybrid(spark: SparkSession, d: str) -> DataFrame:
     docs = table(spark, d, "documents")
     points = table(spark, d, "embeddings").join(docs.select(F.col("doc_id").alias("vec_id"), "n_chars", "source"), "vec_id")
     condition = search.conditions(500, 20000, "SRC1", year="n_chars", authors="source")
-    return search.hybrid(points, docs, query_vector(spark, d), query_text(spark, d), 10, condition)
+    return search.hybrid(points, docs, query_vector(spark, d), query_text(spark, d), 10, condition, index=stored_index(spark, d))
 
 
 @query(f"{_LEGS}, b AS (SELECT id, 'dense' AS leg, rank, 0 AS n FROM l1 UNION ALL SELECT id, 'sparse', rank, 1 FROM l2) SELECT id, round(sum(1.0::DOUBLE / (60 + rank)), 6) AS score, arg_min(leg, n) AS leg FROM b GROUP BY id")
@@ -102,7 +102,7 @@ def rrf_last_wins(spark: SparkSession, d: str) -> DataFrame:
 
 def _fused(spark: SparkSession, d: str, last: bool) -> DataFrame:
     dense = search.dense_topk(table(spark, d, "embeddings"), query_vector(spark, d), search.LEG_LIMIT).withColumn("leg", F.lit("dense"))
-    sparse = search.sparse_topk(table(spark, d, "documents"), query_text(spark, d), search.LEG_LIMIT).withColumn("leg", F.lit("sparse"))
+    sparse = search.sparse_topk(table(spark, d, "documents"), query_text(spark, d), search.LEG_LIMIT, index=stored_index(spark, d)).withColumn("leg", F.lit("sparse"))
     return search.rrf_payload([dense, sparse], "leg", last)
 
 
@@ -123,7 +123,7 @@ s AS (SELECT c.id, round(len(list_intersect(qw, {SQL_WORDS.format("lower(d.text)
 SELECT id, rerank_score, row_number() OVER (ORDER BY rerank_score DESC, id)::INTEGER AS rerank_rank FROM s QUALIFY rerank_rank <= 10""")
 def rerank_topn(spark: SparkSession, d: str) -> DataFrame:
     docs, text = table(spark, d, "documents"), query_text(spark, d)
-    found = search.sparse_topk(docs, text, 50).select("id")
+    found = search.sparse_topk(docs, text, 50, index=stored_index(spark, d)).select("id")
     rows = docs.join(F.broadcast(found), docs["doc_id"] == found["id"]).select("id", "text", F.lit(text).alias("query"), F.lit(0).alias("query_id"))
     return context.rerank(rows).select("id", "rerank_score", "rerank_rank")
 
@@ -189,20 +189,15 @@ def sparse_stats(spark: SparkSession, d: str) -> DataFrame:
 
 def _search_all(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     """Ten best documents of every benchmark item by shared terms, and the documents that contain an item."""
-    items, docs = table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("q")), table(spark, d, "documents")
-    asked = items.select("query_id", F.explode(words(F.col("q"))).alias("term")).groupBy("query_id", "term").agg((1.0 + F.log(F.count(F.lit(1)))).alias("wq"))
-    terms = docs.select("doc_id", F.explode(words(F.col("text"))).alias("term")).join(small(asked.select("term").distinct()), "term", "left_semi")
-    post = terms.groupBy("doc_id", "term").agg((1.0 + F.log(F.count(F.lit(1)))).alias("wd"))
-    scored = post.join(asked, "term").groupBy("query_id", "doc_id").agg(F.round(F.sum(F.col("wd") * F.col("wq")), 6).alias("score"))
-    found = search.rank_by(scored, "score", "doc_id", ["query_id"]).filter(F.col("rank") <= 10)
-    relevant = docs.join(small(items), F.contains(F.col("text"), F.col("q"))).select("query_id", "doc_id")
-    return found, relevant
+    items = table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("q"))
+    found = search.rank_by(search.sparse_batch(stored_index(spark, d), items), "score", "id", ["query_id"]).filter(F.col("rank") <= 10)
+    return found.withColumnRenamed("id", "doc_id"), evaluate.containing(table(spark, d, "documents"), items, stored_index(spark, d))
 
 
 _EVAL = f"""
 WITH qt AS (SELECT item_id AS query_id, term, 1 + ln(count(*)) AS wq FROM (SELECT item_id, unnest({SQL_WORDS.format("text")}) AS term FROM benchmark) GROUP BY ALL),
 post AS (SELECT doc_id, term, 1 + ln(count(*)) AS wd FROM (SELECT doc_id, unnest({SQL_WORDS.format("text")}) AS term FROM documents) GROUP BY ALL),
-s AS (SELECT query_id, doc_id, round(sum(wd * wq), 6) AS score FROM post JOIN qt USING (term) GROUP BY ALL),
+s AS (SELECT query_id, doc_id, round(sum(wd * wq), 9) AS score FROM post JOIN qt USING (term) GROUP BY ALL),
 f AS (SELECT query_id, doc_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM s QUALIFY rank <= 10),
 rel AS (SELECT item_id AS query_id, doc_id FROM benchmark b JOIN documents d ON contains(d.text, b.text)),
 n AS (SELECT query_id, count(*) AS n_rel FROM rel GROUP BY query_id),
@@ -243,7 +238,7 @@ _TOP5 = f"{_TERMS}, top AS (SELECT id, row_number() OVER (ORDER BY score DESC, i
 
 def _hits(spark: SparkSession, d: str) -> DataFrame:
     docs = table(spark, d, "documents")
-    found = search.sparse_topk(docs, query_text(spark, d), 10).select("id", "rank")
+    found = search.sparse_topk(docs, query_text(spark, d), 10, index=stored_index(spark, d)).select("id", "rank")
     return docs.join(F.broadcast(found), docs["doc_id"] == found["id"]).select(
         F.lit(0).alias("query_id"), "rank", F.col("id").cast("string").alias("arxiv_id"), F.left("text", F.lit(40)).alias("title"), F.col("text").alias("abstract"), F.lit("A, B ,C,D").alias("authors"),
         (F.lit(2000) + F.col("id") % 20).cast("int").alias("year"), F.col("lang").alias("categories"), F.concat("source", F.lit(".pdf")).alias("source_file"),

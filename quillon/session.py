@@ -18,6 +18,12 @@ def make_importable(spark: SparkSession) -> None:
         env["PYTHONPATH"] = os.pathsep.join(x for x in (root, env.get("PYTHONPATH", "")) if x)
 
 
+def active_importable() -> None:
+    """make_importable for functions that see columns only; without a session there is nothing to do yet."""
+    if spark := SparkSession.getActiveSession():
+        make_importable(spark)
+
+
 def scratch_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share, spark.checkpoint.dir. Where that is unset, a temporary folder stands in if
     all run on one machine (tests); on a cluster it is an error, as executors would each write to a disk of their own."""
