@@ -68,6 +68,15 @@ def mean_metrics(rows: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     return rows.groupBy(*by).agg(F.count(F.lit(1)).alias("n_queries"), *[F.round(F.avg(c), 6).alias(c) for c in names])
 
 
+# What a judge grades an answer by.
+JUDGED = ["faithfulness", "answer_relevancy", "context_precision"]
+
+
+def judged_means(rows: DataFrame) -> DataFrame:
+    """n_queries and the means of the judge's grades, to six places; a missing grade isn't counted."""
+    return rows.agg(F.count(F.lit(1)).alias("n_queries"), *[F.round(F.avg(c), 6).alias(c) for c in JUDGED])
+
+
 def p95(df: DataFrame, value: str, by: Sequence[str] = ()) -> DataFrame:
     """The element at 0-based place int(0.95 n) of the ascending values: found by rank from counts of equal values, so no
     list of all values is gathered."""

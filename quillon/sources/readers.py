@@ -94,6 +94,17 @@ def seed_urls(lines: DataFrame, line: str = "value", pos: str = "pos") -> DataFr
     return first_of(rows, "url", "pos")
 
 
+def sitemap_listing(sitemaps: DataFrame, xml: str = "xml", at: str = "url", seed: str = "seed") -> DataFrame:
+    """seed, url: page addresses of stored sitemaps (address, text), an index's sitemaps followed one level; a sitemap that an index names and that
+    isn't stored, gives nothing. Addresses are under the seed, not skipped, distinct. Only sitemaps that no index names are entered by themselves."""
+    locs = lambda path: F.xpath(F.col(xml), F.lit(path))
+    named = sitemaps.select(seed, F.explode(locs("//*[local-name()='sitemap']/*[local-name()='loc']/text()")).alias("__sub")).select(seed, strip(F.col("__sub")).alias(at)).distinct()
+    plain = sitemaps.filter(F.size(locs("//*[local-name()='sitemap']")) == 0)
+    entered = plain.join(named.select(at).distinct(), at, "left_anti").select(seed, xml)
+    followed = plain.select(at, xml).join(named, at).select(seed, xml)
+    return sitemap_urls(entered.unionByName(followed), xml, seed)
+
+
 def sitemap_urls(sitemaps: DataFrame, xml: str = "xml", seed: str = "seed") -> DataFrame:
     """seed, url: page addresses under the seed that aren't skipped, distinct. An index's nested sitemaps are addresses here too."""
     locs = sitemaps.select(seed, F.explode(F.xpath(F.col(xml), F.lit("//*[local-name()='loc']/text()"))).alias("url"))
@@ -113,8 +124,51 @@ def manifests(rows: DataFrame, column: str = "value") -> DataFrame:
 
 
 def qa_dataset(spark: SparkSession, path: str, most: int | None = None) -> DataFrame:
+    """Questions with their relevant ids; ``most``: the first ones by place in the file."""
     rows = spark.read.schema(QA).json(path).withColumn("query_id", F.xxhash64("query", "collection"))
-    return rows if most is None else rows.orderBy("query_id").limit(most)
+    if most is None:
+        return rows
+    place = [F.col("_metadata.file_path"), F.col("_metadata.file_block_start"), F.monotonically_increasing_id()]  # within a block rows come in order
+    return rows.select("*", *[c.alias(f"__p{k}") for k, c in enumerate(place)]).orderBy("__p0", "__p1", "__p2").limit(most).drop("__p0", "__p1", "__p2")
+
+
+def edges_of(rows: DataFrame, src: str, dst: str, pos: str | None = None) -> DataFrame:
+    """src, dst, pos of a stored citation table; without a position references go by their id. Null ends and self-citations are dropped."""
+    kept = rows.filter(F.col(src).isNotNull() & F.col(dst).isNotNull() & (F.col(src) != F.col(dst)))
+    return kept.select(F.col(src).alias("src"), F.col(dst).alias("dst"), F.col(pos or dst).alias("pos"))
+
+
+def already_there(length: Column, least: int = 10_000) -> Column:
+    """A file of over ``least`` bytes counts as downloaded."""
+    return F.coalesce(length > least, F.lit(False))
+
+
+def web_results(answer: Column, most: int) -> Column:
+    """array<struct<title,url,snippet>>: the first results of a metasearch answer."""
+    got = F.from_json(answer, "results array<struct<title:string,url:string,content:string>>")["results"]
+    return F.transform(F.slice(F.coalesce(got, F.array().cast("array<struct<title:string,url:string,content:string>>")), 1, most), lambda r: F.struct(r["title"].alias("title"), r["url"].alias("url"), r["content"].alias("snippet")))
+
+
+def result_text(results: Column) -> Column:
+    """Results as numbered lines of text, as a tool gives them to a model."""
+    line = lambda r, i: F.concat(F.lit("["), (i + 1).cast("string"), F.lit("] "), F.coalesce(r["title"], F.lit("")), F.lit("\n"), F.coalesce(r["url"], F.lit("")), F.lit("\n"), F.coalesce(r["snippet"], F.lit("")))
+    return F.array_join(F.transform(results, line), "\n\n")
+
+
+_VECTOR = "struct<indices:array<bigint>,values:array<double>>"
+
+
+def sparse_vectors(answer: Column) -> Column:
+    """array<struct<indices,values>> of an encoder's answer, in either of its shapes: items that hold a sparse vector each, or embeddings."""
+    got = F.from_json(answer, f"items array<struct<sparse:{_VECTOR}>>, embeddings array<{_VECTOR}>")
+    return F.coalesce(F.transform(got["items"], lambda x: x["sparse"]), got["embeddings"], F.array().cast(f"array<{_VECTOR}>"))
+
+
+def dense_vectors(answer: Column) -> Column:
+    """array<array<float>> of an encoder's answer, in order of the index that each vector carries."""
+    got = F.from_json(answer, "data array<struct<index:int,embedding:array<float>>>")["data"]
+    ordered = F.array_sort(F.transform(got, lambda x: F.struct(x["index"].alias("index"), x["embedding"].alias("embedding"))))
+    return F.coalesce(F.transform(ordered, lambda x: x["embedding"]), F.array().cast("array<array<float>>"))
 
 
 def parse_scores(c: Column, n: int) -> Column:
