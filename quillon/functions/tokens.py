@@ -37,7 +37,7 @@ def bpe_pieces(path: str) -> Callable[[Column], Column]:
                 high = _running(ends)
                 if high:
                     high[-1] = len(text)
-                out.append([text[a:b] for a, b in zip([0, *high[:-1]], high, strict=True)])
+                out.append([text[a:b] for a, b in zip([0, *high], high, strict=False)])
             yield pd.Series(out, dtype=object)
 
     return pieces

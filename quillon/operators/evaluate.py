@@ -53,12 +53,14 @@ def _gain(ranks: Column) -> Column:
 
 
 def ndcg_at(k: int) -> Column:
+    """To any number of places."""
     ideal = _gain(F.sequence(F.lit(1), F.least(F.col("n_rel").cast("int"), F.lit(k))))
-    return F.round(_gain(F.filter("hits", lambda r: r <= k)) / ideal, 6)
+    return _gain(F.filter("hits", lambda r: r <= k)) / ideal
 
 
-def per_query(j: DataFrame, ks: Sequence[int] = (1, 5, 10)) -> DataFrame:
-    out = [recall_at(k).alias(f"recall_{k}") for k in ks] + [F.round(reciprocal_rank(), 6).alias("rr")] + [ndcg_at(k).alias(f"ndcg_{k}") for k in ks]
+def per_query(j: DataFrame, ks: Sequence[int] = (1, 5, 10), places: int = 6) -> DataFrame:
+    """The metrics of each query, rounded; for means take as many places as doubles have, so that roundings don't add up."""
+    out = [recall_at(k).alias(f"recall_{k}") for k in ks] + [F.round(reciprocal_rank(), places).alias("rr")] + [F.round(ndcg_at(k), places).alias(f"ndcg_{k}") for k in ks]
     return j.select("query_id", *out)
 
 

@@ -49,7 +49,7 @@ def rank_by(df: DataFrame, by: str, id_col: str, parts: Sequence[str] = (), name
 def dense_topk(points: DataFrame, query: Sequence[float], k: int, id_col: str = "vec_id", vec_col: str = "embedding", keep: Sequence[str] = ()) -> DataFrame:
     """id, score (cosine), rank: one query as a literal, a sort of k rows a task. Null, zero and ragged vectors take no part."""
     scored = points.select(F.col(id_col).alias("id"), *keep, F.round(cosine(F.col(vec_col), vector(query)), RANK_PLACES).alias("score"))
-    return top(scored.filter(F.col("score").isNotNull()), k)
+    return top(scored.filter(F.col("score").isNotNull() & ~F.isnan("score")), k)
 
 
 def top(scored: DataFrame, k: int) -> DataFrame:
@@ -214,11 +214,11 @@ def hybrid_collections(points: DataFrame, index: DataFrame, members: DataFrame,
     sparse = rank_by(sparse_batch(index, queries).join(members, "id"), "score", "id", ["query_id", "collection"]).filter(F.col("rank") <= leg)
     inner = rrf([dense, sparse], inner_k, parts=["query_id", "collection"])
     inner = rank_by(inner, "score", "id", ["query_id", "collection"]).filter(F.col("rank") <= n)
-    lists = inner.groupBy("query_id").agg(F.min("collection").alias("low"), F.max("collection").alias("high"))
-    told = inner.join(lists, "query_id")
-    alone = told.filter(F.col("low") == F.col("high")).select("query_id", "id", "score")
-    fused = rrf([told.filter(F.col("low") != F.col("high"))], k, parts=["query_id"])
-    return shown(rank_by(alone.unionByName(fused), "score", "id", ["query_id"]).filter(F.col("rank") <= n))
+    of_query = Window.partitionBy("query_id")
+    told = inner.withColumn("alone", F.min("collection").over(of_query) == F.max("collection").over(of_query))
+    outer = F.when(F.bool_and("alone"), F.max("score")).otherwise(F.round(F.sum(1.0 / (k + F.col("rank"))), RANK_PLACES))
+    fused = told.groupBy("query_id", "id").agg(outer.alias("score"))
+    return shown(rank_by(fused, "score", "id", ["query_id"]).filter(F.col("rank") <= n))
 
 
 def many_collections(ranked: DataFrame, n: int, k: int = RRF_K) -> DataFrame:

@@ -161,14 +161,8 @@ def min_year(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "orders").select("o_orderkey", tx.year_of(day).alias("year")).filter("year IS NULL OR year >= 1996").select("o_orderkey")
 
 
-@query(f"SELECT doc_id, length(t)::INTEGER AS n FROM (SELECT doc_id, replace({SQL_STRIP.format('left(text, 20 + (doc_id % 60)::INTEGER)')}, chr(10), ' ') AS t FROM documents) WHERE length(t) > 50")
-def abstract_filter(spark: SparkSession, d: str) -> DataFrame:
-    text = tx.one_line(F.left("text", (F.lit(20) + F.col("doc_id") % 60).cast("int")))
-    return readers.long_abstracts(table(spark, d, "documents").select("doc_id", text.alias("abstract"))).select("doc_id", F.length("abstract").alias("n"))
-
-
 @query(f"SELECT doc_id, length(t)::INTEGER AS n FROM (SELECT doc_id, replace({SQL_STRIP.format('text')}, chr(10), ' ') AS t FROM documents) WHERE length(t) > 50")
-def abstract_filter_all(spark: SparkSession, d: str) -> DataFrame:
+def abstract_filter(spark: SparkSession, d: str) -> DataFrame:
     """Over whole texts."""
     docs = table(spark, d, "documents").select("doc_id", tx.one_line(F.col("text")).alias("abstract"))
     return readers.long_abstracts(docs).select("doc_id", F.length("abstract").alias("n"))
@@ -231,20 +225,11 @@ def citation_topn(spark: SparkSession, d: str) -> DataFrame:
     return graph.top_references(refs, 5, pos="dst", least=2)
 
 
-@query("""
-WITH RECURSIVE e AS (SELECT DISTINCT l_suppkey AS src, l_partkey % 997 AS dst FROM lineitem WHERE l_linenumber = 1),
-b AS (SELECT 1::BIGINT AS node, 0 AS level UNION SELECT e.dst, b.level + 1 FROM b JOIN e ON e.src = b.node WHERE b.level < 2)
-SELECT node, min(level)::INTEGER AS level FROM b GROUP BY node""")
-def citation_bfs(spark: SparkSession, d: str) -> DataFrame:
-    edges = table(spark, d, "lineitem").filter("l_linenumber = 1").select(F.col("l_suppkey").alias("src"), (F.col("l_partkey") % 997).alias("dst"))
-    return graph.levels(edges, spark.range(1, 2).select("id"), depth=2)
-
-
 @query("""
 WITH RECURSIVE p AS (SELECT DISTINCT -l_suppkey AS s, l_partkey AS t FROM lineitem), e AS (SELECT s AS src, t AS dst FROM p UNION ALL SELECT t, s FROM p),
 b AS (SELECT -1::BIGINT AS node, 0 AS level UNION SELECT e.dst, b.level + 1 FROM b JOIN e ON e.src = b.node WHERE b.level < 2)
 SELECT node, min(level)::INTEGER AS level FROM b GROUP BY node""")
-def citation_bfs_all(spark: SparkSession, d: str) -> DataFrame:
+def citation_bfs(spark: SparkSession, d: str) -> DataFrame:
     """Over the edges of citation_topn, all of them and both ways; suppliers are negative nodes, parts positive ones."""
     pairs = table(spark, d, "lineitem").select((-F.col("l_suppkey")).alias("src"), F.col("l_partkey").alias("dst")).distinct()
     edges = pairs.unionByName(pairs.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
@@ -337,7 +322,7 @@ def availability_case(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "documents").select("doc_id", graph.availability(pick(i % 4 == 0), pick(i % 4 == 1), pick(i % 4 == 2), pick(i % 8 == 2)).alias("availability"))
 
 
-@query(r"SELECT doc_id, list_distinct(list_transform(regexp_extract_all(left(text, 50) || ' see 2101.0' || lpad((doc_id % 1000)::VARCHAR, 4, '0') || 'v2 and 2101.00001, 1706.3762.', '\b(\d{4}\.\d{4,5}(?:v\d+)?)\b', 1), lambda x: split_part(x, 'v', 1))).list_sort() AS ids FROM documents")
+@query(r"SELECT doc_id, list_distinct(list_transform(regexp_extract_all(text || ' see 2101.0' || lpad((doc_id % 1000)::VARCHAR, 4, '0') || 'v2 and 2101.00001, 1706.3762.', '\b(\d{4}\.\d{4,5}(?:v\d+)?)\b', 1), lambda x: split_part(x, 'v', 1))).list_sort() AS ids FROM documents")
 def arxiv_id_extract(spark: SparkSession, d: str) -> DataFrame:
     text = F.concat(F.col("text"), F.lit(" see 2101.0"), F.lpad((F.col("doc_id") % 1000).cast("string"), 4, "0"), F.lit("v2 and 2101.00001, 1706.3762."))
     return table(spark, d, "documents").select("doc_id", F.array_sort(tx.paper_ids(text)).alias("ids"))

@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions.text import TIME_WORDS
 from ..functions.text import time_sensitive as time_words
 from ..functions.text import words
-from ..operators import context, evaluate, routing, search
+from ..operators import cache, context, evaluate, routing, search
 from ..operators.routing_tables import CATEGORIES, KEYWORDS
 from .registry import SQL_WORDS, query, small, stored_index, table
 
@@ -233,6 +234,81 @@ def eval_p95(spark: SparkSession, d: str) -> DataFrame:
     return evaluate.p95(table(spark, d, "events"), "value", ["event_type"])
 
 
+_ITEMS = f"""
+qt AS (SELECT item_id AS query_id, term, 1 + ln(count(*)) AS wq FROM (SELECT item_id, unnest({SQL_WORDS.format("text")}) AS term FROM benchmark) GROUP BY ALL),
+post AS (SELECT doc_id AS id, term, 1 + ln(count(*)) AS wd FROM (SELECT doc_id, unnest({SQL_WORDS.format("text")}) AS term FROM documents) GROUP BY ALL),
+sp AS (SELECT query_id, id, round(sum(wd * wq), 9) AS score FROM post JOIN qt USING (term) GROUP BY ALL),
+de AS (SELECT b.item_id AS query_id, e.vec_id AS id, round(list_cosine_similarity(e.embedding::DOUBLE[], q.embedding::DOUBLE[]), 9) AS score FROM benchmark b JOIN embeddings q ON q.vec_id = b.item_id, embeddings e)"""
+
+
+def _items(spark: SparkSession, d: str) -> DataFrame:
+    """query_id, q, v: every benchmark item with the vector of its number."""
+    items = table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("q"))
+    return items.join(table(spark, d, "embeddings").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("v")), "query_id", "left")
+
+
+@query(f"WITH {_ITEMS} SELECT query_id, id, round(sp.score, 6) AS score, row_number() OVER (PARTITION BY query_id ORDER BY sp.score DESC, id)::INTEGER AS rank FROM sp QUALIFY rank <= 10")
+def sparse_topk_batch(spark: SparkSession, d: str) -> DataFrame:
+    """Every item against all documents, over the stored index."""
+    ranked = search.rank_by(search.sparse_batch(stored_index(spark, d), _items(spark, d)), "score", "id", ["query_id"])
+    return search.shown(ranked.filter(F.col("rank") <= 10))
+
+
+_COLLECTIONS = "m AS (SELECT 'arXiv' AS collection, doc_id AS id FROM documents UNION ALL SELECT lang, doc_id FROM documents WHERE lang IS NOT NULL)"
+
+
+@query(f"""
+WITH {_ITEMS}, {_COLLECTIONS},
+l1 AS (SELECT query_id, collection, id, row_number() OVER (PARTITION BY query_id, collection ORDER BY score DESC, id) AS rank FROM de JOIN m USING (id) QUALIFY rank <= 100),
+l2 AS (SELECT query_id, collection, id, row_number() OVER (PARTITION BY query_id, collection ORDER BY score DESC, id) AS rank FROM sp JOIN m USING (id) QUALIFY rank <= 100),
+i AS (SELECT query_id, collection, id, round(sum(1.0::DOUBLE / (60 + rank)), 9) AS score FROM (SELECT * FROM l1 UNION ALL SELECT * FROM l2) GROUP BY ALL),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id, collection ORDER BY score DESC, id) AS rank FROM i QUALIFY rank <= 20),
+n AS (SELECT query_id, count(DISTINCT collection) AS n FROM r GROUP BY query_id),
+f AS (SELECT query_id, id, CASE WHEN any_value(n) = 1 THEN max(score) ELSE round(sum(1.0::DOUBLE / (60 + rank)), 9) END AS score FROM r JOIN n USING (query_id) GROUP BY query_id, id)
+SELECT query_id, id, round(f.score, 6) AS score, row_number() OVER (PARTITION BY query_id ORDER BY f.score DESC, id)::INTEGER AS rank FROM f QUALIFY rank <= 20""")
+def multi_collection_hybrid(spark: SparkSession, d: str) -> DataFrame:
+    """Every item over five collections, one of which holds all documents: dense and sparse legs in each, fused, and fused again."""
+    docs = table(spark, d, "documents")
+    members = docs.select(F.lit("arXiv").alias("collection"), F.col("doc_id").alias("id")).unionByName(docs.filter("lang IS NOT NULL").select(F.col("lang").alias("collection"), F.col("doc_id").alias("id")))
+    return search.hybrid_collections(table(spark, d, "embeddings"), stored_index(spark, d), members, _items(spark, d), 20)
+
+
+@query(f"""
+WITH {_ITEMS},
+l1 AS (SELECT query_id, id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM de QUALIFY rank <= 100),
+l2 AS (SELECT query_id, id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM sp QUALIFY rank <= 100),
+h AS (SELECT query_id, id, round(sum(1.0::DOUBLE / (60 + rank)), 9) AS score FROM (SELECT * FROM l1 UNION ALL SELECT * FROM l2) GROUP BY ALL),
+l3 AS (SELECT query_id, id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM h QUALIFY rank <= 50),
+w AS (SELECT l3.query_id, l3.id, round(coalesce(len(list_intersect(list_distinct({SQL_WORDS.format("lower(b.text)")}), {SQL_WORDS.format("lower(d.text)")}))::DOUBLE / nullif(len(list_distinct({SQL_WORDS.format("lower(b.text)")})), 0), 0), 6) AS score FROM l3 JOIN benchmark b ON b.item_id = l3.query_id JOIN documents d ON d.doc_id = l3.id),
+l4 AS (SELECT query_id, id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM w),
+a AS (SELECT 'dense' AS mode, * FROM l1 UNION ALL SELECT 'sparse', * FROM l2 UNION ALL SELECT 'hybrid', * FROM l3 UNION ALL SELECT 'hybrid+rerank', * FROM l4),
+rel AS (SELECT item_id AS query_id, doc_id AS id FROM benchmark b JOIN documents d ON contains(d.text, b.text)),
+g AS (SELECT query_id, count(*) AS n_rel FROM rel GROUP BY query_id),
+k AS (SELECT m.mode, g.query_id, any_value(n_rel) AS n_rel, coalesce(list(rank ORDER BY rank) FILTER (rank IS NOT NULL), []) AS hits
+      FROM g CROSS JOIN (VALUES ('dense'), ('sparse'), ('hybrid'), ('hybrid+rerank')) m(mode) LEFT JOIN (SELECT a.* FROM a JOIN rel USING (query_id, id) WHERE a.rank <= 10) x ON x.query_id = g.query_id AND x.mode = m.mode GROUP BY ALL),
+v AS (SELECT mode, query_id, {", ".join(f"CASE WHEN coalesce(list_min(hits), 999) <= {n} THEN 1.0::DOUBLE ELSE 0 END AS recall_{n}" for n in (1, 5, 10))},
+  coalesce(1.0::DOUBLE / list_min(hits), 0) AS rr,
+  {", ".join(f"coalesce(list_sum(list_transform(list_filter(hits, lambda r: r <= {n}), lambda r: 1.0::DOUBLE / log2(r + 1))), 0) / list_sum(list_transform(range(1, least(n_rel, {n}) + 1), lambda i: 1.0::DOUBLE / log2(i + 1))) AS ndcg_{n}" for n in (1, 5, 10))}, len(hits) > 0 AS hit FROM k)
+SELECT mode, count(*) AS n_queries, {", ".join(f"round(avg({c}), 6) AS {c}" for c in ("recall_1", "recall_5", "recall_10", "rr", "ndcg_1", "ndcg_5", "ndcg_10"))}, count(*) FILTER (hit) AS any_hit FROM v GROUP BY mode""")
+def eval_by_mode(spark: SparkSession, d: str) -> DataFrame:
+    """All items in four modes: dense, sparse, hybrid, hybrid and rerank; means of the metrics, and how many items found anything."""
+    items, index, docs = _items(spark, d), stored_index(spark, d), table(spark, d, "documents")
+    dense = search.dense_batch(table(spark, d, "embeddings"), items, search.LEG_LIMIT, q_vec="v").select("query_id", "id", "rank")
+    sparse = search.rank_by(search.sparse_batch(index, items), "score", "id", ["query_id"]).filter(F.col("rank") <= search.LEG_LIMIT).select("query_id", "id", "rank")
+    fused = search.rank_by(search.rrf([dense, sparse], search.INNER_K, parts=["query_id"]), "score", "id", ["query_id"]).filter(F.col("rank") <= 50).select("query_id", "id", "rank")
+    texts = fused.drop("rank").join(docs.select(F.col("doc_id").alias("id"), "text"), "id").join(items.select("query_id", F.col("q").alias("query")), "query_id")
+    again = context.rerank(texts, n=50).select("query_id", "id", F.col("rerank_rank").alias("rank"))
+    relevant = evaluate.containing(docs, items, index)
+    modes = {"dense": dense, "sparse": sparse, "hybrid": fused, "hybrid+rerank": again}
+    rows = None
+    for mode, found in modes.items():
+        j = evaluate.judged(found.filter(F.col("rank") <= 10).withColumnRenamed("id", "doc_id"), relevant)
+        one = evaluate.per_query(j, places=15).join(j.select("query_id", evaluate.any_hit(10).alias("hit")), "query_id").withColumn("mode", F.lit(mode))
+        rows = one if rows is None else rows.unionByName(one)
+    hits = rows.groupBy("mode").agg(F.count_if("hit").alias("any_hit"))
+    return evaluate.mean_metrics(rows.drop("hit"), ["mode"]).join(hits, "mode")
+
+
 _TOP5 = f"{_TERMS}, top AS (SELECT id, row_number() OVER (ORDER BY score DESC, id) AS rank FROM sp QUALIFY rank <= 10)"
 
 
@@ -283,6 +359,47 @@ def sse_frames(spark: SparkSession, d: str) -> DataFrame:
     return f.select("conv_id", "turn", F.size("f").alias("n_frames"), F.element_at("f", 1).alias("first_frame"), F.element_at("f", -1).alias("last_frame"))
 
 
+_CHAT = f"""
+WITH qt AS (SELECT item_id AS query_id, term, 1 + ln(count(*)) AS wq FROM (SELECT item_id, unnest({SQL_WORDS.format("text")}) AS term FROM benchmark) GROUP BY ALL),
+post AS (SELECT doc_id AS id, term, 1 + ln(count(*)) AS wd FROM (SELECT doc_id, unnest({SQL_WORDS.format("text")}) AS term FROM documents) GROUP BY ALL),
+sp AS (SELECT query_id, id, round(sum(wd * wq), 9) AS score FROM post JOIN qt USING (term) GROUP BY ALL),
+c AS (SELECT query_id, id FROM sp QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) <= 50),
+ask AS (SELECT item_id AS query_id, text AS q, item_id % 5 = 0 AS cached, ({" OR ".join(f"contains(lower(text), '{w}')" for w in TIME_WORDS)}) AS timely FROM benchmark),
+w AS (SELECT page_id, url, coalesce(regexp_extract(html, '(?s)<title>(.*?)</title>', 1), '') AS title FROM pages ORDER BY page_id LIMIT 5),
+d AS (SELECT a.query_id, c.id::VARCHAR AS id, x.text FROM ask a JOIN c USING (query_id) JOIN documents x ON x.doc_id = c.id WHERE NOT cached
+      UNION ALL SELECT a.query_id, w.url, w.title FROM ask a, w WHERE NOT cached AND timely),
+s AS (SELECT d.query_id, d.id, d.text, round(len(list_intersect(list_distinct({SQL_WORDS.format("lower(q)")}), {SQL_WORDS.format("lower(d.text)")}))::DOUBLE / len(list_distinct({SQL_WORDS.format("lower(q)")})), 6) AS score FROM d JOIN ask USING (query_id)),
+k AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM s QUALIFY rank <= 10),
+t AS (SELECT query_id, string_agg('[' || rank || '] ' || left(text, 200), chr(10) || chr(10) ORDER BY rank) AS context, list_slice(list(id ORDER BY rank), 1, 5) AS documents FROM k GROUP BY query_id)
+SELECT query_id, CASE WHEN cached THEN 'cache' WHEN t.context IS NULL THEN 'none' WHEN timely THEN 'web' ELSE 'search' END AS route,
+       CASE WHEN cached THEN 'answer ' || query_id ELSE md5(coalesce(t.context, 'No relevant papers found in the arXiv database for this query.')) END AS answer, CASE WHEN NOT cached THEN coalesce(documents, []) END AS documents
+FROM ask LEFT JOIN t USING (query_id)"""
+
+
+@query(_CHAT)
+def chat_graph(spark: SparkSession, d: str) -> DataFrame:
+    """Every item through the graph of a chat: what the cache knows is answered from there; the rest is searched; time-sensitive questions get
+    web results (stored pages) as well; all is reranked into a context, or the fixed message without one. Conditional edges are filters, and
+    their branches meet in a union. What the cache would keep comes out too."""
+    items = table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
+    items = items.withColumn("timely", time_words(F.col("query"))).withColumn("now", F.lit("2024-01-02 00:00:00").cast("timestamp")).withColumn("key", F.col("query_id").cast("string"))
+    known = items.filter("query_id % 5 = 0").select("key", F.concat(F.lit("answer "), F.col("key")).alias("value"), F.lit("2024-01-01 23:59:59").cast("timestamp").alias("at"))
+    asked = cache.lookup(items, cache.store_entries(known, "at"))
+    hit, miss = asked.filter("hit"), asked.filter("NOT hit")
+    found = search.rank_by(search.sparse_batch(stored_index(spark, d), miss, q_text="query"), "score", "id", ["query_id"]).filter(F.col("rank") <= 50)
+    documents = found.join(table(spark, d, "documents").select(F.col("doc_id").alias("id"), "text"), "id").select("query_id", F.col("id").cast("string").alias("id"), "text")
+    first = table(spark, d, "pages").orderBy("page_id").limit(context.WEB_RESULTS)  # five rows, so each timely question meets all of them
+    web = miss.filter("timely").select("query_id").crossJoin(F.broadcast(first.select(F.col("url").alias("id"), F.regexp_extract("html", r"(?s)<title>(.*?)</title>", 1).alias("text"))))
+    merged = documents.unionByName(web).join(miss.select("query_id", "query"), "query_id")
+    best = context.rerank(merged).select("query_id", "id", F.left("text", F.lit(200)).alias("text"), F.col("rerank_rank").alias("rank"))
+    built = context.numbered_contexts(best, ["query_id"])
+    kept = best.filter(F.col("rank") <= context.CACHED).groupBy("query_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "id"))), lambda x: x["id"]).alias("documents"))
+    told = miss.join(built, "query_id", "left").join(kept, "query_id", "left")
+    route = F.when(F.col("contexts").isNull(), F.lit("none")).when(F.col("timely"), F.lit("web")).otherwise(F.lit("search"))
+    answered = told.select("query_id", route.alias("route"), F.md5(F.coalesce("contexts", F.lit(context.NO_CONTEXT))).alias("answer"), F.coalesce("documents", F.array().cast("array<string>")).alias("documents"))
+    return hit.select("query_id", F.lit("cache").alias("route"), F.col("value").alias("answer"), F.lit(None).cast("array<string>").alias("documents")).unionByName(answered)
+
+
 @query()
 def chat_answer(spark: SparkSession, d: str) -> DataFrame:
     """One question from routing to the response: hybrid search, reranking, context, answer, JSON; its parts have their own SQL."""
