@@ -54,6 +54,7 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups of equal texts over all documents. Odd rows as in exact_dedup."""
     return exact_dedup(table(spark, sf_dir, "documents"))
 
 

@@ -244,6 +244,7 @@ def identify(docs: DataFrame, parser: CrossParser, id_col: str = "doc_id", text_
 
 
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of every document, learned from those outside the held-out fifth. Odd rows as in identify."""
     docs = table(spark, sf_dir, "documents")
     parser = CrossParser.fit(training_rows(docs))
     held = F.coalesce(bucket() == 0, F.lit(False)).alias("held_out")

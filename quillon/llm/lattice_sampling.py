@@ -457,4 +457,5 @@ ROUND_TRIP_SQL = "SELECT doc_id, sha256(coalesce(text, '')) AS text_sha256 FROM
 
 
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two segmentations of every document's whole text. Odd rows as in sample_segmentations."""
     return sample_segmentations(table(spark, sf_dir, "documents"), default_model())

@@ -151,4 +151,5 @@ def nearest(vectors: DataFrame, queries: Column, id_col: str = "vec_id", vector_
 
 
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Five neighbours of every vector whose id is divisible by 50, among all others. Odd rows as in nearest."""
     return nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)

@@ -519,6 +519,7 @@ def _by_key(df: DataFrame, keys: list[str], schema: str, work: Callable[[tuple,
 
 
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of all documents whose 3-word shingles are 90 % alike. Odd rows as in ngram_jaccard_join."""
     return ngram_jaccard_join(table(spark, sf_dir, "documents"))
 
 

@@ -420,8 +420,10 @@ def default_tokenizer() -> str:
 
 
 def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document of ``documents`` packed into sequences of 2,048 ids. Odd rows as in pack_documents."""
     return pack_documents(table(spark, sf_dir, "documents"), default_tokenizer())
 
 
 def packed_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every turn of ``conversations`` in sequences of 2,048 ids, 16 turns and 1,024 ids of the assistant at most. Odd rows as in pack_conversations."""
     return pack_conversations(table(spark, sf_dir, "conversations"), default_tokenizer())

@@ -167,6 +167,7 @@ SELECT doc_id, len(list_filter(regexp_extract_all(text, '((?i:password|passwd|se
 
 
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Base counts, their digest and all spans of every document, over a new ledger. Odd rows as in secret_findings."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     found = secret_findings(docs)
     base = F.filter("findings", lambda x: x["kind_no"] <= len(BASE_RULES))

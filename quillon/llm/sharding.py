@@ -92,4 +92,5 @@ def shard(docs: DataFrame, shards: int = 24, id_col: str = "doc_id", text_col: s
 
 
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents in 24 shards of near-equal bytes. Odd rows as in shard."""
     return shard(table(spark, sf_dir, "documents"))

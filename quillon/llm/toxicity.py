@@ -179,6 +179,7 @@ def label_categories() -> dict[str, F.Column]:
 
 
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Probabilities and decisions for every document, by a chain fitted on a bounded sample of ``labels``. Odd rows as in score_toxicity."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     categories = label_categories()
     texts, y = training_rows(docs, table(spark, sf_dir, "labels"), categories)

@@ -2,7 +2,8 @@ import duckdb
 import pytest
 
 import corpus_pipeline as cp
-from quillon.llm import queries
+from pyspark.sql import functions as F
+from quillon.llm import exact_dedup, lattice_sampling, ngram_join, packing, queries, sharding
 from quillon.llm.common import settle
 from helpers import rows_of
 
@@ -17,6 +18,37 @@ def test_same_as_sql(spark, name):
     assert rows_of(queries.QUERIES[name](spark, D).toPandas()) == rows_of(c.sql(queries.ORACLE_SQL[name]).df())
 
 
+CLASHES = {
+    "keep_id group_size kept text_sha256": lambda df: exact_dedup.exact_dedup(df),
+    "size text_crc32 law shard slot grown_shard": lambda df: sharding.shard(df, 3),
+    "start length ids_crc32 doc_tokens sequence_id offset": lambda df: packing.pack_documents(df, packing.default_tokenizer()),
+    "sample n_pieces ids_crc32 log_prob perturbed log_inclusion": lambda df: lattice_sampling.sample_segmentations(df, lattice_sampling.default_model()),
+    "n_shingles component_id": lambda df: ngram_join.ngram_jaccard_join(df),
+}
+
+
+@pytest.mark.parametrize("names", list(CLASHES))
+def test_clashing_names_change_nothing(spark, odd, names):
+    """Input columns with the names of the output, of another type, in another case, and the operators' own helper names."""
+    plain = odd.select("doc_id", "text")
+    clash = plain
+    for c in [*names.split(), "Digest", "content", "key", "salt", "rows", "pid", "tag", "n"]:
+        clash = clash.withColumn(c.upper() if c in ("shard", "kept", "sample") else c, F.array(F.lit("x")))
+    a, b = (CLASHES[names](df) for df in (plain, clash))
+    assert a.columns == b.columns == ["doc_id", *names.split()]
+    stable = [c for c in a.columns if c not in ("sequence_id", "offset", "slot")]
+    assert rows_of(a.select(stable).toPandas()) == rows_of(b.select(stable).toPandas())
+
+
+def test_repeated_ids_are_packed_and_redacted_each(spark):
+    rows = [(1, "token=12345678abc"), (1, "token=12345678abc"), (1, "clean text"), (None, "clean text"), (None, None)]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t or "")) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    got = cp.redact_secrets(spark, docs, D)
+    assert sorted((r.doc_id or -1, r.text or "") for r in got.collect()) == [(-1, ""), (-1, "clean text"), (1, "[REDACTED]"), (1, "[REDACTED]"), (1, "clean text")]
+    packed = cp.pack(spark, got, D).toPandas()
+    assert len(packed) == 5 and packed.sequence_id.nunique() == 1 and packed.doc_id.isna().sum() == 2
+
+
 def test_every_operator_is_registered():
     assert sorted(int(n[2:].split("_")[0]) for n in queries.QUERIES if n.startswith("op")) == list(range(1, 11))
 
