@@ -32,7 +32,7 @@ def markdown_sections(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     """doc_id, section_no, heading, body, page_num: a line that starts with # opens a section; empty bodies are dropped. A text is split
     where such lines begin, within its row: nothing is shuffled."""
     text = F.coalesce(F.col(text_col), F.lit(""))
-    parts = F.split(text, r"(?:^|(?<=\n))(?=#)", -1)
+    parts = F.split(text, r"\n(?=#)", -1)
     each = docs.select(F.col(id_col).alias("doc_id"), F.startswith(text, F.lit("#")).cast("int").alias("headed"), F.posexplode(parts).alias("at", "part"))
     each = each.withColumn("section_no", F.col("at") + F.col("headed"))  # 0 is what comes before the first heading
     line = F.when(F.col("section_no") > 0, F.substring_index("part", "\n", 1))

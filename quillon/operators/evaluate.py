@@ -11,12 +11,16 @@ from ..functions.text import words
 from .search import bucket_of
 
 
-def judged(results: DataFrame, relevant: DataFrame) -> DataFrame:
-    """query_id, hits (sorted relevant ranks), n_rel: one row for each query with relevance, retrieved or not."""
+def judged(results: DataFrame, relevant: DataFrame, modes: Sequence[str] | None = None) -> DataFrame:
+    """[mode,] query_id, hits (sorted relevant ranks), n_rel: one row for each query with relevance, retrieved or not; with ``modes`` one for each
+    of them too, by the results' column mode."""
+    by = ["mode", "query_id"] if modes else ["query_id"]
     want = relevant.distinct()
-    hit = results.join(want, ["query_id", "doc_id"]).groupBy("query_id").agg(F.array_sort(F.collect_set("rank")).alias("hits"))
+    hit = results.join(want, ["query_id", "doc_id"]).groupBy(*by).agg(F.array_sort(F.collect_set("rank")).alias("hits"))
     n = want.groupBy("query_id").agg(F.count(F.lit(1)).alias("n_rel"))
-    return n.join(hit, "query_id", "left").withColumn("hits", F.coalesce("hits", F.array().cast("array<int>")))
+    if modes:
+        n = n.withColumn("mode", F.explode(F.array(*[F.lit(m) for m in modes])))
+    return n.join(hit, by, "left").withColumn("hits", F.coalesce("hits", F.array().cast("array<int>")))
 
 
 def containing(docs: DataFrame, items: DataFrame, index: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -58,10 +62,10 @@ def ndcg_at(k: int) -> Column:
     return _gain(F.filter("hits", lambda r: r <= k)) / ideal
 
 
-def per_query(j: DataFrame, ks: Sequence[int] = (1, 5, 10), places: int = 6) -> DataFrame:
+def per_query(j: DataFrame, ks: Sequence[int] = (1, 5, 10), places: int = 6, keep: Sequence[str | Column] = ()) -> DataFrame:
     """The metrics of each query, rounded; for means take as many places as doubles have, so that roundings don't add up."""
     out = [recall_at(k).alias(f"recall_{k}") for k in ks] + [F.round(reciprocal_rank(), places).alias("rr")] + [F.round(ndcg_at(k), places).alias(f"ndcg_{k}") for k in ks]
-    return j.select("query_id", *out)
+    return j.select(*keep, "query_id", *out)
 
 
 def mean_metrics(rows: DataFrame, by: Sequence[str] = ()) -> DataFrame:

@@ -5,7 +5,6 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from ..operators import search
 from ..session import make_importable, new_scratch_path as scratch  # noqa: F401  queries take it from here
@@ -16,8 +15,6 @@ ORACLE_SQL: dict[str, str] = {}
 #: White-space tokens of a text, and a text without white space at its ends, in the oracle's dialect.
 SQL_WORDS = r"list_filter(string_split_regex(coalesce({0}, ''), '\s+'), lambda w: w <> '')"
 SQL_STRIP = r"regexp_replace({0}, '^\s+|\s+$', '', 'g')"
-#: A side that may be broadcast has this many rows at most.
-SMALL_ROWS = 10_000
 
 
 def query(sql: str | None = None) -> Callable[[Query], Query]:
@@ -49,6 +46,8 @@ def stored_index(spark: SparkSession, d: str) -> DataFrame:
     return _INDEXES[key]
 
 
-def small(df: DataFrame) -> DataFrame:
-    """With a broadcast hint if the rows are few, which is counted first."""
-    return F.broadcast(df) if df.limit(SMALL_ROWS + 1).count() <= SMALL_ROWS else df
+def kept(df: DataFrame, name: str) -> DataFrame:
+    """A bounded result that several branches of a plan read: written to the shared folder once, so that it isn't computed by each."""
+    path = scratch(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -10,7 +12,7 @@ from ..functions.text import time_sensitive as time_words
 from ..functions.text import words
 from ..operators import cache, context, evaluate, routing, search
 from ..operators.routing_tables import CATEGORIES, KEYWORDS
-from .registry import SQL_WORDS, query, small, stored_index, table
+from .registry import SQL_WORDS, kept, query, stored_index, table
 
 
 def query_vector(spark: SparkSession, d: str) -> list[float]:
@@ -182,6 +184,13 @@ def term_frequency(spark: SparkSession, d: str) -> DataFrame:
     return each.groupBy("term").agg(F.sum("n").alias("tf"), F.count(F.lit(1)).alias("df"))
 
 
+@query(f"SELECT count(*) AS postings, count(DISTINCT term) AS terms, count(DISTINCT doc_id) AS texts FROM (SELECT DISTINCT doc_id, unnest({SQL_WORDS.format('text')}) AS term FROM documents)")
+def index_statistics(spark: SparkSession, d: str) -> DataFrame:
+    """Sizes of the stored index, which is built at its first use in a session."""
+    by_term = stored_index(spark, d).groupBy("term").agg(F.count(F.lit(1)).alias("n"))
+    return by_term.agg(F.sum("n").alias("postings"), F.count(F.lit(1)).alias("terms")).crossJoin(stored_index(spark, d).agg(F.count_distinct("id").alias("texts")))
+
+
 @query(f"SELECT round(avg(n), 6) AS avg_nnz, max(n) AS max_nnz, count(*) AS n_texts FROM (SELECT doc_id, len(list_distinct({SQL_WORDS.format('text')})) AS n FROM documents)")
 def sparse_stats(spark: SparkSession, d: str) -> DataFrame:
     n = F.size(F.array_distinct(words(F.col("text"))))
@@ -293,20 +302,19 @@ SELECT mode, count(*) AS n_queries, {", ".join(f"round(avg({c}), 6) AS {c}" for
 def eval_by_mode(spark: SparkSession, d: str) -> DataFrame:
     """All items in four modes: dense, sparse, hybrid, hybrid and rerank; means of the metrics, and how many items found anything."""
     items, index, docs = _items(spark, d), stored_index(spark, d), table(spark, d, "documents")
-    dense = search.dense_batch(table(spark, d, "embeddings"), items, search.LEG_LIMIT, q_vec="v").select("query_id", "id", "rank")
-    sparse = search.rank_by(search.sparse_batch(index, items), "score", "id", ["query_id"]).filter(F.col("rank") <= search.LEG_LIMIT).select("query_id", "id", "rank")
+    dense = kept(search.dense_batch(table(spark, d, "embeddings"), items, search.LEG_LIMIT, q_vec="v").select("query_id", "id", "rank"), "dense")
+    sparse = search.rank_by(search.sparse_batch(index, items), "score", "id", ["query_id"]).filter(F.col("rank") <= search.LEG_LIMIT)
+    sparse = kept(sparse.select("query_id", "id", "rank"), "sparse")
     fused = search.rank_by(search.rrf([dense, sparse], search.INNER_K, parts=["query_id"]), "score", "id", ["query_id"]).filter(F.col("rank") <= 50).select("query_id", "id", "rank")
+    fused = kept(fused, "fused")  # 50 rows an item, which two modes read
     texts = fused.drop("rank").join(docs.select(F.col("doc_id").alias("id"), "text"), "id").join(items.select("query_id", F.col("q").alias("query")), "query_id")
-    again = context.rerank(texts, n=50).select("query_id", "id", F.col("rerank_rank").alias("rank"))
-    relevant = evaluate.containing(docs, items, index)
+    again = context.rerank(texts, n=10).select("query_id", "id", F.col("rerank_rank").alias("rank"))
     modes = {"dense": dense, "sparse": sparse, "hybrid": fused, "hybrid+rerank": again}
-    rows = None
-    for mode, found in modes.items():
-        j = evaluate.judged(found.filter(F.col("rank") <= 10).withColumnRenamed("id", "doc_id"), relevant)
-        one = evaluate.per_query(j, places=15).join(j.select("query_id", evaluate.any_hit(10).alias("hit")), "query_id").withColumn("mode", F.lit(mode))
-        rows = one if rows is None else rows.unionByName(one)
-    hits = rows.groupBy("mode").agg(F.count_if("hit").alias("any_hit"))
-    return evaluate.mean_metrics(rows.drop("hit"), ["mode"]).join(hits, "mode")
+    found = reduce(DataFrame.unionByName, [x.filter(F.col("rank") <= 10).select(F.lit(m).alias("mode"), "query_id", F.col("id").alias("doc_id"), "rank") for m, x in modes.items()])
+    j = evaluate.judged(found, evaluate.containing(docs, items, index), list(modes))
+    each = evaluate.per_query(j, places=15, keep=["mode", evaluate.any_hit(10).alias("hit")])
+    means = evaluate.mean_metrics(each.drop("hit"), ["mode"])
+    return means.join(each.groupBy("mode").agg(F.count_if("hit").alias("any_hit")), "mode")
 
 
 _TOP5 = f"{_TERMS}, top AS (SELECT id, row_number() OVER (ORDER BY score DESC, id) AS rank FROM sp QUALIFY rank <= 10)"
