@@ -1,0 +1,18 @@
+"""Queries that return arrays of numbers, value by value against their SQL."""
+
+import duckdb
+import pytest
+
+from quillon.plans import catalog
+
+D = "/root/testdata/sf0.001"
+
+
+@pytest.mark.parametrize("name", ["sparse_answers", "dense_answers"])
+def test_same_values(spark, name):
+    c = duckdb.connect()
+    c.sql(f"CREATE VIEW embeddings AS SELECT * FROM '{D}/embeddings.parquet'")
+    want = c.sql(catalog.ORACLE_SQL[name])
+    got = catalog.QUERIES[name](spark, D)
+    assert sorted(got.columns) == sorted(want.columns)
+    assert sorted(tuple(r) for r in got.select(*want.columns).collect()) == sorted(want.fetchall())
