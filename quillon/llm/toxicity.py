@@ -7,7 +7,6 @@ later model meets in training what it will meet in use.
 from __future__ import annotations
 
 import re
-from collections import Counter
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass, field
 
@@ -77,9 +76,12 @@ class Chain:
     @classmethod
     def fit(cls, texts: Sequence[str], labels: np.ndarray, categories: Sequence[str], folds: int = FOLDS, vocabulary: int = VOCABULARY) -> Chain:
         """labels: rows x categories, 0 or 1, in the chain's order. Folds go by row number."""
-        bags = [words_of(t) for t in texts]
-        chain = cls(list(categories), vocabulary_of(bags, labels, vocabulary))
-        rows, fold = [chain.features(b) for b in bags], np.arange(len(bags)) % folds
+        names: dict[str, int] = {}  # texts share most words, so a text is kept as its words' numbers
+        bags = [np.sort(np.fromiter((names.setdefault(w, len(names)) for w in words_of(t)), dtype=np.int32)) for t in texts]
+        chain = cls(list(categories), vocabulary_of(list(names), bags, labels, vocabulary))
+        place = np.full(len(names), -1, dtype=np.int64)
+        place[[names[w] for w in chain.vocabulary]] = list(chain.vocabulary.values())
+        rows, fold = [np.sort(place[b][place[b] >= 0]) for b in bags], np.arange(len(bags)) % folds
         dense = np.zeros((len(bags), 0))
         for c in range(len(chain.categories)):
             y, out = labels[:, c].astype(float), np.zeros(len(bags))
@@ -93,7 +95,7 @@ class Chain:
         return chain
 
     def features(self, bag: set[str]) -> np.ndarray:
-        return np.array([self.vocabulary[w] for w in bag & self.vocabulary.keys()], dtype=np.int64)
+        return np.sort(np.array([self.vocabulary[w] for w in bag & self.vocabulary.keys()], dtype=np.int64))
 
     def predict(self, texts: Sequence[str]) -> np.ndarray:
         """Probabilities, texts x categories."""
@@ -104,21 +106,23 @@ class Chain:
         return dense
 
 
-def vocabulary_of(bags: list[set[str]], labels: np.ndarray, size: int) -> dict[str, int]:
-    """The words whose document shares differ most between the values of some category, in standard errors."""
-    every, n = Counter(w for b in bags for w in b), max(1, len(bags))
-    best: dict[str, float] = {}
+def vocabulary_of(names: list[str], bags: list[np.ndarray], labels: np.ndarray, size: int) -> dict[str, int]:
+    """The words whose document shares differ most between the values of some category, in standard errors. bags: each text's
+    distinct words as numbers into names."""
+
+    def documents(some: list[np.ndarray]) -> np.ndarray:
+        return np.bincount(np.concatenate([*some, np.zeros(0, np.int32)]), minlength=len(names))
+
+    every, n, best = documents(bags), max(1, len(bags)), np.zeros(len(names))
     for c in range(labels.shape[1]):
         positive = labels[:, c] > 0
         n1 = int(positive.sum())
-        n0, one = n - n1, Counter(w for b, p in zip(bags, positive, strict=True) if p for w in b)
-        for w, total in every.items():
-            if total >= LEAST_DOCS:
-                p, q, pool = one[w] / max(1, n1), (total - one[w]) / max(1, n0), total / n
-                z = abs(p - q) / (pool * (1 - pool) * (1 / max(1, n1) + 1 / max(1, n0)) + 1e-9) ** 0.5
-                best[w] = max(best.get(w, 0.0), z)
-    chosen = sorted((w for w in best if best[w] >= LEAST_Z), key=lambda w: (-best[w], w))[:size]
-    return {w: i for i, w in enumerate(sorted(chosen))}
+        n0, one = n - n1, documents([bags[i] for i in np.flatnonzero(positive)])
+        p, q, pool = one / max(1, n1), (every - one) / max(1, n0), every / n
+        best = np.maximum(best, abs(p - q) / np.sqrt(pool * (1 - pool) * (1 / max(1, n1) + 1 / max(1, n0)) + 1e-9))
+    telling = np.flatnonzero((every >= LEAST_DOCS) & (best >= LEAST_Z)).tolist()
+    chosen = sorted(telling, key=lambda i: (-best[i], names[i]))[:size]
+    return {w: i for i, w in enumerate(sorted(names[i] for i in chosen))}
 
 
 def best_threshold(p: np.ndarray, y: np.ndarray) -> float:
