@@ -9,9 +9,12 @@ the memory-mapped shards by searchsorted.
 from __future__ import annotations
 
 import hashlib
+import json
 import os
-from collections import Counter
-from collections.abc import Iterator
+import re
+from collections.abc import Callable, Iterator, Sequence
+from itertools import chain
+from pathlib import Path
 from typing import ClassVar, NamedTuple
 from urllib.parse import unquote, urlparse
 
@@ -23,57 +26,54 @@ from pyspark.sql import functions as F
 
 from .common import give_back, make_importable, new_scratch_path, settle, table
 
-#: Keys that a partition holds before it passes its counts on; chunks that a worker remembers, none longer than so many characters.
-KEYS_HELD, CHUNKS_HELD, CHUNK_LENGTH = 2_000_000, 100_000, 64
+#: Keys that a partition holds before it passes its counts on; characters that are aligned together, and that are encoded in one piece.
+KEYS_HELD, CHARS, PIECE = 2_000_000, 1_000_000, 50_000
 #: A key is the first tokenizer's id shifted by this, and the second's id.
 SHIFT = 32
+#: Where a text may be cut: at a single space between two characters that are no white space, where the first tokenizer never joins bytes and the
+#: second's entries never reach over.
+_CUT = re.compile(r"(?<=\S) (?=\S)")
 
 
-class Chunk(NamedTuple):
-    """n_a, n_b: tokens; keys: one for each link, with repeats; n_groups and groups: the aligned groups as text."""
+class Aligned(NamedTuple):
+    """Texts in a row. link_ends, token_ends: for each text where its links, or its tokens of both kinds in order of groups, end (those of texts without tokens
+    are empty); keys: one for each link, with repeats; pieces: for each token which entry of Aligner.told it is; the others: counts for each text."""
 
-    n_a: int
-    n_b: int
+    link_ends: np.ndarray
+    token_ends: np.ndarray
     keys: np.ndarray
-    n_groups: int
-    groups: str
-
-
-def chunks_of(text: str) -> list[str]:
-    """Space and text in pieces that both tokenizers take apart on their own: a piece starts at each single space between two characters that are
-    no white space, where the first never joins bytes and the second's entries never reach over."""
-    parts = text.split(" ")
-    out, own, before = [], " " + parts[0], parts[0]
-    for part in parts[1:]:
-        if before and part and not (before[-1].isspace() or part[0].isspace()):
-            out.append(own)
-            own = " " + part
-        else:
-            own += " " + part
-        before = part
-    out.append(own)
-    return out
+    pieces: np.ndarray
+    n_a: np.ndarray
+    n_b: np.ndarray
+    n_groups: np.ndarray
+
+
+def pieces_of(text: str) -> list[str]:
+    """The text in pieces of about PIECE characters that, each with a space before it, are encoded like the whole."""
+    out, at = [], 0
+    while len(text) - at > PIECE and (cut := _CUT.search(text, at + PIECE)):
+        out.append(text[at : cut.start()])
+        at = cut.end()
+    return [*out, text[at:]]
 
 
 class Aligner:
-    """Aligned chunks of texts by a byte-level file of ``tokenizers`` (a) and a ``sentencepiece`` model that adds a space (b)."""
+    """Aligns texts by a byte-level file of ``tokenizers`` (a) and a ``sentencepiece`` model that adds a space (b)."""
 
-    #: One aligner for each pair of files in a worker, with what it remembers.
+    #: One aligner for each pair of files in a worker.
     kept: ClassVar[dict[tuple[str, str], Aligner]] = {}
 
     def __init__(self, a_file: str, b_file: str):
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
         import sentencepiece
-        from tokenizers import Tokenizer
 
-        self.a = Tokenizer.from_file(a_file)
-        self.a.encode_special_tokens = True
+        self.a = a_encoder(a_file)
         self.b = sentencepiece.SentencePieceProcessor(model_file=b_file)
-        byte_of = {c: i for i, c in enumerate(_byte_letters())}
-        self.a_bytes = {i: bytes(byte_of[c] for c in t) for t, i in self.a.get_vocab(with_added_tokens=False).items()}
-        pieces = [self.b.id_to_piece(i) for i in range(self.b.vocab_size())]
-        self.b_bytes = [bytes([int(p[3:5], 16)]) if self.b.is_byte(i) else p.replace("▁", " ").encode() for i, p in enumerate(pieces)]
-        self.known: dict[str, Chunk | None] = {}
+        self.a_bytes = _bytes_of(json.loads(Path(a_file).read_text()))
+        names = [self.b.id_to_piece(i) for i in range(self.b.vocab_size())]
+        self.b_bytes = [bytes([int(p[3:5], 16)]) if self.b.is_byte(i) else p.replace("▁", " ").encode() for i, p in enumerate(names)]
+        self.a_size, self.b_size = (np.array([len(x) for x in y], dtype=np.int64) for y in (self.a_bytes, self.b_bytes))
+        #: Every id as text and what follows it: within a group, at its end.
+        self.told = [f"{i}{mark}" for n, marks in ((len(self.a_bytes), ",|"), (len(self.b_bytes), ",;")) for mark in marks for i in range(n)]
 
     @classmethod
     def of(cls, a_file: str, b_file: str) -> Aligner:
@@ -81,45 +81,92 @@ class Aligner:
             cls.kept[a_file, b_file] = cls(a_file, b_file)
         return cls.kept[a_file, b_file]
 
-    def chunk(self, text: str, a: list[int], b: list[int]) -> Chunk | None:
-        """None if either's bytes aren't the text's."""
-        whole, a_bytes, b_bytes = text.encode(), [self.a_bytes[i] for i in a], [self.b_bytes[i] for i in b]
-        if b"".join(a_bytes) != whole or b"".join(b_bytes) != whole:
-            return None
-        keys, groups = [], []
-        i = j = a_end = b_end = a_first = b_first = 0
-        while i < len(a):  # both end together, as their bytes are the same
-            keys.append(a[i] << SHIFT | b[j])
-            ahead = a_end + len(a_bytes[i]) - b_end - len(b_bytes[j])
-            if ahead <= 0:
-                a_end += len(a_bytes[i])
-                i += 1
-            if ahead >= 0:
-                b_end += len(b_bytes[j])
-                j += 1
-            if ahead == 0:
-                groups.append(f"{','.join(map(str, a[a_first:i]))}|{','.join(map(str, b[b_first:j]))}")
-                a_first, b_first = i, j
-        return Chunk(len(a), len(b), np.array(keys, dtype=np.int64), len(groups), ";".join(groups))
-
-    def document(self, text: str | None) -> tuple[list[str], dict[str, Chunk]] | None:
-        """The text's chunks, and what each is; None for texts that have no tokens."""
-        if not text:
-            return None
-        chunks = chunks_of(text)
-        distinct = dict.fromkeys(chunks)
-        if new := [c for c in distinct if c not in self.known]:
-            a = self.a.encode_batch(new, add_special_tokens=False)
-            b = self.b.encode([c[1:] for c in new], num_threads=1)
-            if len(self.known) > CHUNKS_HELD:
-                self.known.clear()
-                return self.document(text)
-            made = {c: self.chunk(c, x.ids, y) for c, x, y in zip(new, a, b, strict=True)}
-            self.known |= {c: x for c, x in made.items() if len(c) <= CHUNK_LENGTH}
-        else:
-            made = {}
-        found = {c: made[c] if c in made else self.known[c] for c in distinct}
-        return None if None in found.values() else (chunks, found)
+    def align(self, texts: Sequence[str | None]) -> Iterator[Aligned]:
+        """Some texts at a time, in order."""
+        some, size = [], 0
+        for t in texts:
+            some.append(t or "")
+            size += len(some[-1])
+            if size > CHARS:
+                yield self.together(some)
+                some, size = [], 0
+        if some:
+            yield self.together(some)
+
+    def together(self, texts: list[str]) -> Aligned:
+        cut = [pieces_of(t) if t else [] for t in texts]
+        flat = [p for own in cut for p in own]
+        every_a, every_b = self.a([" " + p for p in flat]), self.b.encode(flat, num_threads=1)
+        a, b, n_a, n_b, sizes, at = [], [], [], [], [], 0
+        for text, own in zip(texts, cut, strict=True):
+            x, y = (list(chain.from_iterable(e[at : at + len(own)])) for e in (every_a, every_b))
+            at += len(own)
+            whole = (" " + text).encode() if own else b""
+            if b"".join(map(self.a_bytes.__getitem__, x)) != whole or b"".join(map(self.b_bytes.__getitem__, y)) != whole:
+                x, y, whole = [], [], b""
+            a += x
+            b += y
+            n_a.append(len(x))
+            n_b.append(len(y))
+            sizes.append(len(whole))
+        a, b, ends = np.array(a, dtype=np.int64), np.array(b, dtype=np.int64), np.cumsum(sizes)
+        # all texts are one row of bytes; bit 1: a token of a ends here, bit 2: one of b
+        mark = np.zeros((ends[-1] if len(ends) else 0) + 1, dtype=np.int8)
+        mark[np.cumsum(self.a_size[a])] |= 1
+        mark[np.cumsum(self.b_size[b])] |= 2
+        where = np.flatnonzero(mark)
+        bits = mark[where]
+        of_a, of_b = (bits & 1).astype(np.int64), (bits >> 1).astype(np.int64)
+        seen_a, seen_b = np.cumsum(of_a), np.cumsum(of_b)
+        # between two neighbouring ends of either lies the overlap of just one pair of tokens
+        keys = (a[seen_a - of_a] << SHIFT) | b[seen_b - of_b]
+        shared = np.flatnonzero(bits == 3)
+        group = np.cumsum(bits == 3) - (bits == 3)  # of what ends here
+        before_b, upto_a = np.append(0, seen_b[shared])[group], np.append(seen_a[shared], 0)[group]
+        is_a, is_b = of_a.astype(bool), of_b.astype(bool)
+        pieces = np.empty(len(a) + len(b), dtype=np.int64)
+        pieces[np.arange(len(a)) + before_b[is_a]] = a + len(self.a_bytes) * (bits[is_a] == 3)
+        pieces[np.arange(len(b)) + upto_a[is_b]] = 2 * len(self.a_bytes) + b + len(self.b_bytes) * (bits[is_b] == 3)
+        n_a, n_b = np.array(n_a, dtype=np.int64), np.array(n_b, dtype=np.int64)
+        links = np.searchsorted(where, ends, "right")
+        groups = np.diff(np.searchsorted(where[shared], ends, "right"), prepend=0)
+        return Aligned(links, np.cumsum(n_a + n_b), keys, pieces, n_a, n_b, groups)
+
+    def groups(self, pieces: np.ndarray) -> str:
+        return "".join(map(self.told.__getitem__, pieces.tolist()))[:-1]
+
+
+def _bytes_of(file: dict) -> list[bytes]:
+    """What each id of a byte-level file stands for."""
+    byte_of, vocabulary = {c: i for i, c in enumerate(_byte_letters())}, file["model"]["vocab"]
+    out = [b""] * (max(vocabulary.values()) + 1)
+    for t, i in vocabulary.items():
+        out[i] = bytes(byte_of[c] for c in t if c in byte_of)
+    return out
+
+
+def a_encoder(path: str) -> Callable[[list[str]], list[list[int]]]:
+    """Ids of texts, none of them special. Where a file's merges are in the order of their ids, and it splits texts the usual way, tiktoken's core gives the same
+    ids several times faster."""
+    import tiktoken
+    from tokenizers import Tokenizer
+
+    file = json.loads(Path(path).read_text())
+    vocabulary, before = file["model"]["vocab"], file["pre_tokenizer"]
+    merges = [m.split(" ") if isinstance(m, str) else m for m in file["model"]["merges"]]
+    in_order = [vocabulary["".join(m)] for m in merges] == list(range(256, 256 + len(merges)))
+    if in_order and not file["normalizer"] and before == {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": before.get("trim_offsets"), "use_regex": True}:
+        ranks = {x: i for i, x in enumerate(_bytes_of(file)) if i < 256 + len(merges)}
+        core = tiktoken.Encoding("bytes", pat_str=SPLIT, mergeable_ranks=ranks, special_tokens={})._core_bpe
+        return lambda texts: [core.encode_ordinary(t) for t in texts]
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"
+    slow = Tokenizer.from_file(path)
+    slow.encode_special_tokens = True
+    return lambda texts: [x.ids for x in slow.encode_batch(texts, add_special_tokens=False)]
+
+
+# Fixed value: how byte-level files split texts.
+SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
 
 def _byte_letters() -> list[str]:
@@ -191,15 +238,14 @@ def count_pairs(docs: DataFrame, a_file: str, b_file: str, text_col: str = "text
                 n = 0
 
         for rows in batches:
-            for text in rows["text"]:
-                if found := aligner.document(text):
-                    own = np.unique(np.concatenate([x.keys for x in found[1].values()]))
-                    waiting.append(own)
-                    n += len(own)
-                    if n > KEYS_HELD:
-                        merge()
-                        if len(keys[0]) > KEYS_HELD:
-                            yield pd.DataFrame({"key": keys.pop(), "n": counts.pop()})
+            for found in aligner.align(rows["text"]):
+                own = [np.unique(x) for x in np.split(found.keys, found.link_ends[:-1])]
+                waiting += own
+                n += sum(map(len, own))
+                if n > KEYS_HELD:
+                    merge()
+                    if len(keys[0]) > KEYS_HELD:
+                        yield pd.DataFrame({"key": keys.pop(), "n": counts.pop()})
         merge()
         if keys:
             yield pd.DataFrame({"key": keys[0], "n": counts[0]})
@@ -263,29 +309,20 @@ def align(docs: DataFrame, a_file: str, b_file: str, id_col: str = "doc_id", tex
     def measure(parts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         aligner = Aligner.of(a_file, b_file)
         listed, top = shared.value
-        counts, seen = Counts.of(folder, listed), {}
+        counts = Counts.of(folder, listed)
         for texts in parts:
-            rows = []
-            for text in texts:
-                if (found := aligner.document(text)) is None:
-                    rows.append((0, 0, 0, 0, 0, 0, "", *([""] * with_groups)))
-                    continue
-                chunks, known = found
-                if len(seen) > CHUNKS_HELD:
-                    seen.clear()
-                if new := [c for c in known if c not in seen]:
-                    keys = np.concatenate([known[c].keys for c in new])
-                    distinct, where = np.unique(keys, return_inverse=True)
-                    n = counts(distinct)[where]
-                    at = np.cumsum([0, *[len(known[c].keys) for c in new]])[:-1]
-                    sums, bests = np.add.reduceat(n, at).tolist(), np.add.reduceat((n == top[keys >> SHIFT]).astype(np.int64), at).tolist()
-                    seen |= {c: (known[c].n_a, known[c].n_b, known[c].n_groups, len(known[c].keys), b, s) for c, b, s in zip(new, bests, sums, strict=True)}
-                total = [0] * 6
-                for c, times in Counter(chunks).items():
-                    total = [t + times * x for t, x in zip(total, seen[c], strict=True)]
-                groups = ";".join([known[c].groups for c in chunks])
-                rows.append((*total, hashlib.sha256(groups.encode()).hexdigest(), *([groups] * with_groups)))
-            yield pd.DataFrame(rows, columns=[*names, "groups_sha256", *(["groups"] * with_groups)])
+            out = []
+            for found in aligner.align(texts):
+                distinct, where = np.unique(found.keys, return_inverse=True)
+                n = counts(distinct)[where]
+                best = n == top[found.keys >> SHIFT]
+                first = np.append(0, found.link_ends[:-1])
+                over = lambda x, first=first, found=found: np.diff(np.append(0, np.cumsum(x))[np.append(first, found.link_ends[-1])])
+                groups = [aligner.groups(x) for x in np.split(found.pieces, found.token_ends[:-1])]
+                hashes = [hashlib.sha256(g.encode()).hexdigest() if n else "" for g, n in zip(groups, found.n_a.tolist(), strict=True)]
+                columns = [found.n_a, found.n_b, found.n_groups, found.link_ends - first, over(best), over(n), hashes, *([groups] * with_groups)]
+                out.append(pd.DataFrame(dict(zip([*names, "groups_sha256", *(["groups"] * with_groups)], columns, strict=True))))
+            yield pd.concat(out) if out else pd.DataFrame([], columns=[*names, "groups_sha256", *(["groups"] * with_groups)])
         give_back()
 
     told = docs.select(F.col(f"`{id_col}`").alias("doc_id"), measure(F.col(f"`{text_col}`")).alias("m"))

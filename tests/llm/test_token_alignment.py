@@ -76,16 +76,25 @@ def test_same_as_brute_force(spark, libraries):
     assert sorted([tuple(r)[:8] for r in got.collect()], key=str) == sorted(want, key=str)
 
 
-def test_chunks_join_to_the_text_and_encode_alike(libraries):
+def test_pieces_encode_like_the_whole(libraries, monkeypatch):
+    monkeypatch.setattr(ta, "PIECE", 3)
     a, b = libraries
     rng = random.Random(4)
-    pool = list("ab'1.,<>|s \n\t") + ["  ", "é", "漢", " ", " ", "​", "\x1e", "ll", "'s", "🙂"]
+    pool = list("ab'1.,<>|s \n\t") + ["  ", "é", "漢", "\u00a0", "\u2003", "\u200b", "\x1e", "ll", "'s", "🙂"]
     for _ in range(3_000):
         t = "".join(rng.choice(pool) for _ in range(rng.randrange(1, 25)))
-        chunks = ta.chunks_of(t)
-        assert "".join(chunks) == " " + t
-        assert [i for c in chunks for i in a.encode(c, add_special_tokens=False).ids] == a.encode(" " + t, add_special_tokens=False).ids
-        assert [i for c in chunks for i in b.encode(c[1:])] == b.encode(t)
+        pieces = ta.pieces_of(t)
+        assert " ".join(pieces) == t
+        assert [i for p in pieces for i in a.encode(" " + p, add_special_tokens=False).ids] == a.encode(" " + t, add_special_tokens=False).ids
+        assert [i for p in pieces for i in b.encode(p)] == b.encode(t)
+
+
+def test_the_faster_encoder_gives_the_files_ids(libraries):
+    a, encode = libraries[0], ta.a_encoder(A)
+    rng = random.Random(5)
+    letters = [chr(c) for c in (*range(0x250), *range(0x370, 0x400), *range(0x600, 0x620), *range(0x2000, 0x2070), *range(0x3000, 0x3050), 0x180E, 0xFEFF, 0x1F600, 0x10FFFF)]
+    texts = ["".join(rng.choice(letters if rng.random() < 0.5 else "ab '\n1.") for _ in range(rng.randrange(40))) for _ in range(4_000)] + ["<|endoftext|> x"]
+    assert encode(texts) == [x.ids for x in a.encode_batch(texts, add_special_tokens=False)]
 
 
 def test_partial_counts_merge_however_often_they_are_passed_on(spark, libraries, monkeypatch):
@@ -94,6 +103,7 @@ def test_partial_counts_merge_however_often_they_are_passed_on(spark, libraries,
     import quillon.llm.token_alignment as m
 
     monkeypatch.setattr(m, "KEYS_HELD", 5)
+    monkeypatch.setattr(m, "CHARS", 30)
     got = {r[0]: tuple(r)[1:] for r in m.align(df, A, B).collect()}
     assert [got[i] for i in range(60)] == brute(texts, libraries)
 
