@@ -2,7 +2,7 @@
 
 Both tokenizers cut a text's bytes; where both cut, a group of aligned tokens ends, and tokens whose byte ranges overlap are linked. A pair of ids is
 packed into one 64-bit key. Each partition counts its documents' distinct keys with np.unique; the partial counts are sorted globally by key ranges and
-runs of a key summed, which leaves sorted count shards in the shared folder. A second pass over the texts looks its links up in
+runs of a key summed, which leaves sorted count shards in the shared folder. A second pass over the ids looks its links up in
 the memory-mapped shards by searchsorted.
 """
 
@@ -12,7 +12,7 @@ import hashlib
 import json
 import os
 import re
-from collections.abc import Callable, Iterator, Sequence
+from collections.abc import Callable, Iterable, Iterator, Sequence
 from itertools import chain
 from pathlib import Path
 from typing import ClassVar, NamedTuple
@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from .common import give_back, make_importable, new_scratch_path, settle, table
 
-#: Keys that a partition holds before it passes its counts on; characters that are aligned together, and that are encoded in one piece.
+#: Keys that a partition holds before it passes its counts on; characters, or tokens, that are looked at together; characters that are encoded in one piece.
 KEYS_HELD, CHARS, PIECE = 2_000_000, 1_000_000, 50_000
 #: A key is the first tokenizer's id shifted by this, and the second's id.
 SHIFT = 32
@@ -81,39 +81,42 @@ class Aligner:
             cls.kept[a_file, b_file] = cls(a_file, b_file)
         return cls.kept[a_file, b_file]
 
-    def align(self, texts: Sequence[str | None]) -> Iterator[Aligned]:
-        """Some texts at a time, in order."""
-        some, size = [], 0
-        for t in texts:
-            some.append(t or "")
-            size += len(some[-1])
-            if size > CHARS:
-                yield self.together(some)
-                some, size = [], 0
-        if some:
-            yield self.together(some)
-
-    def together(self, texts: list[str]) -> Aligned:
+    def encode(self, texts: Sequence[str]) -> list[tuple[np.ndarray, np.ndarray]]:
+        """Both kinds of ids of each text; none where either's bytes aren't the text's."""
         cut = [pieces_of(t) if t else [] for t in texts]
         flat = [p for own in cut for p in own]
         every_a, every_b = self.a([" " + p for p in flat]), self.b.encode(flat, num_threads=1)
-        a, b, n_a, n_b, sizes, at = [], [], [], [], [], 0
+        out, at = [], 0
         for text, own in zip(texts, cut, strict=True):
-            x, y = (list(chain.from_iterable(e[at : at + len(own)])) for e in (every_a, every_b))
+            x, y = (e[at] if len(own) == 1 else list(chain.from_iterable(e[at : at + len(own)])) for e in (every_a, every_b))
             at += len(own)
             whole = (" " + text).encode() if own else b""
             if b"".join(map(self.a_bytes.__getitem__, x)) != whole or b"".join(map(self.b_bytes.__getitem__, y)) != whole:
-                x, y, whole = [], [], b""
-            a += x
-            b += y
-            n_a.append(len(x))
-            n_b.append(len(y))
-            sizes.append(len(whole))
-        a, b, ends = np.array(a, dtype=np.int64), np.array(b, dtype=np.int64), np.cumsum(sizes)
+                x, y = [], []
+            out.append((np.array(x, dtype="<u4"), np.array(y, dtype="<u4")))
+        return out
+
+    def align(self, a: Iterable[bytes], b: Iterable[bytes]) -> Iterator[Aligned]:
+        """Encoded texts, as many at a time as have about CHARS tokens, in order."""
+        some, size = [], 0
+        for x, y in zip(a, b, strict=True):
+            some.append((np.frombuffer(x, dtype="<u4"), np.frombuffer(y, dtype="<u4")))
+            size += len(some[-1][0]) + len(some[-1][1])
+            if size > CHARS:
+                yield self.together(some)
+                some, size = [], 0
+        if some:
+            yield self.together(some)
+
+    def together(self, texts: list[tuple[np.ndarray, np.ndarray]]) -> Aligned:
+        a, b = (np.concatenate([x[k] for x in texts]).astype(np.int64) for k in (0, 1))
+        n_a, n_b = (np.array([len(x[k]) for x in texts], dtype=np.int64) for k in (0, 1))
+        a_ends, b_ends = np.cumsum(self.a_size[a]), np.cumsum(self.b_size[b])
+        ends = np.append(0, a_ends)[np.cumsum(n_a)]
         # all texts are one row of bytes; bit 1: a token of a ends here, bit 2: one of b
         mark = np.zeros((ends[-1] if len(ends) else 0) + 1, dtype=np.int8)
-        mark[np.cumsum(self.a_size[a])] |= 1
-        mark[np.cumsum(self.b_size[b])] |= 2
+        mark[a_ends] |= 1
+        mark[b_ends] |= 2
         where = np.flatnonzero(mark)
         bits = mark[where]
         of_a, of_b = (bits & 1).astype(np.int64), (bits >> 1).astype(np.int64)
@@ -127,7 +130,6 @@ class Aligner:
         pieces = np.empty(len(a) + len(b), dtype=np.int64)
         pieces[np.arange(len(a)) + before_b[is_a]] = a + len(self.a_bytes) * (bits[is_a] == 3)
         pieces[np.arange(len(b)) + upto_a[is_b]] = 2 * len(self.a_bytes) + b + len(self.b_bytes) * (bits[is_b] == 3)
-        n_a, n_b = np.array(n_a, dtype=np.int64), np.array(n_b, dtype=np.int64)
         links = np.searchsorted(where, ends, "right")
         groups = np.diff(np.searchsorted(where[shared], ends, "right"), prepend=0)
         return Aligned(links, np.cumsum(n_a + n_b), keys, pieces, n_a, n_b, groups)
@@ -216,10 +218,33 @@ class Counts:
         return out
 
 
-def count_pairs(docs: DataFrame, a_file: str, b_file: str, text_col: str = "text") -> tuple[str, list[tuple[int, str]], DataFrame]:
-    """In how many documents each pair of ids is linked: the folder of the count shards, (first key, name) of each in order, and the table
+def encoded(docs: DataFrame, a_file: str, b_file: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, a, b: both kinds of ids of each text, as bytes of unsigned 32-bit numbers; written to the shared folder, so that texts are encoded once."""
+    make_importable(docs.sparkSession)
+
+    @F.pandas_udf("a binary, b binary")
+    def ids(parts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        aligner = Aligner.of(a_file, b_file)
+        for texts in parts:
+            rows, some, size = [], [], 0
+            for t in texts:
+                some.append(t or "")
+                size += len(some[-1])
+                if size > CHARS:
+                    rows += aligner.encode(some)
+                    some, size = [], 0
+            rows += aligner.encode(some)
+            yield pd.DataFrame({"a": [a.tobytes() for a, _ in rows], "b": [b.tobytes() for _, b in rows]}, dtype=object)
+        give_back()
+
+    told = docs.select(F.col(f"`{id_col}`").alias("doc_id"), ids(F.col(f"`{text_col}`")).alias("ids"))
+    return settle(told.select("doc_id", "ids.a", "ids.b"), "token-ids")
+
+
+def count_pairs(ids: DataFrame, a_file: str, b_file: str) -> tuple[str, list[tuple[int, str]], DataFrame]:
+    """In how many documents of encoded() each pair of ids is linked: the folder of the count shards, (first key, name) of each in order, and the table
     a, best: each first id's highest count. Shards are written under another name and moved into place, so a task that runs again does no harm."""
-    spark = docs.sparkSession
+    spark = ids.sparkSession
     make_importable(spark)
     path = new_scratch_path(spark, "pair-counts")
     folder = _local(path)
@@ -238,7 +263,7 @@ def count_pairs(docs: DataFrame, a_file: str, b_file: str, text_col: str = "text
                 n = 0
 
         for rows in batches:
-            for found in aligner.align(rows["text"]):
+            for found in aligner.align(rows["a"], rows["b"]):
                 own = [np.unique(x) for x in np.split(found.keys, found.link_ends[:-1])]
                 waiting += own
                 n += sum(map(len, own))
@@ -281,7 +306,7 @@ def count_pairs(docs: DataFrame, a_file: str, b_file: str, text_col: str = "text
             os.replace(f"{begun}.{what}", f"{folder}/{name}.{what}")
         yield pd.DataFrame({"first": first, "name": name, "a": list(best), "best": list(best.values())})
 
-    counted = settle(docs.select(F.col(f"`{text_col}`").alias("text")).mapInPandas(partial, "key long, n long"), "pair-partials")
+    counted = settle(ids.select("a", "b").mapInPandas(partial, "key long, n long"), "pair-partials")
     parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
     in_order = counted.repartitionByRange(parts, "key").sortWithinPartitions("key")
     made = settle(in_order.mapInPandas(shards, "first long, name string, a long, best long"), "pair-shards")
@@ -297,7 +322,8 @@ def align(docs: DataFrame, a_file: str, b_file: str, id_col: str = "doc_id", tex
     Repeated rows count as documents of their own, null ids stay, other columns are ignored. An empty table gives an empty result. The driver
     holds each first id's highest count and the shards' first keys, which the vocabulary and the number of partitions bound.
     """
-    path, shards, best = count_pairs(docs, a_file, b_file, text_col)
+    encoded_docs = encoded(docs, a_file, b_file, id_col, text_col)
+    path, shards, best = count_pairs(encoded_docs, a_file, b_file)
     spark = docs.sparkSession
     highest = best.toPandas()
     top = np.zeros(int(highest["a"].max()) + 1 if len(highest) else 0, dtype=np.int64)
@@ -306,13 +332,13 @@ def align(docs: DataFrame, a_file: str, b_file: str, id_col: str = "doc_id", tex
     names = ["n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum"]
 
     @F.pandas_udf(", ".join(f"{n} long" for n in names) + ", groups_sha256 string" + ", groups string" * with_groups)
-    def measure(parts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+    def measure(parts: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
         aligner = Aligner.of(a_file, b_file)
         listed, top = shared.value
         counts = Counts.of(folder, listed)
-        for texts in parts:
+        for a, b in parts:
             out = []
-            for found in aligner.align(texts):
+            for found in aligner.align(a, b):
                 distinct, where = np.unique(found.keys, return_inverse=True)
                 n = counts(distinct)[where]
                 best = n == top[found.keys >> SHIFT]
@@ -325,7 +351,7 @@ def align(docs: DataFrame, a_file: str, b_file: str, id_col: str = "doc_id", tex
             yield pd.concat(out) if out else pd.DataFrame([], columns=[*names, "groups_sha256", *(["groups"] * with_groups)])
         give_back()
 
-    told = docs.select(F.col(f"`{id_col}`").alias("doc_id"), measure(F.col(f"`{text_col}`")).alias("m"))
+    told = encoded_docs.select("doc_id", measure(F.col("a"), F.col("b")).alias("m"))
     return told.select("doc_id", *[F.col(f"m.{n}").alias(n) for n in [*names, "groups_sha256", *(["groups"] * with_groups)]])
 
 
