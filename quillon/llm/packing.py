@@ -260,8 +260,9 @@ _TIED = re.compile(r"[.,](?<=[^\w\s][.,]|_[.,]) ")
 
 
 def _plain(text: str) -> bool:
-    """Commas and full stops may be parted from what is before them, and lower() goes letter by letter; no special token's start."""
-    return not ("\u03a3" in text or "<|" in text or _TIED.search(text)) and (text.isascii() or is_normalized("NFC", text))
+    """Commas and full stops may be parted from what is before them, and lower() goes letter by letter, one for one (a dotted capital I becomes two, of which the
+    second is tied to what follows); no special token's start."""
+    return not ("\u03a3" in text or "\u0130" in text or "<|" in text or _TIED.search(text)) and (text.isascii() or is_normalized("NFC", text))
 
 
 class ChunkEncoder:

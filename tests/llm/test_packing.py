@@ -19,6 +19,11 @@ def test_ids_are_the_tokenizers(text):
     assert packing.ChunkEncoder.of(FILE).encode(text).tolist() == PLAIN.encode(text, add_special_tokens=False).ids
 
 
+@pytest.mark.parametrize("text", ["VALİ, TÜRKİYE", "TARİHİ. Sonra", "İ, İ. İ", "ışık, İYİ. i̇, x"])
+def test_dotted_capitals_keep_their_dots(text):
+    assert packing.ChunkEncoder.of(FILE).encode(text).tolist() == PLAIN.encode(text, add_special_tokens=False).ids
+
+
 @pytest.mark.parametrize("text", ["see _word_, then", "a snake_. Next", "__init__, _x_. Größe_, ß_. end", "a_,", "_. "])
 def test_underscores_are_marks(text):
     assert packing.ChunkEncoder.of(FILE).encode(text).tolist() == PLAIN.encode(text, add_special_tokens=False).ids
