@@ -36,7 +36,7 @@ BASE_RULES = (
 #: The method's own: signed web tokens, and private keys to their last line; without one, what follows the first line and may be a key.
 EXTRA_RULES = (
     Rule("jwt", r"eyJ[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{10,}", r"eyJ[A-Za-z0-9_-]{10,}\."),
-    Rule("pem", r"-----BEGIN [A-Z ]{0,40}PRIVATE KEY-----(?:(?s:.{0,20000}?)-----END [A-Z ]{0,40}PRIVATE KEY-----|[A-Za-z0-9+/=\x20\x09-\x0D]*)", r"PRIVATE KEY-----", version=2),
+    Rule("pem", r"-----BEGIN [A-Z ]{0,40}PRIVATE KEY-----(?:(?s:.*?)-----END [A-Z ]{0,40}PRIVATE KEY-----|[A-Za-z0-9+/=\x20\x09-\x0D]*)", r"PRIVATE KEY-----", version=3),
 )
 ALL_RULES = BASE_RULES + EXTRA_RULES
 LEDGER = "blob string, kind string, version int, spans array<struct<start:int,end:int>>"
@@ -122,6 +122,7 @@ def secret_findings(versions: DataFrame, ledger_path: str | None = None, text_co
     number = F.array_position(F.array(*[F.lit(r.kind) for r in rules]), F.col("kind")).cast("int")
     hits = (
         ledger.filter(now & (F.size("spans") > 0))
+        .dropDuplicates(["blob", "kind", "version"])  # two runs at once may both have appended a pair
         .withColumn("kind_no", number)
         .select("blob", F.transform("spans", lambda s: F.struct(s["start"].alias("start"), F.col("kind_no").alias("kind_no"), s["end"].alias("end"), F.col("kind").alias("kind"))).alias("found"))
         .groupBy("blob")
