@@ -17,8 +17,9 @@ from pyspark.sql import functions as F
 
 from .common import give_back, make_importable, table
 
-#: Bounds of the model: labelled documents a language, characters of each, characters a language, pieces of a text that is cut.
-DOCS_PER_LANG, CHARS_PER_DOC, CHARS_PER_LANG, PIECES = 64, 1_500, 24_000, 4
+#: Bounds of the model: labelled documents a language, characters that these have together (beyond it no further document is taken; each is learned whole), and
+#: languages, of which more are an error.
+DOCS_PER_LANG, CHARS_PER_LANG, MAX_LANGS = 64, 32_000, 1_000
 #: The parse starts afresh every so many symbols, so that a batch's texts advance side by side: one phrase more at most.
 BLOCK = 512
 #: Symbols of a byte: what is no letter, digits, and the letters that are frequent in the labelled texts. Other letters are spelt by SPELT digits of
@@ -76,8 +77,7 @@ class CrossParser:
 
     @classmethod
     def fit(cls, labelled: list[tuple[str, str]]) -> CrossParser:
-        """labelled: (lang, text) pairs; a language's texts are joined in the given order. Where they have more than
-        CHARS_PER_LANG symbols, all of them share these, each by pieces from across it."""
+        """labelled: (lang, text) pairs; a language's whole texts are joined in the given order."""
         texts: dict[str, list[str]] = {}
         for lang, text in labelled:
             texts.setdefault(lang, []).append(text.lower())
@@ -95,7 +95,7 @@ class CrossParser:
         rows, starts, bits, base = [], [], [], 0
         local = np.zeros((len(texts), 256), dtype=np.int32)  # number 0: a symbol that the language's text lacks
         for n, lang in enumerate(sorted(texts)):
-            symbols = squeezed(_shared([codes_of(t + " ", code) for t in texts[lang]], CHARS_PER_LANG))[:-1].tolist()
+            symbols = squeezed(np.concatenate([codes_of(t + " ", code) for t in texts[lang]]))[:-1].tolist()
             here = sorted(set(symbols))
             local[n, here], local[n, end], width = np.arange(1, len(here) + 1), len(here) + 1, len(here) + 2
             follow = suffix_automaton(local[n, symbols].tolist())
@@ -158,25 +158,6 @@ def codes_of(text: str, code: np.ndarray) -> np.ndarray:
     return out
 
 
-def _shared(texts: list[np.ndarray], budget: int) -> np.ndarray:
-    """The texts in a row; beyond ``budget`` symbols long ones are cut to an equal share, by PIECES pieces from across them."""
-    texts = [squeezed(t) for t in texts]
-    left, share = budget, {}
-    for k, i in enumerate(sorted(range(len(texts)), key=lambda i: len(texts[i]))):
-        share[i] = min(len(texts[i]), left // (len(texts) - k))
-        left -= share[i]
-    out = []
-    for i, t in enumerate(texts):
-        if share[i] == len(t):
-            out.append(t)
-            continue
-        size = max(1, share[i] // PIECES)
-        for k in range(min(PIECES, share[i])):
-            at = k * (len(t) - size) // (PIECES - 1)
-            out += [t[at : at + size - 1], np.zeros(1, t.dtype)]  # SPACE parts the pieces
-    return np.concatenate(out)
-
-
 def squeezed(codes: np.ndarray) -> np.ndarray:
     """Runs of non-letters become one."""
     if not len(codes):
@@ -191,22 +172,27 @@ def bucket(id_col: str = "doc_id") -> F.Column:
     return F.crc32(F.col(id_col).cast("string").cast("binary")) % 5
 
 
-def training_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", docs_per_lang: int = DOCS_PER_LANG) -> list[tuple[str, str]]:
-    """The bounded labelled sample: of each language the ``docs_per_lang`` documents with the smallest hash of the id, from
-    those outside the held-out fifth, CHARS_PER_DOC characters of each by PIECES pieces from across it. All languages."""
-    size = CHARS_PER_DOC // PIECES
-    piece = lambda k: F.substr(text_col, F.floor((F.length(text_col) - size) * k / (PIECES - 1)).cast("int") + 1, F.lit(size))
-    cut = F.when(F.length(text_col) <= CHARS_PER_DOC, F.col(text_col)).otherwise(F.concat_ws(" ", *[piece(k) for k in range(PIECES)]))
-    order = Window.partitionBy("lang").orderBy(F.xxhash64("id"), "id", "text")
+def training_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", docs_per_lang: int = DOCS_PER_LANG, chars: int = CHARS_PER_LANG) -> list[tuple[str, str]]:
+    """The bounded labelled sample, whole texts of all languages: of each language documents outside the held-out fifth in order of a hash of the id, up to
+    ``docs_per_lang`` of them and ``chars`` characters in all. Documents longer than that serve only a language that has no others, by the shortest one.
+    More than MAX_LANGS languages are an error, as the driver fits each."""
+    long_ = F.length(text_col) > chars
+    order = Window.partitionBy("lang").orderBy("long", "size", F.xxhash64("id"), "id", "text")
     rows = (
         docs.filter((bucket(id_col) != 0) & F.col(lang_col).isNotNull() & F.col(text_col).rlike(r"\p{L}"))
-        .select(F.col(lang_col).alias("lang"), F.col(id_col).alias("id"), cut.alias("text"))
+        .select(F.col(lang_col).alias("lang"), F.col(id_col).alias("id"), F.col(text_col).alias("text"), long_.alias("long"), F.when(long_, F.length(text_col)).alias("size"))
         .withColumn("k", F.row_number().over(order))
-        .filter(F.col("k") <= docs_per_lang)
-        .orderBy("lang", "k")
-        .collect()
+        .filter((F.col("k") <= docs_per_lang) & (~F.col("long") | (F.col("k") == 1)))
     )
-    return [(r.lang, r.text) for r in rows]
+    some = rows.select("lang").distinct().limit(MAX_LANGS + 1).count()
+    if some > MAX_LANGS:
+        raise ValueError(f"more than {MAX_LANGS} languages are labelled")
+    out, used = [], {}
+    for r in rows.orderBy("lang", "k").select("lang", "text").toLocalIterator():
+        used[r.lang] = used.get(r.lang, 0) + len(r.text)
+        if used[r.lang] <= chars or used[r.lang] == len(r.text):
+            out.append((r.lang, r.text))
+    return out
 
 
 def identify(docs: DataFrame, parser: CrossParser, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

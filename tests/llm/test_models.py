@@ -1,6 +1,7 @@
 import zlib
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from quillon.llm import langid, multi_index, toxicity
@@ -59,8 +60,21 @@ def test_all_chosen_documents_are_learned():
 def test_no_language_is_left_out(spark):
     docs = spark.range(70 * 100).selectExpr("id AS doc_id", "concat('l', lpad(id % 70, 2, '0')) AS lang", "concat('head', repeat('-', 2000), 'tail') AS text")
     rows = langid.training_rows(docs)
-    assert len({lang for lang, _ in rows}) == 70 and len(rows) == 70 * langid.DOCS_PER_LANG
-    assert all(len(t) <= langid.CHARS_PER_DOC + langid.PIECES - 1 and t.startswith("head") and t.endswith("tail") for _, t in rows)
+    assert len({lang for lang, _ in rows}) == 70 and len(rows) == 70 * (langid.CHARS_PER_LANG // 2_008)
+    assert all(len(t) == 2_008 for _, t in rows)
+
+
+def test_documents_are_learned_whole_and_languages_bounded(spark, monkeypatch):
+    long = "x" * (langid.CHARS_PER_LANG + 1)
+    docs = [(i, "a", "aa bb") for i in range(1, 90)] + [(100, "a", long), (101, "b", long + "yy"), (102, "b", long + "y"), (103, "b", long + "yyy"), (104, "c", "12"), (105, None, "no")]
+    docs = [d for d in docs if zlib.crc32(str(d[0]).encode()) % 5]
+    rows = langid.training_rows(spark.createDataFrame(docs, "doc_id long, lang string, text string"))
+    assert [t for lang, t in rows if lang == "a"] == ["aa bb"] * 64
+    assert [t for lang, t in rows if lang == "b"] == [min((t for _, lang, t in docs if lang == "b"), key=len)]
+    assert {lang for lang, _ in rows} == {"a", "b"}
+    monkeypatch.setattr(langid, "MAX_LANGS", 1)
+    with pytest.raises(ValueError):
+        langid.training_rows(spark.createDataFrame(docs, "doc_id long, lang string, text string"))
 
 
 def test_language_odd_rows(spark, odd, none):
