@@ -8,162 +8,78 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.vectors import dot, norm
-
-# Density clustering, samples for naming, areas of figures.
-MIN_SIZE, MIN_SAMPLES, DIMS, NOISE, SAMPLES, SAMPLE_CHARS = 5, 3, 5, -1, 3, 300
-#: Points of a box, and boxes looked at together.
-LEAF, SOME = 64, 16
+from . import hierarchy
+from .hierarchy import NOISE
+from .search import usable
+
+# Axes that topics are looked for on, samples for naming, areas of figures.
+DIMS, SAMPLES, SAMPLE_CHARS = 5, 3, 300
+#: Stands for a null group.
+NO_GROUP = "\x00"
 AREA_LOW, AREA_HIGH, EQUATION_AREA, TABLE_ASPECT = 0.02, 0.85, 0.05, 3.0
 
 
-def density_labels(x: np.ndarray, min_size: int = MIN_SIZE, min_samples: int = MIN_SAMPLES, dims: int = DIMS) -> np.ndarray:
-    """Labels of density clusters of unit vectors on their leading principal axes; -1 is noise, also for under min_size vectors.
+def principal(chunks: DataFrame, group: str, id_col: str, vec_col: str, dims: int = DIMS, most: int = 2_000) -> DataFrame:
+    """g, id, p: the unit vectors of each group on its ``dims`` leading principal axes, each turned so that its largest component is positive.
 
-    Core points have min_samples neighbours within the median min_samples-th neighbour distance; cores that are neighbours share a
-    cluster, others join their nearest core in reach; clusters under min_size are noise.
-    """
-    if len(x) < min_size:
-        return np.full(len(x), NOISE)
-    x = x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
-    x = x - x.mean(axis=0)
-    _, _, axes = np.linalg.svd(x, full_matrices=False)
-    return point_labels(x @ axes[: min(dims, len(axes))].T, min_size, min_samples)
-
-
-def point_labels(p: np.ndarray, min_size: int = MIN_SIZE, min_samples: int = MIN_SAMPLES, leaf: int = LEAF) -> np.ndarray:
-    """density_labels of points that are projected already. Exact for any number: points lie in boxes of ``leaf`` at most, and
-    a box is compared a few boxes at a time with those that are near enough, so memory is bounded by the points."""
-    n = len(p)
-    if n < min_size:
-        return np.full(n, NOISE)
-    boxes = _boxes(p, leaf)
-    low, high = np.stack([p[b].min(axis=0) for b in boxes]), np.stack([p[b].max(axis=0) for b in boxes])
-    k = min(min_samples, n - 1)
-
-    def around(a: int) -> tuple[np.ndarray, np.ndarray]:
-        """The boxes from the nearest on, and how far they are from box a; rounded down, as no near point may be missed."""
-        gap = np.sqrt((np.maximum(0, np.maximum(low - high[a], low[a] - high)) ** 2).sum(axis=1)) * (1 - 1e-9)
-        order = np.argsort(gap, kind="stable")
-        return order, gap[order]
-
-    kth = np.empty(n)
-    for a, own in enumerate(boxes):
-        order, gap = around(a)
-        best = np.full((len(own), k + 1), np.inf)
-        for at in range(0, len(order), SOME):
-            if gap[at] > best[:, k].max():
-                break
-            others = np.concatenate([boxes[b] for b in order[at : at + SOME]])
-            best = np.partition(np.concatenate([best, _distances(p[own], p[others])], axis=1), k, axis=1)[:, : k + 1]
-            best.sort(axis=1)
-        kth[own] = best[:, k]
-    reach = np.median(kth)
-    core = (kth <= reach) & (n > min_samples)
-
-    parent = np.arange(n)  # of each core; roots are the smallest row of their cluster
-
-    def roots(x: np.ndarray) -> np.ndarray:
-        while (parent[x] != x).any():
-            parent[x] = parent[parent[x]]
-            x = parent[x]
-        return x
-
-    nearest, nearest_at = np.full(n, np.inf), np.full(n, n)
-    for a, own in enumerate(boxes):
-        order, gap = around(a)
-        order = order[gap <= reach]
-        for at in range(0, len(order), SOME):
-            others = np.sort(np.concatenate([boxes[b] for b in order[at : at + SOME]]))
-            others = others[core[others]]
-            if not len(others):
-                continue
-            d = _distances(p[own], p[others])
-            hit = (d <= reach).any(axis=1)
-            for i, row in zip(own[hit], d[hit], strict=True):
-                if core[i]:
-                    linked = np.unique(roots(np.append(others[row <= reach], i)))
-                    parent[linked] = linked[0]
-                else:
-                    j = row.argmin()
-                    if (row[j], others[j]) < (nearest[i], nearest_at[i]):
-                        nearest[i], nearest_at[i] = row[j], others[j]
-    labels = np.full(n, NOISE)
-    cores, border = np.flatnonzero(core), np.flatnonzero(nearest_at < n)
-    labels[cores] = np.unique(roots(cores), return_inverse=True)[1]
-    labels[border] = labels[nearest_at[border]]
-    sizes = np.bincount(labels[labels >= 0])
-    keep = np.full(len(sizes) + 1, NOISE)  # the last stands for noise
-    kept = np.flatnonzero(sizes >= min_size)
-    keep[kept] = np.arange(len(kept))
-    return keep[labels]
-
-
-def _boxes(p: np.ndarray, leaf: int) -> list[np.ndarray]:
-    """Row numbers by box: halves along the widest side until none has more than ``leaf``."""
-    out, todo = [], [np.arange(len(p))]
-    while todo:
-        rows = todo.pop()
-        if len(rows) <= leaf:
-            out.append(rows)
-            continue
-        side = np.ptp(p[rows], axis=0).argmax()
-        order = np.argpartition(p[rows, side], len(rows) // 2)
-        todo += [rows[order[: len(rows) // 2]], rows[order[len(rows) // 2 :]]]
-    return out
-
-
-def _distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    total = np.zeros((len(a), len(b)))
-    for x, y in zip(a.T, b.T, strict=True):
-        total += (x[:, None] - y[None]) ** 2
-    return np.sqrt(total)
-
-
-def topic_clusters(chunks: DataFrame, group: str, id_col: str, vec_col: str, most: int = 2_000) -> DataFrame:
-    """group, id, topic_id, topic_name: clusters of each group's vectors (a document's chunks).
-
-    A task holds at most ``most`` vectors of a group: the principal axes of larger groups come from sums over parts, and one
-    task then holds the group's points on these axes alone. The clusters are the same either way.
+    A task holds at most ``most`` vectors of a group: the axes of larger groups come from sums over parts. Vectors that are null or zero, hold null or
+    non-finite components, or have another length than the commonest take no part.
     """
-    rows = chunks.select(F.col(group).alias("g"), F.col(id_col).cast("long").alias("id"), F.col(vec_col).cast("array<double>").alias("v")).filter(F.col("v").isNotNull())
-    sizes = rows.groupBy("g").agg(F.count(F.lit(1)).alias("n"))
-    rows = rows.join(sizes, "g")
+    v = F.col(vec_col).cast("array<double>")
+    rows = chunks.select(F.coalesce(F.col(group).cast("string"), F.lit(NO_GROUP)).alias("g"), F.col(id_col).cast("long").alias("id"), v.alias("v"))
+    rows = rows.filter(F.col("id").isNotNull() & usable(F.col("v"))).dropDuplicates(["g", "id"])
+    size = rows.groupBy(F.size("v").alias("d")).count().orderBy(F.desc("count"), "d").first()
+    rows = rows.filter(F.size("v") == (size.d if size else 0))
+    rows = rows.join(rows.groupBy("g").agg(F.count(F.lit(1)).alias("n")), "g")
     small, large = rows.filter(F.col("n") <= most), rows.filter(F.col("n") > most)
-    g_type = rows.schema["g"].dataType.simpleString()
+
+    def unit(pdf: pd.DataFrame) -> np.ndarray:
+        x = np.stack(pdf["v"].to_numpy())
+        return x / np.linalg.norm(x, axis=1, keepdims=True)
+
+    def turned(axes: np.ndarray) -> np.ndarray:
+        return axes * np.where(np.take_along_axis(axes, np.abs(axes).argmax(axis=1)[:, None], 1) < 0, -1, 1)
 
     def whole(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("id")
-        return _topics(pdf, density_labels(np.stack(pdf["v"].to_numpy())))
+        x = unit(pdf)
+        x = x - x.mean(axis=0)
+        axes = turned(np.linalg.svd(x, full_matrices=False)[2][:dims])
+        return pd.DataFrame({"g": pdf["g"], "id": pdf["id"], "p": list(x @ axes.T)})
 
     def sums(pdf: pd.DataFrame) -> pd.DataFrame:
-        x = np.stack(pdf["v"].to_numpy())
-        x = x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
+        x = unit(pdf)
         return pd.DataFrame({"g": pdf["g"].iloc[:1], "n": [len(x)], "s": [x.sum(axis=0)], "ss": [(x.T @ x).ravel()]})
 
     def axes(pdf: pd.DataFrame) -> pd.DataFrame:
         n, s = pdf["n"].sum(), np.sum(pdf["s"].to_list(), axis=0)
         spread = np.sum(pdf["ss"].to_list(), axis=0).reshape(len(s), len(s)) - np.outer(s, s) / n
-        found = np.linalg.eigh(spread)[1][:, ::-1].T[:DIMS]
-        found = np.concatenate([found, np.zeros((DIMS - len(found), len(s)))])
-        return pd.DataFrame({"g": pdf["g"].iloc[:1]} | {f"a{k}": [a] for k, a in enumerate(found)})
-
-    def points(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("id")
-        return _topics(pdf, point_labels(pdf[[f"p{k}" for k in range(DIMS)]].to_numpy()))
+        found = turned(np.linalg.eigh(spread)[1][:, ::-1].T[:dims])
+        return pd.DataFrame({"g": pdf["g"].iloc[:1], "mean": [s / n], "axes": [list(found)]})
 
     parts = large.withColumn("part", F.pmod(F.xxhash64("id"), F.ceil(F.col("n") / most))).groupBy("g", "part")
-    summed = parts.applyInPandas(sums, f"g {g_type}, n long, s array<double>, ss array<double>")
-    found = summed.groupBy("g").applyInPandas(axes, f"g {g_type}, " + ", ".join(f"a{k} array<double>" for k in range(DIMS)))
-    size = F.greatest(norm(F.col("v")), F.lit(1e-12))
-    projected = large.join(found, "g").select("g", "id", *[(dot(F.col("v"), F.col(f"a{k}")) / size).alias(f"p{k}") for k in range(DIMS)])
-
-    schema = "g string, id long, topic_id int"
-    out = small.groupBy("g").applyInPandas(whole, schema).unionByName(projected.groupBy("g").applyInPandas(points, schema))
-    return out.select(F.col("g").alias("grp"), "id", "topic_id", F.concat(F.lit("topic_"), F.col("topic_id").cast("string")).alias("topic_name"))
-
-
-def _topics(pdf: pd.DataFrame, labels: np.ndarray) -> pd.DataFrame:
-    return pd.DataFrame({"g": pdf["g"].astype(str), "id": pdf["id"], "topic_id": labels.astype("int32")})
+    summed = parts.applyInPandas(sums, "g string, n long, s array<double>, ss array<double>")
+    found = summed.groupBy("g").applyInPandas(axes, "g string, mean array<double>, axes array<array<double>>")
+    own = F.transform("v", lambda c: c / norm(F.col("v")))
+    centred = F.zip_with(own, "mean", lambda c, m: c - m)
+    projected = large.join(found, "g").select("g", "id", centred.alias("c"), "axes").select("g", "id", F.transform("axes", lambda a: dot(F.col("c"), a)).alias("p"))
+    return small.groupBy("g").applyInPandas(whole, "g string, id long, p array<double>").unionByName(projected)
+
+
+def topic_clusters(chunks: DataFrame, group: str, id_col: str, vec_col: str, most: int = 2_000, edges: int = hierarchy.EDGES) -> DataFrame:
+    """grp, id, topic_id, topic_name, x, y: the density topics of each group's vectors (a document's chunks) on their leading axes, and a layout of them in the
+    plane. -1 is noise, as are all vectors of groups under MIN_SIZE. Odd rows as in principal and density_topics."""
+    points = hierarchy.kept(principal(chunks, group, id_col, vec_col, most=most), "principal")
+    near = hierarchy.kept(hierarchy.neighbours(points, hierarchy.NEIGHBOURS, most), "near")
+    labels, _ = hierarchy.density_topics(points, block=most, most=edges, near=near)
+    out = labels.join(hierarchy.layout(points, near), ["g", "id"])
+    return out.select(F.nullif("g", F.lit(NO_GROUP)).alias("grp"), "id", "topic_id", F.concat(F.lit("topic_"), F.col("topic_id").cast("string")).alias("topic_name"), "x", "y")
+
+
+def topic_tree(chunks: DataFrame, group: str, id_col: str, vec_col: str, most: int = 2_000, edges: int = hierarchy.EDGES) -> DataFrame:
+    """grp, cluster, within, size, stability, topic_id: every cluster of the density hierarchy, with the one that it is in."""
+    _, clusters = hierarchy.density_topics(principal(chunks, group, id_col, vec_col, most=most), block=most, most=edges)
+    return clusters.withColumn("g", F.nullif("g", F.lit(NO_GROUP))).withColumnRenamed("g", "grp")
 
 
 def cluster_stats(rows: DataFrame, label: str, by: list[str] | None = None) -> DataFrame:

@@ -36,10 +36,23 @@ def scratch_dir(spark: SparkSession) -> str:
     return base.rstrip("/")
 
 
+#: Scratch paths that were given out and not deleted yet.
+_given: set[str] = set()
+
+
 def new_scratch_path(spark: SparkSession, name: str) -> str:
-    return f"{scratch_dir(spark)}/quillon-{name}-{uuid.uuid4().hex}"
+    path = f"{scratch_dir(spark)}/quillon-{name}-{uuid.uuid4().hex}"
+    _given.add(path)
+    return path
 
 
 def delete_path(spark: SparkSession, path: str) -> None:
     p = spark._jvm.org.apache.hadoop.fs.Path(path)
     p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+    _given.discard(path)
+
+
+def release(spark: SparkSession) -> None:
+    """Delete all scratch paths that are left: results that were neither written nor collected can't be read any more."""
+    for path in list(_given):
+        delete_path(spark, path)

@@ -165,15 +165,6 @@ def test_cache(spark):
     assert key(" Q\n", ["x", "y"]) == key("q", ["y", "x"]) != key("q", ["x"])
 
 
-def test_topics():
-    rng = np.random.default_rng(0)
-    blobs = np.concatenate([rng.normal(c, 0.01, (12, 8)) for c in np.eye(8)[:3]])
-    labels = cluster.density_labels(blobs)
-    assert len(set(labels[labels >= 0])) == 3
-    assert all(len(set(labels[i : i + 12]) - {-1}) == 1 for i in (0, 12, 24))
-    assert (cluster.density_labels(blobs[:4]) == -1).all()
-
-
 def test_readers(spark, tmp_path):
     p = tmp_path / "raw.jsonl"
     p.write_text('{"id": "1", "title": " a\\nb ", "abstract": "x", "update_date": "1999-01-01"}\n\nnot json\n{"arxiv_id": "2", "journal_ref": "J", "update_date": "2020-01-01"}\n{"title": "no id"}\n')

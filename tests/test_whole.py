@@ -1,8 +1,5 @@
 """Queries over rows that a part of the table, or of a text, doesn't show."""
 
-import numpy as np
-
-from quillon.operators import cluster
 from quillon.plans import catalog
 
 
@@ -28,18 +25,3 @@ def test_long_abstracts_by_their_whole_text(spark, tmp_path):
     spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{d}/documents.parquet")
     got = {r.doc_id: r.n for r in catalog.QUERIES["abstract_filter"](spark, d).collect()}
     assert got == {60: 51, 62: 999}
-
-
-def test_points_in_boxes_cluster_as_in_one():
-    rng = np.random.default_rng(1)
-    p = np.concatenate([rng.normal(0, 1, (600, 5)), rng.normal(3, 0.2, (300, 5)), np.ones((20, 5))])[rng.permutation(920)]
-    assert (cluster.point_labels(p, leaf=8) == cluster.point_labels(p, leaf=1_000)).all()
-
-
-def test_large_groups_are_clustered_whole(spark):
-    rng = np.random.default_rng(0)
-    blobs = [(int(c), k * 4 + c, rng.normal(np.eye(8)[c], 0.01).tolist()) for c in range(3) for k in range(12)]
-    rows = spark.createDataFrame([("a", i, v) for _, i, v in blobs] + [("b", i, v) for c, i, v in blobs if c == 0], "g string, id long, v array<double>")
-    whole = {(r.grp, r.id): r.topic_id for r in cluster.topic_clusters(rows, "g", "id", "v").collect()}
-    assert {(r.grp, r.id): r.topic_id for r in cluster.topic_clusters(rows, "g", "id", "v", most=10).collect()} == whole
-    assert len({t for (g, _), t in whole.items() if g == "a" and t >= 0}) == 3
