@@ -3,10 +3,13 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator, Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+import pandas as pd
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import active_importable
 from .routing_tables import CATCH_ALL, CATEGORIES, KEYWORDS
 
 
@@ -15,35 +18,75 @@ def keyword_table(spark, rows=None) -> DataFrame:
     return spark.createDataFrame(rows or KEYWORDS, "pattern string, ordinal int, collection string, weight double, pair_ordinal int")
 
 
+def literal_factor(pattern: str) -> str:
+    """The longest literal that every match of the regex contains; empty if none is plain to see."""
+    if re.search(r"[|()\[\]{}\\]", pattern):
+        return ""
+    runs = re.split(r"\0", re.sub(r".[?*]|[.^$+]", "\0", pattern))
+    return max(runs, key=len)
+
+
+class Patterns:
+    """One automaton over literal factors of all patterns: a text is read once, and only patterns whose factor it has are searched for."""
+
+    def __init__(self, rows: Sequence[tuple], most: int, share: float, word_bounds: bool):
+        self.most, self.share = most, share
+        self.pairs: dict[str, list[tuple[str, float, int]]] = {}
+        for pattern, ordinal, collection, weight, pair in rows:
+            self.pairs.setdefault(pattern, []).append((collection, float(weight), ordinal * 1000 + pair))
+        self.regex, self.always = {}, []
+        self.factors: dict[str, list[str]] = {}
+        for p in self.pairs:
+            factor = literal_factor(p)
+            if word_bounds or factor != p:
+                self.regex[p] = re.compile(rf"\b(?:{p})\b" if word_bounds else p)
+            (self.factors.setdefault(factor, []) if factor else self.always).append(p)
+
+    def automaton(self):
+        import ahocorasick
+
+        made = ahocorasick.Automaton()
+        for factor, patterns in self.factors.items():
+            made.add_word(factor, patterns)
+        if self.factors:
+            made.make_automaton()
+        return made
+
+    def route(self, text: str, automaton) -> list[tuple[str, float, int]]:
+        """(collection, score, rank) of a lower-cased text."""
+        some = {id(v): v for _, v in automaton.iter(text)}.values() if self.factors else ()
+        found = [p for p in [*self.always, *(p for v in some for p in v)] if p not in self.regex or self.regex[p].search(text)]
+        score: dict[str, float] = {}
+        place: dict[str, int] = {}
+        for collection, weight, at in sorted((x for p in found for x in self.pairs[p]), key=lambda x: x[2]):
+            score[collection] = score.get(collection, 0.0) + weight
+            place.setdefault(collection, at)
+        if not score:
+            return [(CATCH_ALL, 0.0, 1)]
+        least = self.share * max(score.values())
+        ranked = sorted((c for c in score if score[c] >= least), key=lambda c: (-score[c], place[c]))
+        return [(c, score[c], k) for k, c in enumerate(ranked[: self.most], 1)]
+
+
 def route_queries(queries: DataFrame, keywords: list[tuple] | None = None, id_col: str = "query_id", text_col: str = "query", most: int = 3, share: float = 0.5, word_bounds: bool = False) -> DataFrame:
     """query_id, collection, score, rank: patterns found anywhere in the lower-cased query (``word_bounds``: as whole words), weights summed by
     collection, those with ``share`` of the best score at least, ``most`` of them; ties go to the one met first. No
-    match, or a blank query: the catch-all with score 0.
+    match, or a blank query: the catch-all with score 0. Repeated queries are routed each on its own.
 
-    Patterns are literals, a rule set of bounded size, so each query is tested against all of them in one pass without a join.
+    The rule set is of bounded size and goes to all tasks; a query is scored where it is read, so nothing is shuffled.
     """
-    rows = keywords or KEYWORDS
-    text = F.lower(F.coalesce(F.col(text_col), F.lit("")))
-    by_pattern: dict[tuple[int, str], list[tuple]] = {}
-    for pattern, ordinal, collection, weight, pair in rows:
-        by_pattern.setdefault((ordinal, pattern), []).append((collection, weight, pair))
-
-    def hits(t: Column) -> Column:
-        out = []
-        for (ordinal, pattern), pairs in by_pattern.items():
-            made = F.array(*[F.struct(F.lit(c).alias("collection"), F.lit(float(w)).alias("weight"), F.lit(ordinal * 1000 + p).alias("place")) for c, w, p in pairs])
-            plain = not word_bounds and re.fullmatch(r"[\w -]+", pattern)  # a search for bytes is faster than for a regex
-            out.append(F.when(F.contains(t, F.lit(pattern)) if plain else t.rlike(rf"\b(?:{pattern})\b" if word_bounds else pattern), made))
-        return F.flatten(F.filter(F.array(*out), lambda h: h.isNotNull()))
-
-    # a lambda binds the lowered text once; written out, every pattern would lower it again
-    found = F.flatten(F.transform(F.array(text), hits))
-    each = queries.select(F.col(id_col).alias("query_id"), F.explode_outer(found).alias("h"))
-    scored = each.groupBy("query_id", F.coalesce("h.collection", F.lit(CATCH_ALL)).alias("collection")).agg(F.sum(F.coalesce("h.weight", F.lit(0.0))).alias("score"), F.min("h.place").alias("place"))
-    w = Window.partitionBy("query_id")
-    ranked = scored.withColumn("best", F.max("score").over(w)).filter(F.col("score") >= share * F.col("best"))
-    ranked = ranked.withColumn("rank", F.row_number().over(w.orderBy(F.desc("score"), "place"))).filter(F.col("rank") <= most)
-    return ranked.select("query_id", "collection", "score", "rank")
+    active_importable()
+    rules = Patterns(keywords or KEYWORDS, most, share, word_bounds)
+
+    @F.pandas_udf("array<struct<collection:string,score:double,rank:int>>")
+    def routes(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        automaton = rules.automaton()
+        for texts in parts:
+            yield pd.Series([[{"collection": c, "score": s, "rank": k} for c, s, k in rules.route(t, automaton)] for t in texts])
+
+    lowered = F.lower(F.coalesce(F.col(text_col), F.lit("")))
+    each = queries.select(F.col(id_col).alias("query_id"), F.explode(routes(lowered)).alias("r"))
+    return each.select("query_id", "r.collection", "r.score", "r.rank")
 
 
 def route_papers(papers: DataFrame, categories: dict[str, str] | None = None, id_col: str = "paper_id", cat_col: str = "categories") -> DataFrame:

@@ -7,6 +7,7 @@ from functools import reduce
 
 import numpy as np
 import pandas as pd
+import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -70,8 +71,8 @@ def dense_batch(points: DataFrame, queries: DataFrame, k: int, id_col: str = "ve
     """query_id, [grp,] id, score, rank for many queries: exact, matrix products over Arrow batches.
 
     Up to QUERY_BLOCK query vectors go to all tasks, and each keeps k rows a query (and group) of the points that it reads. More queries
-    meet the points block by block, in tasks of bounded size. Null, zero and ragged vectors (of another length than the first query's) take no part; null ids
-    don't either. An empty side gives an empty result.
+    meet the points block by block, in tasks of bounded size. Null, zero and ragged vectors take no part (of another length than the queries', or, where these
+    differ, than most points'); null ids don't either. An empty side gives an empty result.
     """
     spark = points.sparkSession
     make_importable(spark)
@@ -81,7 +82,10 @@ def dense_batch(points: DataFrame, queries: DataFrame, k: int, id_col: str = "ve
     schema = "query_id long, grp string, id long, score double"
     if not len(some):
         return spark.createDataFrame([], schema + ", rank int")
-    dim = len(some["v"].iloc[0])
+    lengths = some["v"].map(len)
+    dim = int(lengths.iloc[0])
+    if lengths.nunique() > 1 and (most := rows.filter(usable(F.col("v"))).groupBy(F.size("v").alias("d")).count().orderBy(F.desc("count"), "d").first()):
+        dim = most.d
     asked = asked.filter(F.size("v") == dim)
     rows = rows.filter(usable(F.col("v")) & (F.size("v") == dim) & F.col("id").isNotNull() & F.col("grp").isNotNull())
 
@@ -148,9 +152,8 @@ def open_index(spark: SparkSession, path: str, schema=None) -> DataFrame:
 
 def listed(index: DataFrame, terms: Sequence[str]) -> DataFrame:
     """The postings of some terms; other buckets aren't read."""
-    spark = index.sparkSession
-    buckets = [r.b for r in spark.createDataFrame([(t,) for t in terms], "t string").select(bucket_of(F.col("t")).alias("b")).distinct().collect()]
-    return index.filter(F.col("bucket").isin(buckets) & F.col("term").isin(list(terms)))
+    buckets = {xxhash.xxh64_intdigest(t.encode(), seed=42) - (1 << 64) * (xxhash.xxh64_intdigest(t.encode(), seed=42) >> 63) for t in terms}
+    return index.filter(F.col("bucket").isin(sorted({b % INDEX_BUCKETS for b in buckets})) & F.col("term").isin(list(terms)))
 
 
 def query_terms(text: str) -> dict[str, float]:
@@ -158,19 +161,22 @@ def query_terms(text: str) -> dict[str, float]:
     return {t: 1.0 + float(np.log(c)) for t, c in counts.items()}
 
 
-def sparse_topk(docs: DataFrame, query: str, k: int, id_col: str = "doc_id", text_col: str = "text", keep: Sequence[str] = (), index: DataFrame | None = None) -> DataFrame:
-    """id, score, rank: sum of products over shared terms; documents that share none are absent. With an index, texts aren't read."""
-    return top(sparse_scores(docs, query, id_col, text_col, keep, index), k)
+def sparse_topk(docs: DataFrame, query: str, k: int, id_col: str = "doc_id", text_col: str = "text", keep: Sequence[str] = (), index: DataFrame | None = None, all_docs: bool = False) -> DataFrame:
+    """id, score, rank: sum of products over shared terms; documents that share none are absent. With an index, texts aren't read; where ``all_docs`` of it are
+    meant, docs aren't either."""
+    return top(sparse_scores(docs, query, id_col, text_col, keep, index, all_docs), k)
 
 
-def sparse_scores(docs: DataFrame, query: str, id_col: str = "doc_id", text_col: str = "text", keep: Sequence[str] = (), index: DataFrame | None = None) -> DataFrame:
+def sparse_scores(docs: DataFrame, query: str, id_col: str = "doc_id", text_col: str = "text", keep: Sequence[str] = (), index: DataFrame | None = None, all_docs: bool = False) -> DataFrame:
     asked = query_terms(query)
     if not asked:
         return docs.select(F.col(id_col).alias("id"), *keep, F.lit(0.0).alias("score")).limit(0)
     if index is None:
         found = postings(docs, id_col, text_col, list(asked), keep)
     else:
-        found = listed(index, list(asked)).select("id", "term", "weight").join(docs.select(F.col(id_col).alias("id"), *keep), "id")
+        found = listed(index, list(asked)).select("id", "term", "weight")
+        if keep or not all_docs:
+            found = found.join(docs.select(F.col(id_col).alias("id"), *keep), "id")
     weight = F.create_map(*[x for t, w in asked.items() for x in (F.lit(t), F.lit(w))])
     return found.groupBy("id", *keep).agg(F.round(F.sum(F.col("weight") * weight[F.col("term")]), RANK_PLACES).alias("score"))
 
@@ -200,10 +206,23 @@ def rrf_payload(lists: Sequence[DataFrame], payload: str, last: bool = False, k:
 def hybrid(points: DataFrame, docs: DataFrame, query_vec: Sequence[float], query: str, n: int, condition: Column | None = None, inner_k: int = INNER_K, index: DataFrame | None = None) -> DataFrame:
     """id, score, rank: filtered dense and sparse legs of max(n, LEG_LIMIT) rows each, fused, the n best."""
     leg = max(n, LEG_LIMIT)
-    dense, sparse = dense_topk(filtered(points, condition), query_vec, leg), sparse_topk(filtered(docs, condition), query, leg, index=index)
+    dense, sparse = dense_topk(filtered(points, condition), query_vec, leg), sparse_topk(filtered(docs, condition), query, leg, index=index, all_docs=condition is None)
     return top(rrf([dense, sparse], inner_k), n)
 
 
+def hybrid_batch(points: DataFrame, docs: DataFrame, index: DataFrame, queries: DataFrame, n: int, condition: Column | None = None, inner_k: int = INNER_K, id_col: str = "vec_id", vec_col: str = "embedding", doc_id: str = "doc_id") -> DataFrame:
+    """query_id, id, score, rank: hybrid for many queries (query_id, q, v), each over the points and documents that the condition lets through. A query
+    without a usable vector has its sparse leg only."""
+    leg = max(n, LEG_LIMIT)
+    dense = dense_batch(filtered(points, condition), queries, leg, id_col, vec_col, q_vec="v")
+    scored = sparse_batch(index, queries)
+    if condition is not None:
+        scored = scored.join(filtered(docs, condition).select(F.col(doc_id).alias("id")), "id", "left_semi")
+    sparse = rank_by(scored, "score", "id", ["query_id"]).filter(F.col("rank") <= leg)
+    fused = rrf([dense, sparse], inner_k, parts=["query_id"])
+    return shown(rank_by(fused, "score", "id", ["query_id"]).filter(F.col("rank") <= n))
+
+
 def hybrid_collections(points: DataFrame, index: DataFrame, members: DataFrame, queries: DataFrame, n: int, inner_k: int = INNER_K, k: int = RRF_K, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
     """query_id, id, score, rank for many queries (query_id, q, v) over many collections (members: collection, id): in each collection a
     dense and a sparse leg of max(n, LEG_LIMIT) rows, fused, the n best; these lists are fused again. A query that found something in one collection
