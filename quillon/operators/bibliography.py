@@ -95,13 +95,43 @@ def derived_urls(pmcid: Column, doi: Column, base: str = "https://example.org/pm
     return F.coalesce(F.concat(F.lit(base), there(pmcid)), F.concat(F.lit(resolver), there(doi)))
 
 
+def plain_title(c: Column) -> Column:
+    return F.lower(F.trim(F.regexp_replace(c, r"\s+", " ")))
+
+
 def by_title(papers: DataFrame, title: Column, most: int = 1, col: str = "title", id_col: str = "paper_id") -> DataFrame:
-    """Papers whose title has the given one in it, in any case and spacing; the shortest titles first, ``most`` of them."""
-    plain = lambda c: F.lower(F.trim(F.regexp_replace(c, r"\s+", " ")))
-    hits = papers.filter(F.contains(plain(F.col(col)), plain(title)) & (plain(title) != ""))
+    """Papers whose title has the given one in it, in any case and spacing; the shortest titles first, ``most`` of them. One scan; see titles_within for many."""
+    hits = papers.filter(F.contains(plain_title(F.col(col)), plain_title(title)) & (plain_title(title) != ""))
     return hits.orderBy(F.length(col), id_col).limit(most)
 
 
+def _grams(c: Column, n: int | Column) -> Column:
+    """Distinct parts of n characters; none of shorter text."""
+    last = F.length(c) - n + 1
+    return F.when(last > 0, F.array_distinct(F.transform(F.sequence(F.lit(1), last), lambda i: F.substr(c, i, F.lit(n) if isinstance(n, int) else n)))).otherwise(F.array().cast("array<string>"))
+
+
+def title_index(papers: DataFrame, col: str = "title", id_col: str = "paper_id") -> DataFrame:
+    """id, title, gram: a row for each distinct part of one to three characters of each title, plain; to be stored where it is asked often."""
+    t = papers.select(F.col(id_col).alias("id"), plain_title(F.col(col)).alias("title")).filter("title <> ''")
+    return t.select("id", "title", F.explode(F.concat(*[_grams(F.col("title"), n) for n in (1, 2, 3)])).alias("gram"))
+
+
+def titles_within(index: DataFrame, wanted: DataFrame, most: int = 1, title: str = "title") -> DataFrame:
+    """wanted, id, rank: of every distinct wanted title those indexed titles that have it in them, the shortest first, ``most`` of them.
+
+    A wanted title is looked up by the rarest of its parts of three characters (shorter titles by themselves), and only what has that part is compared, so
+    no pair of titles meets without sharing it. Wanted titles that are null or blank find nothing.
+    """
+    asked = wanted.select(plain_title(F.col(title)).alias("wanted")).filter("wanted <> ''").distinct()
+    parts = asked.select("wanted", F.explode(_grams(F.col("wanted"), F.least(F.lit(3), F.length("wanted")))).alias("gram"))
+    counts = index.groupBy("gram").agg(F.count(F.lit(1)).alias("n"))
+    rarest = parts.join(counts, "gram", "left").groupBy("wanted").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "gram")).alias("r")).filter("r.n > 0").select("wanted", "r.gram")
+    hits = index.join(rarest, "gram").filter(F.contains("title", F.col("wanted")))
+    w = Window.partitionBy("wanted").orderBy(F.length("title"), "id")
+    return hits.select("wanted", "id", F.row_number().over(w).alias("rank")).filter(F.col("rank") <= most)
+
+
 def open_access(references: DataFrame, lookup: DataFrame, doi: str = "doi") -> DataFrame:
     """References with found_url, by DOI in any case: the best place's PDF, else its page, else empty. lookup(doi, pdf_url, url); of
     several rows of a DOI the first in that order counts."""

@@ -15,8 +15,9 @@ def cache_key(query: Column, collections: Column, extra: Column, prefix: str = "
 
 
 def lookup(requests: DataFrame, entries: DataFrame, now: str = "now", key: str = "key") -> DataFrame:
-    """Requests with ``value`` and ``hit``: the entry of the key that hasn't expired at the request's time, the last written (of several
-    written at once the largest value). Entries without an expiry live on; a null key hits nothing; repeated requests stay.
+    """Requests with ``value`` and ``hit``: the last entry of the key that was written by the request's time (of several written at once the one that
+    lives longest, then the largest value), if it hasn't expired: a write takes the place of what was there, so an older entry isn't found even if it
+    would have lived longer. Entries without an expiry live on; a null key hits nothing; repeated requests stay.
 
     Requests and entries of a key are put in order of time, writes before requests, so each request sees the last write before it and no request meets all
     entries of its key.

@@ -1,44 +1,76 @@
-"""Link and citation graphs: breadth-first levels with a visited set, top references of a source."""
+"""Link and citation graphs: breadth-first levels and expansions that go on where they stopped, top references of a source."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StructField, StructType
 
-from ..session import scratch_dir
+from ..session import new_scratch_path
 
 # Where a reference can be had, in order of preference.
 SOURCES = ("arxiv", "unpaywall", "none")
 
 
-def levels(edges: DataFrame, seeds: DataFrame, depth: int = -1, src: str = "src", dst: str = "dst") -> DataFrame:
+def levels(edges: DataFrame, seeds: DataFrame, depth: int = -1, src: str = "src", dst: str = "dst", path: str | None = None) -> DataFrame:
     """node, level: each node at the level it is first reached. depth -1: until nothing new comes, however many levels; 0: seeds alone.
 
-    One join and one anti-join a level; every few levels the visited set is cut from its lineage by a checkpoint in the
-    shared folder, which jobs of many levels need to survive a lost executor.
+    A level is a table in a folder of its own under ``path`` (None: a scratch folder), which counts as complete once Spark has written its mark, by one commit.
+    A run that finds complete levels goes on after them, so one that was killed ends as if it hadn't been; whoever gives a path answers for the
+    seeds and edges being the same. The edges are written once, for all levels to read. Each level is one join of the one before with the edges, and one anti-join with those so far.
     """
-    edges = edges.select(F.col(src).alias("src"), F.col(dst).alias("dst")).dropna().distinct()
-    frontier = seeds.select(F.col(seeds.columns[0]).alias("node")).distinct().withColumn("level", F.lit(0))
-    visited, level = frontier, 0
-    while depth < 0 or level < depth:
+    spark = edges.sparkSession
+    root = (path or new_scratch_path(spark, "levels")).rstrip("/")
+    edges = edges.select(F.col(src).alias("src"), F.col(dst).alias("dst")).dropna()
+    if not _complete(spark, f"{root}/edges"):
+        edges.write.mode("overwrite").parquet(f"{root}/edges")
+    edges = spark.read.schema(edges.schema).parquet(f"{root}/edges")
+    first = seeds.select(F.col(seeds.columns[0]).alias("node")).dropna().distinct()
+    at = lambda level: f"{root}/level={level}"
+    read = lambda *some: spark.read.schema(first.schema).parquet(*[at(k) for k in some])
+    level = 0
+    while True:
+        if not _complete(spark, at(level)):
+            if level == 0:
+                found = first
+            else:
+                found = read(level - 1).join(edges, F.col("node") == F.col("src")).select(F.col("dst").alias("node")).distinct().join(read(*range(level)), "node", "left_anti")
+            found.write.mode("overwrite").parquet(at(level))
+        if level == depth or (depth < 0 and read(level).isEmpty()):
+            break
         level += 1
-        found = frontier.join(edges, frontier["node"] == edges["src"]).select(F.col("dst").alias("node")).distinct()
-        frontier = found.join(visited.select("node"), "node", "left_anti").withColumn("level", F.lit(level))
-        if depth < 0 or level % 3 == 0:
-            frontier = _cut(frontier)
-            if depth < 0 and frontier.isEmpty():
-                break
-        visited = visited.unionByName(frontier)
-        if level % 3 == 0:
-            visited = _cut(visited)
-    return visited
-
-
-def _cut(df: DataFrame) -> DataFrame:
-    sc = df.sparkSession.sparkContext
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(scratch_dir(df.sparkSession))
-    return df.checkpoint()
+    return spark.read.schema(StructType([*first.schema.fields, StructField("level", IntegerType())])).option("basePath", root).parquet(*[at(k) for k in range(level + 1)])
+
+
+def _complete(spark: SparkSession, path: str) -> bool:
+    mark = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
+    return mark.getFileSystem(spark._jsc.hadoopConfiguration()).exists(mark)
+
+
+def expand(papers: DataFrame, references: DataFrame, path: str, depth: int = 3, json_only: bool = False, most: int = 10) -> DataFrame:
+    """level, source, node, rank, downloaded: the citations of papers (their first column) level by level. references: src, dst, citation_count, downloaded. Level n has
+    the ``most`` most cited references of each paper of its frontier that wasn't a source before; the next frontier is what of these was downloaded. With
+    ``json_only`` nothing is downloaded beyond level 2, so a third level is left out.
+
+    Every level is a table under ``path`` with Spark's mark of completion, so a killed run goes on after the last complete level.
+    """
+    spark = papers.sparkSession
+    refs = references.select("src", "dst", F.coalesce("citation_count", F.lit(0)).alias("citation_count"), F.coalesce("downloaded", F.lit(False)).alias("downloaded")).filter("src IS NOT NULL AND dst IS NOT NULL AND src <> dst")
+    kind = refs.schema["dst"].dataType.simpleString()
+    schema = f"source {kind}, node {kind}, rank int, downloaded boolean"
+    at = lambda level: f"{path.rstrip('/')}/level={level}"
+    frontier = papers.select(F.col(papers.columns[0]).alias("source")).dropna().distinct()
+    done = 0
+    for level in range(1, (min(depth, 2) if json_only else depth) + 1):
+        if not _complete(spark, at(level)):
+            best = top_references(refs.dropDuplicates(["src", "dst"]).join(frontier, F.col("src") == F.col("source"), "left_semi"), most, pos="dst")
+            best.select(F.col("src").alias("source"), F.col("dst").alias("node"), "rank", "downloaded").write.mode("overwrite").parquet(at(level))
+        done = level
+        seen = papers.select(F.col(papers.columns[0]).alias("source")).unionByName(spark.read.schema(schema).parquet(*[at(k) for k in range(1, level + 1)]).select("source"))
+        frontier = spark.read.schema(schema).parquet(at(level)).filter("downloaded").select(F.col("node").alias("source")).distinct().join(seen, "source", "left_anti")
+    if not done:
+        return spark.createDataFrame([], f"{schema}, level int")
+    return spark.read.schema(f"{schema}, level int").option("basePath", path).parquet(*[at(k) for k in range(1, done + 1)])
 
 
 def top_references(refs: DataFrame, n: int, source: str = "src", cites: str = "citation_count", pos: str = "pos", least: int = 0) -> DataFrame:
