@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import html as pages_html
 from ..functions import text as tx
-from ..operators import cache, chunking, cluster, context, graph, store
+from ..operators import cache, chunking, cluster, context, crawl, graph, hierarchy, store
 from ..sources import readers
 from ..streaming.incremental import ingest_files
 from .registry import SQL_STRIP, SQL_WORDS, query, scratch, table
@@ -92,18 +92,42 @@ def html_links(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "pages").select("page_id", F.posexplode(tx.links(F.col("html"))).alias("pos", "href"))
 
 
+# a seed is a root, whose path has no version segment, so any segment is another version's
+_OLD_AT = " OR ".join("(regexp_extract(regexp_extract({0}, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*([^?#]*)', 1), '" + p.replace("{", "{{").replace("}", "}}") + "') <> '')" for p in tx.VERSION_SEGMENTS)
 _AUTHORITY = "regexp_extract({0}, '^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)', 1)"
 _PATH = "regexp_extract({0}, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*([^?#]*)', 1)"
 
 
-@query()
+_TARGETS = f"""SELECT DISTINCT page_id, url, regexp_replace(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*', 0) || href, '#.*$', '') AS target
+FROM (SELECT page_id, url, unnest(list_filter(list_transform(regexp_extract_all(html, '<a[^>]*href="([^"]*)"', 1), lambda h: trim(h)), lambda h: h <> '')) AS href FROM pages)
+WHERE NOT ({" OR ".join(f"contains(lower(target), '{p}')" for p in tx.SKIPPED_URL_PARTS)})"""
+
+
+@query(f"SELECT page_id, target FROM ({_TARGETS})")
 def link_targets(spark: SparkSession, d: str) -> DataFrame:
-    """Absolute, defragmented targets of links that aren't skipped; joining follows the URL standard, so it is tested by literals."""
+    """Absolute, defragmented targets of links that aren't skipped. The stored pages' links begin with a slash, so SQL can join them; other forms are tested by
+    literals."""
     rows = table(spark, d, "pages").select("page_id", "url", F.explode(tx.links(F.col("html"))).alias("href"))
     joined = rows.select("page_id", tx.defragment(pages_html.join_url(F.col("url"), F.col("href"))).alias("target")).filter(F.col("target").isNotNull())
     return joined.filter(~tx.skipped_url(F.col("target"))).distinct()
 
 
+_ROOT = "regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*', 0) || '/'"
+
+
+@query(f"""
+WITH p AS (SELECT *, regexp_replace(url, '#.*$', '') AS u, {_ROOT} AS seed FROM pages), s AS (SELECT DISTINCT seed FROM p),
+z AS (SELECT seed, seed AS url FROM s UNION SELECT seed, u FROM p WHERE page_id % 2 = 0 AND NOT ({" OR ".join(f"contains(lower(u), '{x}')" for x in tx.SKIPPED_URL_PARTS)}) AND NOT ({_OLD_AT.format("u")})),
+n AS (SELECT DISTINCT p.seed, t.target AS url FROM ({_TARGETS}) t JOIN p USING (page_id) JOIN z ON z.seed = p.seed AND z.url = p.u WHERE NOT ({_OLD_AT.format("t.target")}))
+SELECT seed, url, 0::INTEGER AS level FROM z UNION ALL SELECT seed, url, 1 FROM n WHERE (seed, url) NOT IN (SELECT (seed, url) FROM z)""")
+def crawl_sites(spark: SparkSession, d: str) -> DataFrame:
+    """Every host crawled from its root, with half of its stored pages as further addresses, to depth 1."""
+    pages = table(spark, d, "pages")
+    seed = F.concat(F.regexp_extract("url", "^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*", 0), F.lit("/"))
+    rows = pages.select("page_id", "url", seed.alias("seed"))
+    return crawl.crawl_sites(pages, rows.select("seed"), 1, rows.filter("page_id % 2 = 0").select("seed", "url"))
+
+
 @query("SELECT page_id, regexp_replace(url, '#.*$', '') AS url FROM pages")
 def url_normalise(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "pages").select("page_id", tx.defragment(F.col("url")).alias("url"))
@@ -199,6 +223,20 @@ def store_roundtrip(spark: SparkSession, d: str) -> DataFrame:
     return s.read("c")
 
 
+_BATCHES = "SELECT doc_id, source, 0 AS batch FROM documents UNION ALL SELECT doc_id + 500000, 'second', 1 FROM documents WHERE doc_id % 3 = 1 UNION ALL SELECT doc_id, 'third', 2 FROM documents WHERE doc_id % 100 = 7 UNION ALL SELECT doc_id, 'late', 1 FROM documents WHERE doc_id % 50 = 7"
+
+
+@query(f"SELECT doc_id, source, batch FROM ({_BATCHES}) QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY batch DESC) = 1")
+def bucket_upsert(spark: SparkSession, d: str) -> DataFrame:
+    """A stored collection that takes new ids, replacements, and an older batch that comes late, each as parts of the buckets that its ids fall in."""
+    docs, i = table(spark, d, "documents").select("doc_id", "source"), F.col("doc_id")
+    s = store.Store(spark, scratch(spark, "buckets"), "doc_id", buckets=8)
+    s.upsert("c", docs.withColumn("batch", F.lit(0)))
+    for rows, source, batch in ((docs.filter(i % 3 == 1).withColumn("doc_id", i + 500_000), "second", 1), (docs.filter(i % 100 == 7), "third", 2), (docs.filter(i % 50 == 7), "late", 1)):
+        s.upsert("c", rows.select("doc_id", F.lit(source).alias("source"), F.lit(batch).alias("batch")))
+    return s.read("c")
+
+
 @query("SELECT doc_id, source FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels WHERE doc_id IS NOT NULL)")
 def resume_anti_join(spark: SparkSession, d: str) -> DataFrame:
     return store.not_done(table(spark, d, "documents").select("doc_id", "source"), table(spark, d, "labels"), "doc_id")
@@ -236,6 +274,26 @@ def citation_bfs(spark: SparkSession, d: str) -> DataFrame:
     return graph.levels(edges, spark.range(1).select((F.col("id") - 1).alias("id")), depth=2)
 
 
+_CITED = f"r AS (SELECT src, dst, citation_count, (src + dst) % 2 = 0 AS downloaded FROM (SELECT -src AS src, dst, citation_count FROM ({_REFS}) UNION ALL SELECT dst, -src, citation_count FROM ({_REFS}))), t AS (SELECT *, row_number() OVER (PARTITION BY src ORDER BY citation_count DESC, dst)::INTEGER AS rank FROM r QUALIFY rank <= 10)"
+
+
+@query(f"""
+WITH {_CITED},
+f1 AS (SELECT DISTINCT -s_suppkey AS source FROM supplier WHERE s_acctbal < 3000), l1 AS (SELECT source, dst AS node, rank, downloaded FROM t JOIN f1 ON src = source),
+f2 AS (SELECT DISTINCT node AS source FROM l1 WHERE downloaded AND node NOT IN (SELECT source FROM f1)), l2 AS (SELECT source, dst AS node, rank, downloaded FROM t JOIN f2 ON src = source),
+f3 AS (SELECT DISTINCT node AS source FROM l2 WHERE downloaded AND node NOT IN (SELECT source FROM f1) AND node NOT IN (SELECT source FROM l1) AND node NOT IN (SELECT source FROM l2)), l3 AS (SELECT source, dst AS node, rank, downloaded FROM t JOIN f3 ON src = source)
+SELECT *, 1::INTEGER AS level FROM l1 UNION ALL SELECT *, 2 FROM l2 UNION ALL SELECT *, 3 FROM l3""")
+def citation_expansion(spark: SparkSession, d: str) -> DataFrame:
+    """Three levels of the most cited references from suppliers of a low balance on, in two runs: the first stops after one level, the second goes on. Suppliers are negative
+    nodes; what has an even sum with its source was downloaded."""
+    counted = table(spark, d, "lineitem").groupBy((-F.col("l_suppkey")).alias("src"), F.col("l_partkey").alias("dst")).agg(F.count(F.lit(1)).alias("citation_count"))
+    refs = counted.unionByName(counted.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "citation_count")).withColumn("downloaded", (F.col("src") + F.col("dst")) % 2 == 0)
+    papers = table(spark, d, "supplier").filter("s_acctbal < 3000").select((-F.col("s_suppkey")).alias("paper"))
+    path = scratch(spark, "expansion")
+    graph.expand(papers, refs, path, 1)
+    return graph.expand(papers, refs, path, 3)
+
+
 @query("""
 SELECT user_id % 10 AS part, count(*) AS attempted, count(*) FILTER (event_type = 'purchase') AS ok, count(*) FILTER (event_type = 'view') AS skipped, count(*) FILTER (event_type = 'error') AS failed, sum((props::JSON->>'k')::BIGINT)::BIGINT AS chunks
 FROM events GROUP BY 1""")
@@ -278,10 +336,31 @@ def topic_names(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def topic_cluster(spark: SparkSession, d: str) -> DataFrame:
-    """Density clusters of each label's vectors; tested on planted blobs."""
+    """Density topics of each label's vectors, and their places in the plane; tested against a plain hierarchy."""
     return cluster.topic_clusters(table(spark, d, "embeddings"), "label", "vec_id", "embedding")
 
 
+@query()
+def topic_tree(spark: SparkSession, d: str) -> DataFrame:
+    """The clusters of each label's hierarchy and their stabilities; tested against a plain hierarchy."""
+    return cluster.topic_tree(table(spark, d, "embeddings"), "label", "vec_id", "embedding")
+
+
+_PARTS = "p AS (SELECT p_brand AS g, p_partkey AS id, p_size::DOUBLE AS a, p_retailprice / 20 AS b FROM part)"
+
+
+@query(f"""
+WITH RECURSIVE {_PARTS}, e AS MATERIALIZED (SELECT x.g, x.id, y.id AS other, sqrt((x.a - y.a) * (x.a - y.a) + (x.b - y.b) * (x.b - y.b)) AS d FROM p x JOIN p y ON x.g = y.g AND x.id <> y.id),
+c AS MATERIALIZED (SELECT g, id, d AS core FROM e QUALIFY row_number() OVER (PARTITION BY g, id ORDER BY d, other) = 3),
+r AS MATERIALIZED (SELECT e.g, e.id, e.other FROM e JOIN c x ON x.g = e.g AND x.id = e.id JOIN c y ON y.g = e.g AND y.id = e.other WHERE greatest(d, x.core, y.core) <= 2),
+w AS (SELECT g, id, id AS part FROM p UNION SELECT r.g, r.other, w.part FROM w JOIN r ON r.g = w.g AND r.id = w.id)
+SELECT w.g, w.id, round(any_value(core), 6) AS core, min(part) AS part FROM w JOIN c ON c.g = w.g AND c.id = w.id GROUP BY w.g, w.id""")
+def density_parts(spark: SparkSession, d: str) -> DataFrame:
+    """Parts of each brand by size and price: how dense each place is, and what hangs together at a reach of 2, as a cut through the spanning tree."""
+    p = table(spark, d, "part").select(F.col("p_brand").alias("g"), F.col("p_partkey").alias("id"), F.array(F.col("p_size").cast("double"), F.col("p_retailprice") / 20).alias("p"))
+    return hierarchy.core_and_parts(p, 2.0).select("g", "id", F.round("core", 6).alias("core"), "part")
+
+
 @query("SELECT region, count(*) AS n FROM (SELECT CASE WHEN r < 0.05 THEN 'equation' WHEN w / h > 3 THEN 'table' ELSE 'figure' END AS region FROM (SELECT p_size / 60.0::DOUBLE AS r, p_size::DOUBLE AS w, p_retailprice / 100 AS h FROM part) WHERE r BETWEEN 0.02 AND 0.85) GROUP BY region")
 def figure_regions(spark: SparkSession, d: str) -> DataFrame:
     p = table(spark, d, "part").select((F.col("p_size") / F.lit(60.0)).alias("r"), F.col("p_size").cast("double").alias("w"), (F.col("p_retailprice") / 100).alias("h"))

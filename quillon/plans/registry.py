@@ -6,7 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ..operators import search
+from ..operators import blocks, search
+from .. import session
 from ..session import make_importable, new_scratch_path as scratch  # noqa: F401  queries take it from here
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -33,19 +34,38 @@ def table(spark: SparkSession, d: str, name: str) -> DataFrame:
 
 
 _INDEXES: dict[tuple, DataFrame] = {}
+_BLOCKS: dict[tuple, blocks.BlockIndex] = {}
+
+
+def _documents_key(spark: SparkSession, d: str) -> tuple:
+    p = spark._jvm.org.apache.hadoop.fs.Path(f"{d}/documents.parquet")
+    files = p.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(p)
+    return spark.sparkContext.applicationId, d, tuple((f.getPath().getName(), f.getLen(), f.getModificationTime()) for f in files)
 
 
 def stored_index(spark: SparkSession, d: str) -> DataFrame:
     """The inverted index over documents, built in the shared folder at its first use in a session, and anew when the table's files change."""
-    p = spark._jvm.org.apache.hadoop.fs.Path(f"{d}/documents.parquet")
-    fs = p.getFileSystem(spark._jsc.hadoopConfiguration())
-    files = fs.listStatus(p)
-    key = (spark.sparkContext.applicationId, d, tuple((f.getPath().getName(), f.getLen(), f.getModificationTime()) for f in files))
+    key = _documents_key(spark, d)
     if key not in _INDEXES:
         _INDEXES[key] = search.build_index(table(spark, d, "documents"), scratch(spark, "index"))
     return _INDEXES[key]
 
 
+def stored_blocks(spark: SparkSession, d: str) -> blocks.BlockIndex:
+    """The block index over the same postings, likewise."""
+    key = _documents_key(spark, d)
+    if key not in _BLOCKS:
+        _BLOCKS[key] = blocks.build_blocks(stored_index(spark, d), scratch(spark, "blocks"))
+    return _BLOCKS[key]
+
+
+def release(spark: SparkSession) -> None:
+    """Delete all scratch tables of the session, the indexes too; for whoever ran queries, once their results were written or collected."""
+    _INDEXES.clear()
+    _BLOCKS.clear()
+    session.release(spark)
+
+
 def kept(df: DataFrame, name: str) -> DataFrame:
     """A bounded result that several branches of a plan read: written to the shared folder once, so that it isn't computed by each."""
     path = scratch(df.sparkSession, name)

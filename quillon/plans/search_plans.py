@@ -10,9 +10,9 @@ from pyspark.sql import functions as F
 from ..functions.text import TIME_WORDS
 from ..functions.text import time_sensitive as time_words
 from ..functions.text import words
-from ..operators import cache, context, evaluate, routing, search
+from ..operators import blocks, cache, context, evaluate, routing, search
 from ..operators.routing_tables import CATEGORIES, KEYWORDS
-from .registry import SQL_WORDS, kept, query, stored_index, table
+from .registry import ORACLE_SQL, SQL_WORDS, kept, query, stored_blocks, stored_index, table
 
 
 def query_vector(spark: SparkSession, d: str) -> list[float]:
@@ -263,6 +263,19 @@ def sparse_topk_batch(spark: SparkSession, d: str) -> DataFrame:
     return search.shown(ranked.filter(F.col("rank") <= 10))
 
 
+@query(ORACLE_SQL["sparse_topk_batch"])
+def sparse_topk_pruned(spark: SparkSession, d: str) -> DataFrame:
+    """The same, over blocks of postings of which only those are scored that can reach the ten best."""
+    return blocks.pruned_topk(stored_blocks(spark, d), _items(spark, d), 10)[0]
+
+
+@query(f"WITH {_ITEMS} SELECT query_id, count(*) AS postings, true AS fewer FROM qt JOIN post USING (term) GROUP BY query_id HAVING count(*) > 0")
+def pruned_postings(spark: SparkSession, d: str) -> DataFrame:
+    """Postings of each item's terms, and that no more of them are scored."""
+    told = blocks.pruned_topk(stored_blocks(spark, d), _items(spark, d), 10)[1]
+    return told.select("query_id", "postings", (F.col("scored") <= F.col("postings")).alias("fewer"))
+
+
 _COLLECTIONS = "m AS (SELECT 'arXiv' AS collection, doc_id AS id FROM documents UNION ALL SELECT lang, doc_id FROM documents WHERE lang IS NOT NULL)"
 
 
@@ -345,6 +358,50 @@ def sources_footnote(spark: SparkSession, d: str) -> DataFrame:
     return context.source_note(_hits(spark, d), ["query_id"])
 
 
+_TOP10 = f"{_ITEMS}, top AS (SELECT query_id, id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM sp QUALIFY rank <= 10)"
+
+
+def _hits_batch(spark: SparkSession, d: str) -> DataFrame:
+    """The ten best documents of every item, with the columns of a citation."""
+    found = search.rank_by(search.sparse_batch(stored_index(spark, d), _items(spark, d)), "score", "id", ["query_id"]).filter(F.col("rank") <= 10)
+    docs = table(spark, d, "documents").select(F.col("doc_id").alias("id"), "text", "lang", "source")
+    return found.join(docs, "id").select(
+        "query_id", "rank", F.col("id").cast("string").alias("arxiv_id"), F.left("text", F.lit(40)).alias("title"), F.col("text").alias("abstract"), F.lit("A, B ,C,D").alias("authors"),
+        (F.lit(2000) + F.col("id") % 20).cast("int").alias("year"), F.col("lang").alias("categories"), F.concat("source", F.lit(".pdf")).alias("source_file"),
+    )
+
+
+@query(f"""
+WITH {_TOP10}, c AS (SELECT query_id, rank, '[' || rank || '] ArXiv:' || id || ' — ' || left(text, 40) || chr(10) || '  A, B, C et al. (' || (2000 + id % 20) || ') [' || lang || ']' || chr(10) || '  ' || left(text, 600) AS t FROM top JOIN documents ON doc_id = id),
+k AS (SELECT query_id, string_agg(t, chr(10) || chr(10) || '---' || chr(10) || chr(10) ORDER BY rank) AS context FROM c GROUP BY query_id)
+SELECT item_id AS query_id, md5(coalesce(context, 'No relevant papers found in the arXiv database for this query.')) AS context_md5 FROM benchmark LEFT JOIN k ON query_id = item_id""")
+def context_blocks(spark: SparkSession, d: str) -> DataFrame:
+    """The context of every item."""
+    c, none = F.col, F.lit(None).cast("string")
+    cited = _hits_batch(spark, d).withColumn("citation", context.citation(c("rank"), c("arxiv_id"), c("title"), c("authors"), c("year"), c("categories"), F.lit("abstract"), F.lit(""), none, c("abstract")))
+    return context.build_context(cited, _items(spark, d)).select("query_id", F.md5("context").alias("context_md5"))
+
+
+@query(f"WITH {_TOP10} SELECT query_id, string_agg('[' || rank || '] ArXiv:' || id || ' — ' || left(text, 40) || ' (' || (2000 + id % 20) || ')', chr(10) ORDER BY rank) AS sources FROM top JOIN documents ON doc_id = id WHERE rank <= 5 GROUP BY query_id")
+def sources_footnotes(spark: SparkSession, d: str) -> DataFrame:
+    """The source note of every item."""
+    return context.source_note(_hits_batch(spark, d), ["query_id"])
+
+
+@query(f"""
+WITH {_ITEMS}, o AS (SELECT doc_id FROM documents WHERE n_chars BETWEEN 500 AND 20000 AND contains(lower(source), 'src1')),
+l1 AS (SELECT query_id, id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM de WHERE id IN (SELECT doc_id FROM o) QUALIFY rank <= 100),
+l2 AS (SELECT query_id, id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM sp WHERE id IN (SELECT doc_id FROM o) QUALIFY rank <= 100),
+f AS (SELECT query_id, id, round(sum(1.0::DOUBLE / (60 + rank)), 9) AS score FROM (SELECT * FROM l1 UNION ALL SELECT * FROM l2) GROUP BY query_id, id)
+SELECT query_id, id, round(f.score, 6) AS score, row_number() OVER (PARTITION BY query_id ORDER BY f.score DESC, id)::INTEGER AS rank FROM f QUALIFY rank <= 10""")
+def filtered_hybrid_batch(spark: SparkSession, d: str) -> DataFrame:
+    """Every item by both legs over the documents that fit a filter."""
+    docs = table(spark, d, "documents")
+    points = table(spark, d, "embeddings").join(docs.select(F.col("doc_id").alias("vec_id"), "n_chars", "source"), "vec_id")
+    condition = search.conditions(500, 20000, "SRC1", year="n_chars", authors="source")
+    return search.hybrid_batch(points, docs, stored_index(spark, d), _items(spark, d), 10, condition)
+
+
 @query(f"""
 WITH {_TOP5}, p AS (SELECT page_id, url, regexp_extract(html, '(?s)<title>(.*?)</title>', 1) AS title, row_number() OVER (ORDER BY page_id) AS pos FROM pages)
 SELECT 0 AS source_no, rank AS pos, left(text, 40) AS title, source || '.pdf' AS source_file, 1.0::DOUBLE AS score, 'documents' AS collection FROM top JOIN documents ON doc_id = id
@@ -378,7 +435,7 @@ d AS (SELECT a.query_id, c.id::VARCHAR AS id, x.text FROM ask a JOIN c USING (qu
       UNION ALL SELECT a.query_id, w.url, w.title FROM ask a, w WHERE NOT cached AND timely),
 s AS (SELECT d.query_id, d.id, d.text, round(len(list_intersect(list_distinct({SQL_WORDS.format("lower(q)")}), {SQL_WORDS.format("lower(d.text)")}))::DOUBLE / len(list_distinct({SQL_WORDS.format("lower(q)")})), 6) AS score FROM d JOIN ask USING (query_id)),
 k AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM s QUALIFY rank <= 10),
-t AS (SELECT query_id, string_agg('[' || rank || '] ' || left(text, 200), chr(10) || chr(10) ORDER BY rank) AS context, list_slice(list(id ORDER BY rank), 1, 5) AS documents FROM k GROUP BY query_id)
+t AS (SELECT query_id, string_agg('[' || rank || '] ' || text, chr(10) || chr(10) ORDER BY rank) AS context, list_slice(list(id ORDER BY rank), 1, 5) AS documents FROM k GROUP BY query_id)
 SELECT query_id, CASE WHEN cached THEN 'cache' WHEN t.context IS NULL THEN 'none' WHEN timely THEN 'web' ELSE 'search' END AS route,
        CASE WHEN cached THEN 'answer ' || query_id ELSE md5(coalesce(t.context, 'No relevant papers found in the arXiv database for this query.')) END AS answer, CASE WHEN NOT cached THEN coalesce(documents, []) END AS documents
 FROM ask LEFT JOIN t USING (query_id)"""
@@ -399,7 +456,7 @@ def chat_graph(spark: SparkSession, d: str) -> DataFrame:
     first = table(spark, d, "pages").orderBy("page_id").limit(context.WEB_RESULTS)  # five rows, so each timely question meets all of them
     web = miss.filter("timely").select("query_id").crossJoin(F.broadcast(first.select(F.col("url").alias("id"), F.regexp_extract("html", r"(?s)<title>(.*?)</title>", 1).alias("text"))))
     merged = documents.unionByName(web).join(miss.select("query_id", "query"), "query_id")
-    best = context.rerank(merged).select("query_id", "id", F.left("text", F.lit(200)).alias("text"), F.col("rerank_rank").alias("rank"))
+    best = context.rerank(merged).select("query_id", "id", "text", F.col("rerank_rank").alias("rank"))
     built = context.numbered_contexts(best, ["query_id"])
     kept = best.filter(F.col("rank") <= context.CACHED).groupBy("query_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "id"))), lambda x: x["id"]).alias("documents"))
     told = miss.join(built, "query_id", "left").join(kept, "query_id", "left")

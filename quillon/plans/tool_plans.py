@@ -7,8 +7,10 @@ from pyspark.sql import functions as F
 
 from ..functions.tokens import bpe_pieces
 from ..operators import bibliography as bib
-from ..operators import cache, chunking, context, evaluate, search, store
+from ..operators import cache, chunking, context, evaluate, figures, search, store, tracing
 from ..sources import readers
+from ..streaming import live_cache
+from ..streaming.sessions import sessions, take_in
 from .registry import query, scratch, table
 
 
@@ -60,10 +62,10 @@ def tool_passages(spark: SparkSession, d: str) -> DataFrame:
 _EDGES = "SELECT DISTINCT l_suppkey AS src, l_partkey AS dst FROM lineitem"
 
 
-@query(f"WITH e AS ({_EDGES}), g AS (SELECT DISTINCT src FROM e WHERE src <= 10) SELECT dst AS paper, count(DISTINCT src) AS n, row_number() OVER (ORDER BY count(DISTINCT src) DESC, dst)::INTEGER AS rank FROM e WHERE src IN (SELECT src FROM g) GROUP BY dst QUALIFY rank <= 10")
+@query(f"WITH e AS ({_EDGES}), g AS (SELECT DISTINCT src FROM e) SELECT dst AS paper, count(DISTINCT src) AS n, row_number() OVER (ORDER BY count(DISTINCT src) DESC, dst)::INTEGER AS rank FROM e WHERE src IN (SELECT src FROM g) GROUP BY dst QUALIFY rank <= 10")
 def tool_prior_works(spark: SparkSession, d: str) -> DataFrame:
     edges = table(spark, d, "lineitem").select(F.col("l_suppkey").alias("src"), F.col("l_partkey").alias("dst"))
-    return bib.prior_works(edges, edges.filter("src <= 10").select(F.col("src").alias("node")))
+    return bib.prior_works(edges, edges.select(F.col("src").alias("node")))
 
 
 @query(f"SELECT src, dst, row_number() OVER (PARTITION BY src ORDER BY dst)::INTEGER AS pos, (floor((row_number() OVER (PARTITION BY src ORDER BY dst) - 1) / 100) + 1)::INTEGER AS page FROM ({_EDGES}) WHERE src <> dst QUALIFY pos <= 250")
@@ -85,11 +87,12 @@ def tool_page(spark: SparkSession, d: str) -> DataFrame:
     return bib.page_of(table(spark, d, "documents").select("source", "doc_id", url.alias("url")), 2, 5, "doc_id", "source").select("source", "doc_id", "pos", "url")
 
 
-@query("SELECT p_partkey FROM part WHERE contains(lower(p_name), lower((SELECT p_name FROM part WHERE p_partkey = 7))) ORDER BY length(p_name), p_partkey LIMIT 5")
+@query("SELECT lower(w.p_name) AS wanted, t.p_partkey AS id, row_number() OVER (PARTITION BY lower(w.p_name) ORDER BY length(t.p_name), t.p_partkey)::INTEGER AS rank FROM (SELECT DISTINCT p_name FROM part) w JOIN part t ON contains(lower(t.p_name), lower(w.p_name)) QUALIFY rank <= 5")
 def tool_title(spark: SparkSession, d: str) -> DataFrame:
+    """Every distinct title, in other case and spacing, looked up among all titles."""
     parts = table(spark, d, "part")
-    wanted = parts.filter("p_partkey = 7").select("p_name").first()[0]
-    return bib.by_title(parts, F.lit(f"  {wanted.upper()}"), 5, "p_name", "p_partkey").select("p_partkey")
+    wanted = parts.select(F.concat(F.lit("  "), F.upper("p_name"), F.lit(" ")).alias("title"))
+    return bib.titles_within(bib.title_index(parts, "p_name", "p_partkey"), wanted, 5)
 
 
 @query("SELECT page_id, 'https://example.org/search?q=' || replace(replace(replace(regexp_extract(url, '^[a-z]+://([^/?#]*)', 1), ' ', '+'), ':', '%3A'), '/', '%2F') AS address FROM pages")
@@ -136,13 +139,16 @@ def preview_rows(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "documents").select("doc_id", context.preview(F.col("text")).alias("preview"))
 
 
-@query("SELECT lang, list_slice(list(source ORDER BY doc_id), 1, 5) AS sources, 1 AS fields FROM documents GROUP BY lang")
+_HELD = "SELECT lang, doc_id, source, row_number() OVER (PARTITION BY lang ORDER BY doc_id) AS k FROM documents QUALIFY k <= 5"
+
+
+@query(f"""SELECT lang, '[' || string_agg('{{"doc_id":' || doc_id || CASE WHEN source IS NULL THEN '' ELSE ',"source":"' || source || '"' END || '}}', ',' ORDER BY k) || ']' AS value FROM ({_HELD}) GROUP BY lang""")
 def cached_documents(spark: SparkSession, d: str) -> DataFrame:
+    """What a cache keeps of each language's documents, as it would be stored: five, and no text."""
     docs = table(spark, d, "documents")
     first = search.rank_by(docs.withColumn("minus", -F.col("doc_id")), "minus", "doc_id", ["lang"]).filter(F.col("rank") <= 8)
     held = first.groupBy("lang").agg(F.array_sort(F.collect_list(F.struct("doc_id", "source", F.col("text").alias("chunk_text")))).alias("documents"))
-    value = cache.cached_value(F.transform("documents", lambda x: x.dropFields("doc_id")))
-    return held.select("lang", value.alias("v")).select("lang", F.col("v.source").alias("sources"), F.lit(1).alias("fields"))
+    return held.select("lang", F.to_json(cache.cached_value(F.col("documents"))).alias("value"))
 
 
 @query("SELECT doc_id, list_filter(['lang=' || lang, CASE WHEN doc_id % 2 = 0 THEN 'source=' || source END], lambda x: x IS NOT NULL) AS kept FROM documents")
@@ -153,7 +159,7 @@ def truthy_metadata(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "documents").select("doc_id", kept.alias("kept"))
 
 
-_CONTEXTS = "SELECT conv_id, turn, CASE WHEN turn % 4 = 1 THEN nullif(left(text, 200), '') WHEN turn % 4 = 2 THEN nullif(left(text, 50), '') ELSE NULL END AS t FROM conversations"
+_CONTEXTS = "SELECT conv_id, turn, CASE WHEN turn % 4 = 1 THEN nullif(text, '') WHEN turn % 4 = 2 THEN nullif(text, '') ELSE NULL END AS t FROM conversations"
 _ASK = "Answer using ONLY the provided context. If the context doesn''t contain enough information, say so."
 
 
@@ -161,7 +167,7 @@ _ASK = "Answer using ONLY the provided context. If the context doesn''t contain
 def answer_prompt(spark: SparkSession, d: str) -> DataFrame:
     """Texts that are there, numbered, in the prompt of the answer under evaluation."""
     turns, t = table(spark, d, "conversations"), F.col("turn") % 4
-    text = context.context_text(F.when(t == 1, F.left("text", F.lit(200))), F.when(t == 2, F.left("text", F.lit(50))))
+    text = context.context_text(F.when(t == 1, F.col("text")), F.when(t == 2, F.col("text")))
     numbered = context.numbered_contexts(turns.select("conv_id", F.col("turn").alias("rank"), text.alias("text")), ["conv_id"])
     asked = turns.select("conv_id").distinct().join(numbered, "conv_id", "left")
     return asked.select("conv_id", F.md5(context.answer_prompt(F.concat(F.lit("q"), F.col("conv_id").cast("string")), F.col("contexts"))).alias("prompt_md5"))
@@ -242,11 +248,13 @@ def judged_means(spark: SparkSession, d: str) -> DataFrame:
     return evaluate.judged_means(table(spark, d, "events").select(v.alias("faithfulness"), F.when(F.col("event_type") == "view", v).alias("answer_relevancy"), (v / 2).alias("context_precision")))
 
 
-@query("SELECT conv_id, turn, 16::INTEGER AS id_length, true AS dated FROM conversations")
+@query("SELECT conv_id, count(*) AS turns, count(*) AS ids, count(*) AS well_formed, 1::BIGINT AS times FROM conversations GROUP BY conv_id")
 def request_ids(spark: SparkSession, d: str) -> DataFrame:
-    """Random ids and the time of the query; what is fixed about them."""
-    rows = table(spark, d, "conversations").select("conv_id", "turn", context.request_id().alias("r"), context.utc_now().alias("t"))
-    return rows.select("conv_id", "turn", F.when(F.col("r").rlike("^[0-9a-f]{16}$"), 16).alias("id_length"), F.col("t").rlike(r"^\d{4}-\d\d-\d\dT\d\d:\d\d:\d\d\.\d{6}\+00:00$").alias("dated"))
+    """A random id and the time of the query for every turn: by conversation, how many turns there are, how many different ids, how many ids and times of the
+    right form, and how many different times."""
+    rows = table(spark, d, "conversations").select("conv_id", context.request_id().alias("r"), context.utc_now().alias("t"))
+    fine = F.col("r").rlike("^[0-9a-f]{16}$") & F.col("t").rlike(r"^\d{4}-\d\d-\d\dT\d\d:\d\d:\d\d\.\d{6}\+00:00$")
+    return rows.groupBy("conv_id").agg(F.count(F.lit(1)).alias("turns"), F.count_distinct("r").alias("ids"), F.count_if(fine).alias("well_formed"), F.count_distinct("t").alias("times"))
 
 
 @query()
@@ -256,3 +264,117 @@ def chunk_bpe(spark: SparkSession, d: str) -> DataFrame:
 
     chunks = chunking.chunk_flat(table(spark, d, "documents"), 512, 64, tokens_of=bpe_pieces(public_tokenizers.path("word_bpe_49k.json")), between="")
     return chunks.select("doc_id", "chunk_idx", "token_count", F.md5("chunk_text").alias("chunk_md5"))
+
+
+_WHEN = "TIMESTAMP '2024-01-01 00:00:00' + INTERVAL 1 SECOND * conv_id"
+
+
+@query(f"""
+WITH r AS (SELECT DISTINCT conv_id, {_WHEN} AS at FROM conversations),
+h AS (SELECT doc_id // 100 AS conv_id, count(*) AS n FROM documents GROUP BY 1),
+g AS (SELECT conv_id, sum(length(text)) AS tokens FROM conversations WHERE role = 'assistant' GROUP BY conv_id)
+SELECT r.conv_id AS trace_id, (2 + CASE WHEN g.conv_id IS NULL THEN 0 ELSE 1 END)::BIGINT AS num_spans, (CASE WHEN r.conv_id % 5 = 0 THEN 1 ELSE 0 END)::BIGINT AS events, coalesce(g.tokens, 0)::BIGINT AS tokens,
+       coalesce(h.n, 0)::BIGINT AS candidates, r.conv_id % 7 <> 0 AS success, CASE WHEN r.conv_id % 7 = 0 THEN 'no answer' END AS error
+FROM r LEFT JOIN h USING (conv_id) LEFT JOIN g USING (conv_id)""")
+def trace_log(spark: SparkSession, d: str) -> DataFrame:
+    """Traces of all conversations: spans of retrieval, reranking and generation and events of cache hits, written to a log, read again and summed up."""
+    turns = table(spark, d, "conversations")
+    at = (F.lit("2024-01-01 00:00:00").cast("timestamp") + F.make_dt_interval(secs=F.col("conv_id"))).alias("at")
+    requests = turns.groupBy(F.col("conv_id").alias("trace_id")).agg(F.min_by("text", "turn").alias("query")).withColumn("collections", F.array(F.lit("documents")))
+    requests = requests.join(turns.select(F.col("conv_id").alias("trace_id"), at).distinct(), "trace_id").withColumn("num_candidates", F.lit(5))
+    docs = table(spark, d, "documents").select(F.floor(F.col("doc_id") / 100).alias("trace_id"), F.col("doc_id").alias("id"), F.col("lang").alias("collection"), F.left("text", F.lit(90)).alias("title"), F.lit(0.5).alias("score"))
+    hits = bib.paged(docs, "trace_id", "id").withColumnRenamed("pos", "rank")
+    said = turns.filter("role = 'assistant'").groupBy(F.col("conv_id").alias("trace_id")).agg(F.max_by("text", "turn").alias("response"), F.sum(F.length("text")).alias("completion_tokens"))
+    answers = said.join(requests, "trace_id").select("trace_id", "at", "query", F.col("query").alias("context"), "response", F.lit("m").alias("model"), F.lit(None).cast("long").alias("prompt_tokens"), "completion_tokens")
+    log = tracing.together(
+        tracing.retrieval(requests, hits), tracing.reranking(requests, hits.filter(F.col("rank") <= 10)), tracing.generation(answers), tracing.cache_hits(requests.filter("trace_id % 5 = 0").withColumn("key", F.col("query")))
+    )
+    path = scratch(spark, "traces")
+    tracing.write(log, path)
+    log = spark.read.parquet(path)
+    failures = requests.filter("trace_id % 7 = 0").select("trace_id", F.lit("no answer").alias("error"))
+    found = log.filter("name = 'retrieval'").select("trace_id", F.get_json_object("output", "$.num_candidates").cast("long").alias("candidates"))
+    return tracing.summary(log, failures).join(found, "trace_id").select("trace_id", "num_spans", "events", "tokens", "candidates", "success", "error")
+
+
+@query("SELECT event_type, count(*) AS n, true AS near FROM events WHERE value IS NOT NULL AND ts IS NOT NULL GROUP BY event_type")
+def p95_sketch(spark: SparkSession, d: str) -> DataFrame:
+    """The 95th percentile by kind from sketches of each day, merged; and that its true rank is within two hundredths."""
+    events = table(spark, d, "events").filter("value IS NOT NULL AND ts IS NOT NULL")
+    days = tracing.quantile_sketches(events.withColumn("day", F.to_date("ts")), "value", ["event_type", "day"])
+    told = tracing.merged_quantile(days, ["event_type"], 0.95)
+    below = events.join(F.broadcast(told.select("event_type", "quantile")), "event_type").groupBy("event_type").agg((F.count_if(F.col("value") <= F.col("quantile")) / F.count(F.lit(1))).alias("rank"))
+    return told.join(below, "event_type").select("event_type", "n", (F.abs(F.col("rank") - 0.95) <= 0.02).alias("near"))
+
+
+_SESSIONS = """
+t AS (SELECT user_id, ts, event_type, coalesce((props::JSON->>'k')::BIGINT, 0) AS tokens, lag(ts) OVER (PARTITION BY user_id ORDER BY ts) AS last FROM events WHERE user_id IS NOT NULL AND ts IS NOT NULL),
+s AS (SELECT *, sum(CASE WHEN last IS NULL OR ts >= last + INTERVAL 30 MINUTE THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY ts) AS k FROM t)"""
+
+
+@query(f"WITH {_SESSIONS} SELECT user_id, min(ts) AS began, max(ts) + INTERVAL 30 MINUTE AS ended, count(*) AS spans, sum(tokens)::BIGINT AS tokens, count(*) FILTER (event_type = 'error') AS failures FROM s GROUP BY user_id, k HAVING ended <= (SELECT max(ts) FROM events) - INTERVAL 1 HOUR")
+def trace_sessions(spark: SparkSession, d: str) -> DataFrame:
+    """Sessions of each user's events, told by a stream that takes all of them in two runs: those that were over an hour before the last event."""
+    source, to, check = (scratch(spark, n) for n in ("spans", "sessions", "checkpoint"))
+    tokens = F.coalesce(F.get_json_object("props", "$.k").cast("long"), F.lit(0))
+    events = table(spark, d, "events").select("user_id", F.col("ts").cast("timestamp").alias("at"), tokens.alias("tokens"), F.coalesce(F.col("event_type") == "error", F.lit(False)).alias("failed"))
+    late = F.coalesce(F.col("at") >= F.lit("2024-01-15 00:00:00").cast("timestamp"), F.lit(False))
+    for part in (~late, late):
+        events.filter(part).write.mode("append").parquet(source)
+        take_in(sessions(spark.readStream.schema(events.schema).parquet(source), "user_id"), to, check)
+    out = spark.read.schema("user_id long, began timestamp, ended timestamp, spans long, tokens long, failures long").parquet(to)
+    return out if dict(table(spark, d, "events").dtypes)["ts"] == "timestamp" else out.withColumn("began", F.col("began").cast("timestamp_ntz")).withColumn("ended", F.col("ended").cast("timestamp_ntz"))
+
+
+_CACHE = """
+e AS (SELECT event_id AS request, (user_id % 3)::VARCHAR AS space, user_id::VARCHAR AS key, ts AS at, value,
+      CASE WHEN event_type = 'view' THEN 'get' WHEN event_type = 'error' AND event_id % 40 = 0 THEN 'flush' WHEN event_type = 'error' THEN 'delete' ELSE 'set' END AS kind FROM events WHERE ts IS NOT NULL AND user_id IS NOT NULL),
+g AS (SELECT r.request, r.key, r.at, (SELECT max(f.at) FROM e f WHERE f.kind = 'flush' AND f.space = r.space AND f.at <= r.at) AS flushed,
+      (SELECT max(w.at) FROM e w WHERE w.kind IN ('set', 'delete') AND w.key = r.key AND w.at <= r.at) AS written FROM e r WHERE r.kind = 'get')"""
+
+
+@query(f"WITH {_CACHE}, h AS (SELECT g.*, w.value AS v, coalesce(w.kind = 'set' AND w.at + INTERVAL 86400 SECOND > g.at AND (flushed IS NULL OR written >= flushed), false) AS hit FROM g LEFT JOIN e w ON w.key = g.key AND w.at = g.written AND w.kind IN ('set', 'delete')) SELECT request, key, CASE WHEN hit THEN v END AS value, hit FROM h")
+def cache_replay(spark: SparkSession, d: str) -> DataFrame:
+    """All events as sets, deletes, flushes and look-ups of a cache that lives in a stream's state and goes on in a second run."""
+    source, to, check = (scratch(spark, n) for n in ("requests", "answers", "checkpoint"))
+    kind = F.when(F.col("event_type") == "view", "get").when((F.col("event_type") == "error") & (F.col("event_id") % 40 == 0), "flush").when(F.col("event_type") == "error", "delete").otherwise("set")
+    rows = table(spark, d, "events").select(
+        F.col("event_id").alias("request"), (F.col("user_id") % 3).cast("string").alias("namespace"), F.col("user_id").cast("string").alias("key"), kind.alias("kind"), F.col("ts").cast("timestamp").alias("at"), "value", F.lit(86400).alias("ttl")
+    )
+    late = F.coalesce(F.col("at") >= F.lit("2024-01-15 00:00:00").cast("timestamp"), F.lit(False))
+    for part in (~late, late):
+        rows.filter(part).write.mode("append").parquet(source)
+        live_cache.run(spark, spark.readStream.schema(rows.schema).parquet(source), to, check)
+    return spark.read.schema("request long, key string, at timestamp, value double, hit boolean").parquet(to).drop("at")
+
+
+_BOXES = "b AS (SELECT p_brand AS page, p_partkey AS id, p_size::DOUBLE AS x0, p_retailprice AS y0, p_size + 2.0::DOUBLE AS x1, p_retailprice + 40 AS y1 FROM part)"
+
+
+@query(f"""
+WITH RECURSIVE {_BOXES},
+l AS MATERIALIZED (SELECT a.page, a.id, b.id AS other FROM b a JOIN b ON a.page = b.page AND a.x0 <= b.x1 AND b.x0 <= a.x1 AND a.y0 <= b.y1 AND b.y0 <= a.y1),
+w AS (SELECT page, id, id AS part FROM b UNION SELECT l.page, l.other, w.part FROM w JOIN l ON l.page = w.page AND l.id = w.id),
+p AS (SELECT page, id, min(part) AS part FROM w GROUP BY page, id)
+SELECT page, min(x0) AS x0, min(y0) AS y0, max(x1) AS x1, max(y1) AS y1, count(*)::INTEGER AS n FROM p JOIN b USING (page, id) GROUP BY page, part""")
+def merged_boxes(spark: SparkSession, d: str) -> DataFrame:
+    """Parts as drawings of their brand's page, at their size and price: the regions of those that hang together."""
+    x, y = F.col("p_size").cast("double"), F.col("p_retailprice")
+    boxes = table(spark, d, "part").select(F.col("p_brand").alias("page"), x.alias("x0"), y.alias("y0"), (x + 2.0).alias("x1"), (y + 40).alias("y1"))
+    return figures.drawing_regions(boxes, ["page"], apart=False)
+
+
+@query("""
+WITH i AS (SELECT p_brand AS page, (p_partkey % 90)::DOUBLE AS x0, (p_size)::DOUBLE AS y0, p_partkey % 90 + 1.0 + p_size AS x1, p_size + p_retailprice / 40 AS y1 FROM part),
+r AS (SELECT *, (x1 - x0) * (y1 - y0) / 5000 AS share, (x1 - x0) / nullif(y1 - y0, 0) AS aspect FROM i),
+d AS (SELECT page, min(x0) AS x0, min(y0) AS y0, max(x0) + 1 AS x1, max(y0) + 1 AS y1, count(*) AS n FROM i GROUP BY page)
+SELECT page, x0, y0, x1, y1, CASE WHEN share < 0.05 THEN 'equation' WHEN aspect > 3 THEN 'table' ELSE 'figure' END AS region_type FROM r WHERE share BETWEEN 0.02 AND 0.85
+UNION ALL SELECT page, x0, y0, x1, y1, 'figure' FROM d WHERE n >= 6 AND (x1 - x0) * (y1 - y0) / 5000 > 0.02 AND (x1 - x0) * (y1 - y0) / 5000 < 0.85""")
+def page_figures(spark: SparkSession, d: str) -> DataFrame:
+    """Regions of each brand's page: parts as its images, and their corners as its drawings."""
+    p, x, y = table(spark, d, "part"), (F.col("p_partkey") % 90).cast("double"), F.col("p_size").cast("double")
+    at = [F.col("p_brand").alias("page"), x.alias("x0"), y.alias("y0")]
+    images = p.select(*at, (x + 1.0 + F.col("p_size")).alias("x1"), (y + F.col("p_retailprice") / 40).alias("y1"))
+    drawings = p.select(*at, (x + 1).alias("x1"), (y + 1).alias("y1"))
+    pages = p.select(F.col("p_brand").alias("page")).distinct().select("page", F.lit(100.0).alias("width"), F.lit(50.0).alias("height"))
+    return figures.page_regions(pages, images, drawings, ["page"])

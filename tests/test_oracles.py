@@ -21,7 +21,7 @@ def duck():
 def rows(df: pd.DataFrame) -> list:
     def plain(v):
         if hasattr(v, "__len__") and not isinstance(v, str):
-            return str(list(v))
+            return str([plain(x) for x in v])
         if pd.isna(v):
             return "~"
         return str(round(float(v), 6)) if isinstance(v, (int, float)) and not isinstance(v, bool) else str(v)
