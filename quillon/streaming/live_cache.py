@@ -47,24 +47,36 @@ class CacheState(StatefulProcessor):
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
         pdf = pd.concat(list(rows))
         pdf = pdf.assign(__order=pdf["kind"].map(ORDER)).sort_values(["at", "__order", "value"], kind="stable")
+        held: dict[str, tuple | None] = {}  # what is known of the state, each key read once; what changed of it is written at the end
+        changed: set[str] = set()
         answers = []
         for r in pdf.itertuples(index=False):
             at = _now(r.at)
             if r.kind == FLUSH:
-                for (name,), (_, written, _) in list(self.entries.iterator()):
-                    if written <= at:
-                        self.entries.removeKey((name,))
+                for (name,), entry in list(self.entries.iterator()):
+                    held.setdefault(name, entry)
+                gone = [name for name, entry in held.items() if entry is not None and entry[1] <= at]
+                held |= dict.fromkeys(gone)
+                changed.update(gone)
                 continue
-            held = self.entries.getValue((r.key,)) if self.entries.containsKey((r.key,)) else None
-            if r.kind == SET and (held is None or held[1] <= at):
-                ends = at + timedelta(seconds=float(r.ttl))
-                self.entries.updateValue((r.key,), (None if pd.isna(r.value) else r.value, at, ends))
-                self.handle.registerTimer(int(r.at.value // 1_000_000 + float(r.ttl) * 1000))
-            elif r.kind == DELETE and held is not None and held[1] <= at:
-                self.entries.removeKey((r.key,))
+            if r.key not in held:
+                held[r.key] = self.entries.getValue((r.key,)) if self.entries.containsKey((r.key,)) else None
+            entry = held[r.key]
+            if r.kind == SET and (entry is None or entry[1] <= at):
+                held[r.key] = (None if pd.isna(r.value) else r.value, at, at + timedelta(seconds=float(r.ttl)))
+                changed.add(r.key)
+            elif r.kind == DELETE and entry is not None and entry[1] <= at:
+                held[r.key] = None
+                changed.add(r.key)
             elif r.kind == GET:
-                hit = held is not None and held[1] <= at < held[2]
-                answers.append((r.request, r.key, r.at, held[0] if hit else None, hit))
+                hit = entry is not None and entry[1] <= at < entry[2]
+                answers.append((r.request, r.key, r.at, entry[0] if hit else None, hit))
+        for name in changed:
+            if held[name] is not None:
+                self.entries.updateValue((name,), held[name])
+                self.handle.registerTimer(int(pd.Timestamp(held[name][2]).value // 1_000_000))
+            elif self.entries.containsKey((name,)):
+                self.entries.removeKey((name,))
         yield pd.DataFrame(answers, columns=["request", "key", "at", "value", "hit"]).astype({"hit": "boolean"})
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
