@@ -96,6 +96,19 @@ def valid_reference(title: Column, ref_id: Column, source_id: Column) -> Column:
     return F.coalesce(title != "", F.lit(False)) & ~F.coalesce(ref_id == source_id, F.lit(False))
 
 
+def manifest_rows(sources: DataFrame, refs: DataFrame) -> DataFrame:
+    """Manifests to be written: of each source (source, level, title) the references (source, rank, title, dst, citation_count, availability, downloaded, ingested,
+    collection) in order of rank, all of them, with ``selected`` for those that were kept."""
+    c = F.col
+    ref = F.struct(
+        "rank", c("title").alias("title"), c("dst").cast("string").alias("arxiv_id"), c("citation_count").cast("int").alias("citation_count"), "availability", "downloaded", "ingested", "collection", "selected",
+    )
+    listed = refs.groupBy("source").agg(F.transform(F.array_sort(F.collect_list(ref)), lambda r: r.dropFields("rank")).alias("references"))
+    none = F.array().cast(listed.schema["references"].dataType)
+    joined = sources.join(listed, "source", "left")
+    return joined.select(F.struct(c("source").cast("string").alias("arxiv_id"), "title").alias("source"), "level", F.coalesce("references", none).alias("references"))
+
+
 def manifest_summary(manifests: DataFrame) -> DataFrame:
     """By level: manifests, references, downloaded, ingested, without access; manifests(level, references array<struct<…>>)."""
     r = manifests.select("level", F.explode_outer("references").alias("r"))

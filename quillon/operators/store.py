@@ -15,6 +15,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructField, StructType
 
+from ..functions.text import as_list, strip
+
 #: The column, and in the names of folders, that says which bucket a row is in.
 BUCKET = "store_bucket"
 
@@ -375,6 +377,45 @@ def outcomes(summary: DataFrame) -> DataFrame:
     return summary.agg(of("success"), of("failed"), of("skipped"))
 
 
+# The columns of an export, in order, and their types.
+EXPORTED = {
+    "arxiv_id": "string", "title": "string", "abstract": "string", "categories": "array<string>", "authors": "array<string>", "first_created": "string", "last_updated": "string", "doi": "string", "pdf_url": "string", "collection": "string",
+    "dense_embedding": "array<float>", "sparse_indices": "array<bigint>", "sparse_values": "array<float>",
+}
+
+
+def exported(points: DataFrame, dim: int) -> DataFrame:
+    """Points as rows of an export: the fixed columns, lists from delimited text where they aren't lists, empty for what is missing. Rows whose vector hasn't ``dim``
+    components are left out."""
+    have = dict(points.dtypes)
+
+    def column(name: str, kind: str) -> Column:
+        if name not in have:
+            return F.lit("").alias(name) if kind == "string" else F.array().cast(kind).alias(name)
+        c = F.col(f"`{name}`")
+        if kind == "array<string>" and have[name] == "string":
+            c = as_list(c, "," if name == "authors" else r"\s+")
+        return F.coalesce(c.cast(kind), F.lit("") if kind == "string" else F.array().cast(kind)).alias(name)
+
+    return points.filter(F.size("dense_embedding") == dim).select(*[column(n, k) for n, k in EXPORTED.items()])
+
+
 def export(points: DataFrame, path: str, dim: int, vector: str = "dense_embedding", by: str = "collection") -> None:
-    """One partition for each collection, zstd; rows whose vector hasn't ``dim`` components are left out."""
+    """One folder for each collection, zstd; rows whose vector hasn't ``dim`` components are left out."""
     points.filter(F.size(vector) == dim).write.mode("overwrite").option("compression", "zstd").partitionBy(by).parquet(path)
+
+
+def export_files(points: DataFrame, path: str, dim: int) -> None:
+    """exported() rows in one zstd file for each collection, written by one task each, row group by row group."""
+    exported(points, dim).repartition("collection").sortWithinPartitions("collection", "arxiv_id").write.mode("overwrite").option("compression", "zstd").partitionBy("collection").parquet(path)
+
+
+def lacks_sparse(indices: Column) -> Column:
+    """A point without a sparse vector, which is still to be made."""
+    return indices.isNull()
+
+
+def has_text(title: Column, abstract: Column) -> Column:
+    """Something to make a vector of: a title or an abstract that isn't blank."""
+    there = lambda c: F.coalesce(strip(c) != "", F.lit(False))
+    return there(title) | there(abstract)

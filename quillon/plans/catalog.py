@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import corpus_plans, search_plans, tool_plans  # noqa: F401  they register their queries
+from . import corpus_plans, reader_plans, search_plans, tool_plans  # noqa: F401  they register their queries
 from .registry import ORACLE_SQL, QUERIES
 
 FLAGSHIP = "hybrid_rrf"

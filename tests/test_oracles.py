@@ -1,6 +1,7 @@
 """Every registered retrieval and corpus query against its SQL in DuckDB, on the smallest tables."""
 
 import duckdb
+import numpy as np
 import pandas as pd
 import pytest
 
@@ -24,7 +25,7 @@ def rows(df: pd.DataFrame) -> list:
             return str([plain(x) for x in v])
         if pd.isna(v):
             return "~"
-        return str(round(float(v), 6)) if isinstance(v, (int, float)) and not isinstance(v, bool) else str(v)
+        return str(round(float(v), 6)) if isinstance(v, (int, float, np.integer, np.floating)) and not isinstance(v, bool) else str(v)
 
     return sorted(tuple(plain(v) for v in r) for r in df[sorted(df.columns)].itertuples(index=False))
 

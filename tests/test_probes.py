@@ -102,3 +102,47 @@ def test_hybrid_batch_same_as_single(spark, tmp_path):
     for i, q, v in queries:
         one = search.hybrid(points, docs, v, q, 5, condition, index=index)
         assert sorted(tuple(r) for r in got.filter(F.col("query_id") == i).select("id", "score", "rank").collect()) == sorted(tuple(r) for r in one.select("id", "score", "rank").collect())
+
+
+def test_folders_of_files(spark, tmp_path):
+    from quillon.sources import readers
+
+    for name, content in (("a/x.pdf", b"%PDF-1.7 x"), ("a/y.PDF", b"no pdf"), ("b/c/z.pdf", b"\x00%PDF"), ("b/n.txt", b"%PDF")):
+        (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / name).write_bytes(content)
+    files = readers.pdf_files(spark, f"file://{tmp_path}")
+    assert sorted((r.path.rsplit("/", 1)[1], r.length, r.is_pdf) for r in files.collect()) == [("x.pdf", 10, True), ("y.PDF", 6, False), ("z.pdf", 5, True)]
+    assert sorted(r.collection for r in readers.collections_of_folders(files).collect()) == ["a", "c"]
+    held = spark.createDataFrame([(9_999,), (10_001,), (None,)], "length long")
+    assert [r.t for r in held.select(readers.already_there(F.col("length")).alias("t")).collect()] == [False, True, False]
+
+
+def test_export_has_thirteen_columns(spark, tmp_path):
+    from quillon.operators import store
+
+    points = spark.createDataFrame([("p", "cs.LG  cs.AI", "A, B", "c", [1.0, 2.0], [3]), ("q", None, None, "d", [1.0], None), ("r", "x", None, "d", [0.0, 1.0], None)], "arxiv_id string, categories string, authors string, collection string, dense_embedding array<double>, sparse_indices array<int>")
+    got = store.exported(points, 2)
+    assert got.columns == list(store.EXPORTED) and [t for _, t in got.dtypes] == list(store.EXPORTED.values())
+    one, two = got.orderBy("arxiv_id").collect()
+    assert (one.categories, one.authors, one.doi, one.sparse_indices, one.sparse_values) == (["cs.LG", "cs.AI"], ["A", "B"], "", [3], [])
+    assert (two.arxiv_id, two.categories, two.authors, two.dense_embedding) == ("r", ["x"], [], [0.0, 1.0])
+    store.export_files(points.repartition(5), f"file://{tmp_path}/e", 2)
+    assert len(list((tmp_path / "e").rglob("*.parquet"))) == 2
+
+
+def test_scratch_is_released(spark):
+    from quillon import session
+    from quillon.plans import registry
+
+    path = session.new_scratch_path(spark, "probe")
+    spark.range(1).write.parquet(path)
+    kept = set(session._given)
+    try:
+        session._given.clear()
+        session._given.add(path)
+        registry.release(spark)
+        assert path not in session._given
+        with pytest.raises(Exception, match="PATH_NOT_FOUND"):
+            spark.read.parquet(path)
+    finally:
+        session._given.update(kept - {path})
