@@ -68,7 +68,8 @@ def usable(v: Column) -> Column:
 
 
 def dense_batch(points: DataFrame, queries: DataFrame, k: int, id_col: str = "vec_id", vec_col: str = "embedding", q_id: str = "query_id", q_vec: str = "embedding", group: str | None = None) -> DataFrame:
-    """query_id, [grp,] id, score, rank for many queries: exact, matrix products over Arrow batches.
+    """query_id, grp, id, score, rank for many queries: exact, matrix products over Arrow batches. ``group``: a column of the points, text or an array of texts; a point of
+    several groups is scored once and ranked in each. Without it grp is empty.
 
     Up to QUERY_BLOCK query vectors go to all tasks, and each keeps k rows a query (and group) of the points that it reads. More queries
     meet the points block by block, in tasks of bounded size. Null, zero and ragged vectors take no part (of another length than the queries', or, where these
@@ -77,7 +78,9 @@ def dense_batch(points: DataFrame, queries: DataFrame, k: int, id_col: str = "ve
     spark = points.sparkSession
     make_importable(spark)
     asked = queries.select(F.col(q_id).cast("long").alias("query_id"), F.col(q_vec).cast("array<double>").alias("v")).filter(usable(F.col("v")) & F.col("query_id").isNotNull())
-    rows = points.select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).cast("array<double>").alias("v"), (F.col(group).cast("string") if group else F.lit("")).alias("grp"))
+    several = group is not None and dict(points.dtypes)[group].startswith("array")
+    groups = F.col(group).cast("array<string>" if several else "string") if group else F.lit("")
+    rows = points.select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).cast("array<double>").alias("v"), groups.alias("grp"))
     some = asked.limit(QUERY_BLOCK + 1).toPandas()
     schema = "query_id long, grp string, id long, score double"
     if not len(some):
@@ -96,9 +99,13 @@ def dense_batch(points: DataFrame, queries: DataFrame, k: int, id_col: str = "ve
     def best(ids: np.ndarray, unit: np.ndarray, batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         kept: dict[str, tuple[np.ndarray, np.ndarray]] = {}
         for b in batches:
-            for name, part in b.groupby("grp", sort=False):
-                s = np.round(unit @ matrix(part["v"]).T, RANK_PLACES)
-                n = np.broadcast_to(part["id"].to_numpy(), s.shape)
+            if not len(b):
+                continue
+            every, own = np.round(unit @ matrix(b["v"]).T, RANK_PLACES), b["id"].to_numpy()
+            names, at = (np.concatenate(b["grp"].to_numpy()), np.repeat(np.arange(len(b)), b["grp"].map(len))) if several else (b["grp"].to_numpy(), np.arange(len(b)))
+            for name, part in pd.Series(at).groupby(names, sort=False):
+                s = every[:, part]
+                n = np.broadcast_to(own[part], s.shape)
                 if name in kept:
                     s, n = np.hstack([kept[name][0], s]), np.hstack([kept[name][1], n])
                 first = np.lexsort((n, -s), axis=1)[:, :k]
@@ -228,7 +235,8 @@ def hybrid_collections(points: DataFrame, index: DataFrame, members: DataFrame,
     dense and a sparse leg of max(n, LEG_LIMIT) rows, fused, the n best; these lists are fused again. A query that found something in one collection
     only keeps its scores there. A collection without rows, or without vectors, is an empty list; ids in several collections count in each."""
     leg = max(n, LEG_LIMIT)
-    held = points.join(members, points[id_col] == members["id"]).select(F.col(id_col), F.col(vec_col), "collection")
+    of = members.groupBy("id").agg(F.collect_set("collection").alias("collection"))
+    held = points.join(of, points[id_col] == of["id"]).select(F.col(id_col), F.col(vec_col), "collection")
     dense = dense_batch(held, queries, leg, id_col, vec_col, q_vec="v", group="collection").withColumnRenamed("grp", "collection")
     sparse = rank_by(sparse_batch(index, queries).join(members, "id"), "score", "id", ["query_id", "collection"]).filter(F.col("rank") <= leg)
     inner = rrf([dense, sparse], inner_k, parts=["query_id", "collection"])
