@@ -465,6 +465,34 @@ def chat_graph(spark: SparkSession, d: str) -> DataFrame:
     return hit.select("query_id", F.lit("cache").alias("route"), F.col("value").alias("answer"), F.lit(None).cast("array<string>").alias("documents")).unionByName(answered)
 
 
+_NO_CONTEXT = "No relevant papers found in the arXiv database for this query."
+
+
+@query(f"""
+WITH {_ITEMS},
+l1 AS (SELECT query_id, id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM de QUALIFY rank <= 100),
+l2 AS (SELECT query_id, id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM sp QUALIFY rank <= 100),
+h AS (SELECT query_id, id, round(sum(1.0::DOUBLE / (60 + rank)), 9) AS score FROM (SELECT * FROM l1 UNION ALL SELECT * FROM l2) GROUP BY ALL),
+l3 AS (SELECT query_id, id FROM h QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) <= 50),
+w AS (SELECT l3.query_id, l3.id, d.text, d.lang, round(coalesce(len(list_intersect(list_distinct({SQL_WORDS.format("lower(b.text)")}), {SQL_WORDS.format("lower(d.text)")}))::DOUBLE / nullif(len(list_distinct({SQL_WORDS.format("lower(b.text)")})), 0), 0), 6) AS score FROM l3 JOIN benchmark b ON b.item_id = l3.query_id JOIN documents d ON d.doc_id = l3.id),
+k AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM w QUALIFY rank <= 10),
+x AS (SELECT query_id, string_agg('[' || rank || '] ArXiv:' || id || ' — ' || left(text, 40) || coalesce(chr(10) || '  [' || lang || ']', '') || chr(10) || '  ' || left(text, 800), chr(10) || chr(10) || '---' || chr(10) || chr(10) ORDER BY rank) AS context FROM k GROUP BY query_id),
+a AS (SELECT item_id, coalesce(context, '{_NO_CONTEXT}') AS context FROM benchmark LEFT JOIN x ON x.query_id = item_id),
+n AS (SELECT item_id, context, left(regexp_extract(context, '(?s)^(.*?[.!?])(\\s|$)', 1), 300) AS answer FROM a),
+u AS (SELECT *, len({SQL_WORDS.format("context")}) AS p, len({SQL_WORDS.format("answer")}) AS c FROM n)
+SELECT item_id AS query_id, md5(context) AS context_md5, '{{"id":"r' || item_id || '","object":"chat.completion","model":"extractive","choices":[{{"index":0,"message":{{"role":"assistant","content":' || to_json(answer)::VARCHAR || '}},"finish_reason":"stop"}}],"usage":{{"prompt_tokens":' || p || ',"completion_tokens":' || c || ',"total_tokens":' || (p + c) || '}}}}' AS response FROM u""")
+def chat_answers(spark: SparkSession, d: str) -> DataFrame:
+    """Every item from hybrid search over reranking and context to the response that a client gets."""
+    docs, items = table(spark, d, "documents"), _items(spark, d)
+    found = search.hybrid_batch(table(spark, d, "embeddings"), docs, stored_index(spark, d), items, 50).select("query_id", "id")
+    texts = found.join(docs.select(F.col("doc_id").alias("id"), "lang", "text"), "id").join(items.select("query_id", F.col("q").alias("query")), "query_id")
+    c, none = F.col, F.lit("")
+    cited = context.rerank(texts, n=10).select("query_id", c("rerank_rank").alias("rank"), context.citation(c("rerank_rank"), c("id").cast("string"), F.left("text", F.lit(40)), none, F.lit(None).cast("int"), c("lang"), F.lit("abstract"), none, c("text"), none).alias("citation"))
+    built = context.build_context(cited, items).withColumn("answer", context.extractive_answer(c("context")))
+    made = context.chat_response(F.concat(F.lit("r"), c("query_id").cast("string")), F.lit("extractive"), c("answer"), F.size(words(c("context"))), F.size(words(c("answer"))))
+    return built.select("query_id", F.md5("context").alias("context_md5"), made.alias("response"))
+
+
 @query()
 def chat_answer(spark: SparkSession, d: str) -> DataFrame:
     """One question from routing to the response: hybrid search, reranking, context, answer, JSON; its parts have their own SQL."""
