@@ -13,7 +13,7 @@ D = "/root/testdata/sf0.001"
 @pytest.mark.parametrize("name", list(queries.ORACLE_SQL))
 def test_same_as_sql(spark, name):
     c = duckdb.connect()
-    for t in ("documents", "pages"):
+    for t in ("documents", "embeddings", "pages"):
         c.sql(f"CREATE VIEW {t} AS SELECT * FROM '{D}/{t}.parquet'")
     assert rows_of(queries.QUERIES[name](spark, D).toPandas()) == rows_of(c.sql(queries.ORACLE_SQL[name]).df())
 
@@ -50,7 +50,7 @@ def test_repeated_ids_are_packed_and_redacted_each(spark):
 
 
 def test_every_operator_is_registered():
-    assert sorted(int(n[2:].split("_")[0]) for n in queries.QUERIES if n.startswith("op")) == list(range(1, 11))
+    assert sorted(int(n[2:].split("_")[0]) for n in queries.QUERIES if n.startswith("op")) == list(range(1, 14))
 
 
 def test_stages_take_odd_rows(spark, odd):
