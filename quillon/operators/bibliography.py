@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -112,22 +114,27 @@ def _grams(c: Column, n: int | Column) -> Column:
 
 
 def title_index(papers: DataFrame, col: str = "title", id_col: str = "paper_id") -> DataFrame:
-    """id, title, gram: a row for each distinct part of one to three characters of each title, plain; to be stored where it is asked often."""
+    """id, title, gram: a row for each distinct part of one to three characters of each different title, plain, without an id, and one for each paper, without
+    a gram; to be stored where it is asked often. So a title that many papers have is cut up once."""
     t = papers.select(F.col(id_col).alias("id"), plain_title(F.col(col)).alias("title")).filter("title <> ''")
-    return t.select("id", "title", F.explode(F.concat(*[_grams(F.col("title"), n) for n in (1, 2, 3)])).alias("gram"))
+    grams = t.select("title").distinct().select("title", F.explode(F.concat(*[_grams(F.col("title"), n) for n in (1, 2, 3)])).alias("gram"))
+    return t.withColumn("gram", F.lit(None).cast("string")).unionByName(grams, allowMissingColumns=True)
 
 
 def titles_within(index: DataFrame, wanted: DataFrame, most: int = 1, title: str = "title") -> DataFrame:
     """wanted, id, rank: of every distinct wanted title those indexed titles that have it in them, the shortest first, ``most`` of them.
 
     A wanted title is looked up by the rarest of its parts of three characters (shorter titles by themselves), and only what has that part is compared, so
-    no pair of titles meets without sharing it. Wanted titles that are null or blank find nothing.
+    no pair of titles meets without sharing it. Of the papers of one title only the first ``most`` meet what is looked for. Wanted titles that are null or
+    blank find nothing.
     """
+    grams = index.filter(F.col("gram").isNotNull()).select("title", "gram")
+    first = index.filter(F.col("gram").isNull()).select("title", "id").withColumn("k", F.row_number().over(Window.partitionBy("title").orderBy("id"))).filter(F.col("k") <= most).drop("k")
     asked = wanted.select(plain_title(F.col(title)).alias("wanted")).filter("wanted <> ''").distinct()
     parts = asked.select("wanted", F.explode(_grams(F.col("wanted"), F.least(F.lit(3), F.length("wanted")))).alias("gram"))
-    counts = index.groupBy("gram").agg(F.count(F.lit(1)).alias("n"))
+    counts = grams.groupBy("gram").agg(F.count(F.lit(1)).alias("n"))
     rarest = parts.join(counts, "gram", "left").groupBy("wanted").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "gram")).alias("r")).filter("r.n > 0").select("wanted", "r.gram")
-    hits = index.join(rarest, "gram").filter(F.contains("title", F.col("wanted")))
+    hits = grams.join(rarest, "gram").filter(F.contains("title", F.col("wanted"))).select("wanted", "title").join(first, "title")
     w = Window.partitionBy("wanted").orderBy(F.length("title"), "id")
     return hits.select("wanted", "id", F.row_number().over(w).alias("rank")).filter(F.col("rank") <= most)
 
@@ -140,11 +147,12 @@ def open_access(references: DataFrame, lookup: DataFrame, doi: str = "doi") -> D
     return references.join(best, F.lower(F.col(doi)) == F.col("__doi"), "left").drop("__doi").withColumn("found_url", F.coalesce("found_url", F.lit("")))
 
 
-def paper_files(papers: DataFrame, files: DataFrame, id_of: Column, key: str = "paper_id", path: str = "path") -> DataFrame:
+def paper_files(papers: DataFrame, files: DataFrame, id_of: Column, key: str = "paper_id", path: str = "path", by: Sequence[str] = ()) -> DataFrame:
     """papers with the first path, in order, whose file name has the paper's id (``id_of`` the path); null without one. An equi-join, as the
-    id is taken from the name instead of looked for in all names."""
-    named = files.select(id_of.alias("__id"), F.col(path)).filter(F.col("__id").isNotNull()).groupBy("__id").agg(F.min(path).alias(path))
-    return papers.join(named, F.col(key) == F.col("__id"), "left").drop("__id")
+    id is taken from the name instead of looked for in all names. Where ids are told apart within a collection only, ``by`` names the columns that say which one
+    a paper and a file belong to."""
+    named = files.select(id_of.alias("__id"), *by, F.col(path)).filter(F.col("__id").isNotNull()).groupBy("__id", *by).agg(F.min(path).alias(path))
+    return papers.withColumn("__id", F.col(key)).join(named, ["__id", *by], "left").drop("__id")
 
 
 def search_address(prefix: str, query: Column) -> Column:
