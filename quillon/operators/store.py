@@ -19,14 +19,16 @@ from ..functions.text import as_list, strip
 
 #: The column, and in the names of folders, that says which bucket a row is in.
 BUCKET = "store_bucket"
+#: The column that says, while a bucket's parts are read, which of them a row is from.
+PART = "store_part"
 
 
-def latest(rows: DataFrame, key: str | Sequence[str], order: Sequence[str]) -> DataFrame:
-    """One row of each key: the last in ``order`` (last write wins); rows that are alike in it go by a hash of all they hold, so the choice
-    doesn't depend on the plan."""
+def latest(rows: DataFrame, key: str | Sequence[str], order: Sequence[str], part: str | None = None) -> DataFrame:
+    """One row of each key: the last in ``order`` (last write wins); of rows that are alike in it the last by the column ``part``, if given; those that are alike
+    in that too go by a hash of all they hold, so the choice doesn't depend on the plan."""
     keys = [key] if isinstance(key, str) else list(key)
-    whole = F.xxhash64(*[F.col(f"`{c}`") for c, t in rows.dtypes if not t.startswith(("map", "variant"))])
-    w = Window.partitionBy(*keys).orderBy(*[F.desc(c) for c in order], F.desc(whole))
+    whole = F.xxhash64(*[F.col(f"`{c}`") for c, t in rows.dtypes if c != part and not t.startswith(("map", "variant"))])
+    w = Window.partitionBy(*keys).orderBy(*[F.desc(c) for c in order], *([F.desc(part)] if part else []), F.desc(whole))
     return rows.withColumn("__k", F.row_number().over(w)).filter(F.col("__k") == 1).drop("__k")
 
 
@@ -235,16 +237,18 @@ class Store:
             self._fs.delete(self._at(f"{name}/{version}"), True)
 
     def _rows(self, name: str, state: State, buckets: Iterable[int] | None = None) -> DataFrame:
-        """The rows of a state, or of some of its buckets; those of several parts by the last row of each key."""
+        """The rows of a state, or of some of its buckets; those of several parts by the last row of each key: of rows that are alike in the order, the one that
+        was written last."""
         schema = StructType.fromJson(json.loads(state.schema))
-        paths = lambda some: [f"{self.path}/{name}/{v}/{BUCKET}={b}" for b in some for v, _ in state.parts[b]]
+        paths = lambda some, at=0: [f"{self.path}/{name}/{x[at][0]}/{BUCKET}={b}" for b in some if len(x := state.parts[b]) > at]
         own = state.of(buckets)
         single, several = [b for b in own if len(state.parts[b]) == 1], [b for b in own if len(state.parts[b]) > 1]
         frames = []
         if single or not several:
             frames.append(self.spark.read.schema(schema).parquet(*paths(single)) if single else self.spark.createDataFrame([], schema))
         if several:
-            frames.append(latest(self.spark.read.schema(schema).parquet(*paths(several)), self.key, state.order))
+            parts = [self.spark.read.schema(schema).parquet(*paths(several, k)).withColumn(PART, F.lit(k)) for k in range(max(len(state.parts[b]) for b in several))]
+            frames.append(latest(reduce(DataFrame.unionByName, parts), self.key, state.order, PART).drop(PART))
         return reduce(DataFrame.unionByName, frames)
 
     def read(self, name: str) -> DataFrame | None:
