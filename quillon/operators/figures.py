@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -15,10 +16,10 @@ DRAWINGS = 6
 BOX = "x0 double, y0 double, x1 double, y1 double"
 
 
-def merge_boxes(boxes: list[tuple[float, float, float, float]]) -> list[tuple[float, float, float, float, int]]:
-    """The boxes around sets of boxes that overlap or touch, and how many are in each; results that overlap are merged again, until none do. Boxes are
+def merge_boxes(boxes: list[tuple[float, float, float, float]], counts: list[int] | None = None) -> list[tuple[float, float, float, float, int]]:
+    """The boxes around sets of boxes (each there once, or ``counts`` times) that overlap or touch, and how many are in each; results that overlap are merged again, until none do. Boxes are
     swept from left to right, so each is compared only with those that still reach as far."""
-    found = [(*b, 1) for b in boxes]
+    found = [(*b, n) for b, n in zip(boxes, counts or [1] * len(boxes), strict=True)]
     while True:
         found.sort()
         active: list[tuple[float, float, float, float, int]] = []
@@ -36,8 +37,10 @@ def merge_boxes(boxes: list[tuple[float, float, float, float]]) -> list[tuple[fl
         found = done
 
 
-def linked_boxes(boxes: list[tuple[float, float, float, float]]) -> list[tuple[float, float, float, float, int]]:
-    """merge_boxes by the given boxes alone: only these link, not the larger boxes around them."""
+def linked_boxes(boxes: list[tuple[float, float, float, float]], counts: list[int] | None = None) -> list[tuple[float, float, float, float, int]]:
+    """merge_boxes by the given boxes alone: only these link, not the larger boxes around them. At each height where a box begins or ends, the sweep keeps how far
+    to the right the boxes there reach and the last one of them: all others that reach as far are linked with that one already."""
+    counts = counts or [1] * len(boxes)
     order = sorted(range(len(boxes)), key=lambda i: boxes[i])
     root = list(range(len(boxes)))
 
@@ -47,37 +50,41 @@ def linked_boxes(boxes: list[tuple[float, float, float, float]]) -> list[tuple[f
             i = root[i]
         return i
 
-    active: list[int] = []
+    heights = np.unique([y for b in boxes for y in (b[1], b[3])])
+    reach, last = np.full(len(heights), -np.inf), np.full(len(heights), -1)
+    begin, end = np.searchsorted(heights, [b[1] for b in boxes]), np.searchsorted(heights, [b[3] for b in boxes])
     for i in order:
-        x0, y0, _, y1 = boxes[i]
-        active = [j for j in active if boxes[j][2] >= x0]
-        for j in active:
-            if boxes[j][1] <= y1 and y0 <= boxes[j][3]:
-                root[top(i)] = top(j)
-        active.append(i)
+        x0, _, x1, _ = boxes[i]
+        far, own = reach[begin[i] : end[i] + 1], last[begin[i] : end[i] + 1]
+        for j in np.unique(own[(own >= 0) & (far >= x0)]).tolist():
+            root[top(i)] = top(j)
+        np.maximum(far, x1, out=far)
+        own[:] = i
     sets: dict[int, list[int]] = {}
     for i in range(len(boxes)):
         sets.setdefault(top(i), []).append(i)
-    around = lambda own: (min(boxes[i][0] for i in own), min(boxes[i][1] for i in own), max(boxes[i][2] for i in own), max(boxes[i][3] for i in own), len(own))
+    around = lambda own: (min(boxes[i][0] for i in own), min(boxes[i][1] for i in own), max(boxes[i][2] for i in own), max(boxes[i][3] for i in own), sum(counts[i] for i in own))
     return sorted(around(own) for own in sets.values())
 
 
 @F.udtf(returnType=f"{BOX}, n int")
 class Regions:
-    """Table function: a page's boxes, array<struct<x0,y0,x1,y1>>, as the boxes around those that hang together, by merge_boxes if they are to be
+    """Table function: a page's different boxes, array<struct<x0,y0,x1,y1,n>>, each there n times, as the boxes around those that hang together, by merge_boxes if they are to be
     ``apart``, else by linked_boxes. Boxes with a null or an
     end before its start take no part."""
 
     def eval(self, boxes: list, apart: bool) -> Iterator[tuple]:
         own = [tuple(b) for b in boxes or [] if b is not None and None not in tuple(b) and b[0] <= b[2] and b[1] <= b[3]]
-        yield from merge_boxes(own) if apart else linked_boxes(own)
+        yield from (merge_boxes if apart else linked_boxes)([b[:4] for b in own], [b[4] for b in own])
 
 
 def drawing_regions(drawings: DataFrame, by: list[str], apart: bool = True, least: int = 1) -> DataFrame:
-    """by, x0, y0, x1, y1, n: the regions of each page's drawings (by, x0, y0, x1, y1), those of ``least`` drawings or more. A page is a list of bounded size."""
+    """by, x0, y0, x1, y1, n: the regions of each page's drawings (by, x0, y0, x1, y1), those of ``least`` drawings or more. A page is a list of bounded size; boxes
+    that are there many times are looked at once."""
     make_importable(drawings.sparkSession)
-    box = F.struct(*[F.col(c).cast("double").alias(c) for c in ("x0", "y0", "x1", "y1")])
-    pages = drawings.groupBy(*by).agg(F.array_sort(F.collect_list(box)).alias("boxes"))
+    ends = ["x0", "y0", "x1", "y1"]
+    each = drawings.select(*by, *[F.col(c).cast("double").alias(c) for c in ends]).groupBy(*by, *ends).agg(F.count(F.lit(1)).alias("n"))
+    pages = each.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct(*ends, "n"))).alias("boxes"))
     return pages.lateralJoin(Regions(F.col("boxes").outer(), F.lit(apart))).select(*by, "x0", "y0", "x1", "y1", "n").filter(F.col("n") >= least)
 
 
