@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import words
-from .search import bucket_of
+from ..session import make_importable
+from .search import Index, bucket_of, few
 
 
 def judged(results: DataFrame, relevant: DataFrame, modes: Sequence[str] | None = None) -> DataFrame:
@@ -23,11 +25,15 @@ def judged(results: DataFrame, relevant: DataFrame, modes: Sequence[str] | None
     return n.join(hit, by, "left").withColumn("hits", F.coalesce("hits", F.array().cast("array<int>")))
 
 
-def containing(docs: DataFrame, items: DataFrame, index: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def containing(docs: DataFrame, items: DataFrame, index: Index, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """query_id, doc_id: documents whose text has an item's text (query_id, q) in it. Inner words of an item are whole words of such a
-    document, so the longest one's postings are the candidates. Items without inner words are looked for in all documents."""
+    document, so the longest one's postings are the candidates. Items without inner words are looked for in all documents.
+    Where the index isn't there yet and items are few, these go to all tasks and each text is read once."""
     inner = F.expr("slice(w, 2, greatest(0, size(w) - 2))")
     keyed = items.select("query_id", "q", words(F.col("q")).alias("w")).select("query_id", "q", F.array_max(F.transform(inner, lambda x: F.struct(F.length(x).alias("n"), x.alias("x"))))["x"].alias("term"))
+    if callable(index) and few(items):
+        return _containing_scan(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), keyed).withColumnRenamed("id", id_col)
+    index = index() if callable(index) else index
     long = keyed.filter(F.col("term").isNotNull()).withColumn("bucket", bucket_of(F.col("term")))
     maybe = index.join(long, ["bucket", "term"]).select("query_id", "q", F.col("id").alias(id_col))
     texts = docs.select(F.col(id_col), F.col(text_col).alias("__text"))
@@ -38,6 +44,29 @@ def containing(docs: DataFrame, items: DataFrame, index: DataFrame, id_col: str
     return found
 
 
+def _containing_scan(docs: DataFrame, keyed: DataFrame) -> DataFrame:
+    spark = docs.sparkSession
+    make_importable(spark)
+    q_type, id_type = keyed.schema["query_id"].dataType.simpleString(), docs.schema["id"].dataType.simpleString()
+    by_term: dict[bytes | None, list] = {}
+    for r in keyed.filter(F.col("q").isNotNull()).select("query_id", "q", "term").collect():
+        by_term.setdefault(None if r.term is None else r.term.encode(), []).append((r.query_id, r.q))
+    always = by_term.pop(None, [])
+    shared = spark.sparkContext.broadcast((by_term, always))
+
+    def found(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        by_term, always = shared.value
+        for b in batches:
+            out = []
+            for i, text in zip(b["id"], b["text"], strict=True):
+                for t in by_term.keys() & set(text.encode().split()):
+                    out += [(n, i) for n, q in by_term[t] if q in text]
+                out += [(n, i) for n, q in always if q in text]
+            yield pd.DataFrame(out, columns=["query_id", "id"])
+
+    return docs.filter(F.col("text").isNotNull() & F.col("id").isNotNull()).mapInPandas(found, f"query_id {q_type}, id {id_type}")
+
+
 def any_hit(k: int) -> Column:
     """Whether anything relevant is among the first k."""
     return F.exists("hits", lambda r: r <= k)
