@@ -7,12 +7,18 @@ can't reach it, whose postings aren't looked at.
 
 from __future__ import annotations
 
+from collections import Counter
+from collections.abc import Iterator
 from dataclasses import dataclass
 
+import numpy as np
+import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import words
+from ..session import make_importable
 from .hierarchy import kept
 from .search import RANK_PLACES, bucket_of, rank_by, shown
 
@@ -49,6 +55,56 @@ def build_blocks(postings: DataFrame, path: str, per_block: int = BLOCK_DOCS) ->
     return open_blocks(spark, path, lists.schema)
 
 
+def blocks_of_texts(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", per_block: int = BLOCK_DOCS) -> BlockIndex:
+    """The block index straight from documents whose ids are told apart: texts are dealt by the sum of their weights, the only shuffle, and a task makes the blocks of
+    those it gets, numbered on from its own part of the order; it holds the postings of one block."""
+    spark = docs.sparkSession
+    make_importable(spark)
+
+    def weighed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            each = [list(Counter(t.encode().split()).values()) for t in b["text"]]
+            yield b.assign(mass=[round(float(np.sum(1.0 + np.log(x))), RANK_PLACES) if x else 0.0 for x in each])
+
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(text_col, F.lit("")).alias("text")).mapInPandas(weighed, "id long, text string, mass double")
+    order = [F.desc("mass"), F.col("id")]
+    ranged = rows.filter("mass > 0").repartitionByRange(*order).sortWithinPartitions(*order).select("id", "text", F.spark_partition_id().cast("long").alias("pid"))
+    names = ["block", "term", "most", "n", "docs"]
+
+    def block(number: int, ids: list[int], texts: list[str]) -> pa.RecordBatch:
+        codes: dict[bytes, int] = {}
+        code, tf, of = [], [], []
+        for i, text in zip(ids, texts, strict=True):
+            counts = Counter(text.encode().split())
+            code += [codes.setdefault(t, len(codes)) for t in counts]
+            tf += counts.values()
+            of += [i] * len(counts)
+        order = np.argsort(code, kind="stable")
+        n = np.bincount(code)
+        begin = np.concatenate(([0], np.cumsum(n)))
+        weight = (1.0 + np.log(np.array(tf)))[order]
+        held = pa.StructArray.from_arrays([pa.array(np.array(of, dtype=np.int64)[order]), pa.array(weight)], names=["id", "weight"])
+        lists = pa.ListArray.from_arrays(pa.array(begin.astype(np.int32)), held)
+        return pa.RecordBatch.from_arrays([pa.array(np.full(len(n), number)), pa.array([t.decode() for t in codes]), pa.array(np.maximum.reduceat(weight, begin[:-1])), pa.array(n.astype(np.int64)), lists], names=names)
+
+    def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids, texts, number = [], [], None
+        for b in batches:
+            for i, text, pid in zip(*(b.column(c).to_pylist() for c in ("id", "text", "pid")), strict=True):
+                number = pid << 32 if number is None else number
+                ids.append(i)
+                texts.append(text)
+                if len(ids) == per_block:
+                    yield block(number, ids, texts)
+                    ids, texts, number = [], [], number + 1
+        if ids:
+            yield block(number, ids, texts)
+
+    lists = ranged.mapInArrow(made, "block long, term string, most double, n long, docs array<struct<id:long,weight:double>>").select(bucket_of(F.col("term")).alias("bucket"), *names)
+    lists.sortWithinPartitions("bucket", "block", "term").write.partitionBy("bucket").parquet(path)
+    return open_blocks(spark, path, lists.select("block", "term", "most", "n", "docs", "bucket").schema)
+
+
 def open_blocks(spark: SparkSession, path: str, schema=None) -> BlockIndex:
     return BlockIndex((spark.read.schema(schema) if schema else spark.read).parquet(path))
 

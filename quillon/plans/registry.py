@@ -52,10 +52,12 @@ def stored_index(spark: SparkSession, d: str) -> DataFrame:
 
 
 def stored_blocks(spark: SparkSession, d: str) -> blocks.BlockIndex:
-    """The block index over the same postings, likewise."""
+    """The block index over the same postings, likewise; from the texts where ids are told apart, else from the index, as texts of one id count as one."""
     key = _documents_key(spark, d)
     if key not in _BLOCKS:
-        _BLOCKS[key] = blocks.build_blocks(stored_index(spark, d), scratch(spark, "blocks"))
+        docs = table(spark, d, "documents")
+        of_texts = search.told_apart(docs)
+        _BLOCKS[key] = blocks.blocks_of_texts(docs, scratch(spark, "blocks")) if of_texts else blocks.build_blocks(stored_index(spark, d), scratch(spark, "blocks"))
     return _BLOCKS[key]
 
 

@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from quillon.operators import evaluate, search
+from quillon.operators import blocks, evaluate, search
 from quillon.plans import registry, search_plans
 
 D = "/root/testdata/sf0.001"
@@ -64,3 +64,19 @@ def test_dense_batch_holds_few_scores_at_once(spark, monkeypatch):
     for few in (search.QUERY_BLOCK, 16):
         monkeypatch.setattr(search, "QUERY_BLOCK", few)
         assert [r[:2] + (round(r[2], 6), r[3]) for r in top()] == want
+
+
+def test_blocks_of_texts(spark, docs, items, tmp_path, monkeypatch):
+    index = search.build_index(docs, f"file://{tmp_path}/i")
+    lists = blocks.blocks_of_texts(docs, f"file://{tmp_path}/b", per_block=16)
+    got, told = blocks.pruned_topk(lists, items, 5, first=2)
+    want = search.lexical(docs, items, 5, index)
+    rows = lambda df: sorted(map(tuple, df.select("query_id", "rank", "id", "score").collect()))
+    assert rows(got) == rows(want)
+    every = index.join(blocks.asked_terms(items), ["bucket", "term"]).groupBy("query_id").count()
+    assert {r.query_id: r["count"] for r in every.collect()} == {r.query_id: r.postings for r in told.collect()}
+    monkeypatch.setattr(registry, "stored_index", lambda *a: 1 / 0)
+    registry._BLOCKS.clear()
+    assert registry.stored_blocks(spark, D).lists.count() > 0
+    registry._BLOCKS.clear()
+    assert blocks.blocks_of_texts(docs.limit(0), f"file://{tmp_path}/e").lists.count() == 0
