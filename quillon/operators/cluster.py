@@ -7,7 +7,6 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.vectors import dot, norm
 from . import hierarchy
 from .hierarchy import NOISE
 from .search import usable
@@ -48,37 +47,43 @@ def principal(chunks: DataFrame, group: str, id_col: str, vec_col: str, dims: in
         return pd.DataFrame({"g": pdf["g"], "id": pdf["id"], "p": list(x @ axes.T)})
 
     def sums(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("id")
         x = unit(pdf)
-        return pd.DataFrame({"g": pdf["g"].iloc[:1], "n": [len(x)], "s": [x.sum(axis=0)], "ss": [(x.T @ x).ravel()]})
+        return pd.DataFrame({"g": pdf["g"].iloc[:1], "part": pdf["part"].iloc[:1], "n": [len(x)], "s": [x.sum(axis=0)], "ss": [(x.T @ x).ravel()]})
 
     def axes(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("part")
         n, s = pdf["n"].sum(), np.sum(pdf["s"].to_list(), axis=0)
         spread = np.sum(pdf["ss"].to_list(), axis=0).reshape(len(s), len(s)) - np.outer(s, s) / n
         found = turned(np.linalg.eigh(spread)[1][:, ::-1].T[:dims])
-        return pd.DataFrame({"g": pdf["g"].iloc[:1], "mean": [s / n], "axes": [list(found)]})
+        return pd.DataFrame({"g": pdf["g"], "part": pdf["part"], "mean": [s / n] * len(pdf), "axes": [found.ravel()] * len(pdf)})
+
+    def projected(pdf: pd.DataFrame, found: pd.DataFrame) -> pd.DataFrame:
+        x = unit(pdf)
+        x = x - found["mean"].iloc[0]
+        # row by row, so that equal vectors stay equal
+        return pd.DataFrame({"g": pdf["g"], "id": pdf["id"], "p": list(np.stack([(x * a).sum(axis=1) for a in found["axes"].iloc[0].reshape(-1, x.shape[1])], axis=1))})
 
     parts = large.withColumn("part", F.pmod(F.xxhash64("id"), F.ceil(F.col("n") / most))).groupBy("g", "part")
-    summed = parts.applyInPandas(sums, "g string, n long, s array<double>, ss array<double>")
-    found = summed.groupBy("g").applyInPandas(axes, "g string, mean array<double>, axes array<array<double>>")
-    own = F.transform("v", lambda c: c / norm(F.col("v")))
-    centred = F.zip_with(own, "mean", lambda c, m: c - m)
-    projected = large.join(found, "g").select("g", "id", centred.alias("c"), "axes").select("g", "id", F.transform("axes", lambda a: dot(F.col("c"), a)).alias("p"))
+    summed = parts.applyInPandas(sums, "g string, part long, n long, s array<double>, ss array<double>")
+    found = summed.groupBy("g").applyInPandas(axes, "g string, part long, mean array<double>, axes array<double>")
+    projected = parts.cogroup(found.groupBy("g", "part")).applyInPandas(projected, "g string, id long, p array<double>")
     return small.groupBy("g").applyInPandas(whole, "g string, id long, p array<double>").unionByName(projected)
 
 
-def topic_clusters(chunks: DataFrame, group: str, id_col: str, vec_col: str, most: int = 2_000, edges: int = hierarchy.EDGES) -> DataFrame:
+def topic_clusters(chunks: DataFrame, group: str, id_col: str, vec_col: str, most: int = 2_000, edges: int = hierarchy.EDGES, block: int = hierarchy.BLOCK) -> DataFrame:
     """grp, id, topic_id, topic_name, x, y: the density topics of each group's vectors (a document's chunks) on their leading axes, and a layout of them in the
     plane. -1 is noise, as are all vectors of groups under MIN_SIZE. Odd rows as in principal and density_topics."""
     points = hierarchy.kept(principal(chunks, group, id_col, vec_col, most=most), "principal")
-    near = hierarchy.kept(hierarchy.neighbours(points, hierarchy.NEIGHBOURS, most), "near")
-    labels, _ = hierarchy.density_topics(points, block=most, most=edges, near=near)
+    near = hierarchy.kept(hierarchy.neighbours(points, hierarchy.NEIGHBOURS, block), "near")
+    labels, _ = hierarchy.density_topics(points, block=block, most=edges, near=near)
     out = labels.join(hierarchy.layout(points, near), ["g", "id"])
     return out.select(F.nullif("g", F.lit(NO_GROUP)).alias("grp"), "id", "topic_id", F.concat(F.lit("topic_"), F.col("topic_id").cast("string")).alias("topic_name"), "x", "y")
 
 
-def topic_tree(chunks: DataFrame, group: str, id_col: str, vec_col: str, most: int = 2_000, edges: int = hierarchy.EDGES) -> DataFrame:
+def topic_tree(chunks: DataFrame, group: str, id_col: str, vec_col: str, most: int = 2_000, edges: int = hierarchy.EDGES, block: int = hierarchy.BLOCK) -> DataFrame:
     """grp, cluster, within, size, stability, topic_id: every cluster of the density hierarchy, with the one that it is in."""
-    _, clusters = hierarchy.density_topics(principal(chunks, group, id_col, vec_col, most=most), block=most, most=edges)
+    _, clusters = hierarchy.density_topics(principal(chunks, group, id_col, vec_col, most=most), block=block, most=edges)
     return clusters.withColumn("g", F.nullif("g", F.lit(NO_GROUP))).withColumnRenamed("g", "grp")
 
 
